@@ -9,6 +9,7 @@ import argparse
 import math
 import os
 import sys
+import threading
 import time
 from collections import Counter
 
@@ -19,6 +20,9 @@ import duckdb  # noqa: E402
 from tripleframe.plans.views import TABLES  # noqa: E402
 
 
+LIMIT = 40  # seconds a statement or a query may take
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for name in TABLES:
@@ -45,13 +49,22 @@ def compare(spark, con, name, query, sql, sf_dir):
     """(ok, message, seconds) of one query."""
     start = time.time()
     df = query(spark, sf_dir)
-    rows = [tuple(r) for r in df.collect()]
+    stop = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        stop.cancel()
     took = time.time() - start
     if sql is None:
         return True, f"{len(rows)} rows, no SQL", took
-    cursor = con.execute(sql)
-    names = [d[0] for d in cursor.description]
-    expected = cursor.fetchall()
+    alarm = threading.Timer(LIMIT, con.interrupt)
+    alarm.start()
+    try:
+        cursor = con.execute(sql)
+        names, expected = [d[0] for d in cursor.description], cursor.fetchall()
+    finally:
+        alarm.cancel()
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(names)}", took
     mine, theirs = bag(df.columns, rows), bag(names, expected)
@@ -77,7 +90,7 @@ def main():
         try:
             ok, message, took = compare(spark, con, name, queries[name], sqls.get(name), sf_dir)
         except Exception as error:  # report and go on with the next query
-            ok, message, took = False, f"{type(error).__name__}: {str(error)[:1500]}", 0.0
+            ok, message, took = False, f"{type(error).__name__}: {str(error)[:900]}", 0.0
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:32s} {took:6.2f}s  {message}", flush=True)
     print(f"{bad} failed")

@@ -50,10 +50,15 @@ def span_literal(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StructType([T.StructField("whole", T.StringType()), T.StructField("span", T.StringType())]))
-def literal_json(whole: pd.Series, span: pd.Series) -> pd.DataFrame:
+def _literal_json(whole: pd.Series, span: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"whole": whole.map(whole_literal), "span": span.map(span_literal)})
 
 
+# Declared non-deterministic so that the optimizer neither copies it nor moves filters below it: each
+# batch goes to Python once.
+literal_json = _literal_json.asNondeterministic()
+
+
 def may_be_literal(text: Column) -> Column:
     """Cheap test before the parser: a quoted text, or a dict that names its triples."""
     quoted = text.rlike(r"^[(\s]*[uUrRfF]?['\"]")

@@ -51,18 +51,24 @@ def variant_items(value: Column, capitals: bool = True) -> Column:
 
     ``capitals=False`` leaves out the shape with capitalised keys, as the knowledge-base check does.
     """
-    whole = F.try_variant_get(value, "$", "array<variant>")
     shapes = [lambda v: _list_items(v), lambda v: _dict_items(v, TRIPLE_KEYS)]
     if capitals:
         shapes.append(lambda v: _dict_items(v, CAPITAL_TRIPLE_KEYS))
     shapes.append(lambda v: _dict_items(v, RELATION_TRIPLE_KEYS))
-    as_list = let(whole, lambda v: F.coalesce(*[shape(v) for shape in shapes]))
-    keyed = [
-        let(F.try_variant_get(value, f"$.{key}", "array<variant>"), lambda v: _dict_items(v, TRIPLE_KEYS))
-        for key in LIST_KEYS
-    ]
-    kind = F.schema_of_variant(value)
-    return F.when(kind.startswith("ARRAY<"), as_list).when(kind.startswith("OBJECT<"), F.coalesce(*keyed))
+
+    def in_list(whole: Column) -> Column:
+        return let(F.try_variant_get(whole, "$", "array<variant>"), lambda v: F.coalesce(*[shape(v) for shape in shapes]))
+
+    def under_key(whole: Column, key: str) -> Column:
+        return let(F.try_variant_get(whole, f"$.{key}", "array<variant>"), lambda v: _dict_items(v, TRIPLE_KEYS))
+
+    def choose(whole: Column) -> Column:
+        kind = F.schema_of_variant(whole)
+        return F.when(kind.startswith("ARRAY<"), in_list(whole)).when(
+            kind.startswith("OBJECT<"), F.coalesce(*[under_key(whole, key) for key in LIST_KEYS])
+        )
+
+    return let(value, choose)
 
 
 def string_items(rows: Column) -> Column:

@@ -12,108 +12,118 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tripleframe.functions import readers as R
 from tripleframe.functions.literals import literal_json, may_be_literal
 from tripleframe.functions.shapes import ITEMS, string_items, variant_items
-from tripleframe.functions.text import strip
+from tripleframe.functions.text import let, strip
 
 
-def _first(options: Sequence[tuple[str, Column]]) -> Column:
-    """The first option that is not NULL, with its name."""
-    value = F.coalesce(*[F.when(rows.isNotNull(), F.struct(F.lit(name).alias("reader"), rows.alias("rows")))
-                         for name, rows in options])
-    return value
+def _named(reader: str, value: Column, field: str) -> Column:
+    """``struct(reader, value)``, or NULL when the reader found nothing."""
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(reader).alias("reader"), v.alias(field))))
 
 
-def read_texts(
-    df: DataFrame, text_col: str = "generated_text", capitals: bool = True, strict_order: bool = False
-) -> DataFrame:
-    """Add ``reader``, ``status`` and ``items`` to every generated text.
+def _first_rows(*options: tuple[str, Column]) -> Column:
+    """What the first successful pattern reader found, with its name."""
+    return F.coalesce(*[_named(name, rows, "rows") for name, rows in options])
 
-    The readers are tried in order and the first that finds something wins.  ``status`` is ``triples``,
-    ``empty`` (nothing found, or an empty list) or ``unreadable`` (an answer of unknown shape).
 
-    By default an empty ``[[...]]`` span lets later readers try, unterminated ``Subject:`` lines and blocks
-    count, and every line of a numbered dash list is kept.  ``strict_order=True`` gives the historical
-    behaviour instead: the span stops the search, unterminated ones are lost, one block or line survives.
+def _before_literals(text: Column, strict_order: bool) -> Column:
+    """Everything that needs no Python: JSON, the first pattern readers, the span of a list of objects."""
 
-    The steps are separate projections on purpose: each is read several times by the next.
-    """
-    t = F.col("_text")
-    early = _first(
-        [
+    def early(t: Column) -> Column:
+        return _first_rows(
             ("subject_lines", R.subject_lines(t, closed_only=strict_order)),
             ("subject_blocks", R.subject_blocks(t, last_closed_only=strict_order)),
             ("quoted_lists", R.quoted_lists(t)),
             ("nested_lists", R.nested_lists(t, stop_when_empty=strict_order)),
-        ]
-    )
-    late_rows = _first(
-        [
-            ("tuples", R.tuples(t)),
-            ("numbered_lists", R.numbered_lists(t)),
-            ("numbered_dashes", R.numbered_dashes(t, last_line_only=strict_order)),
-        ]
-    )
-    last_rows = _first([("brackets", R.brackets(t)), ("dash_lines", R.dash_lines(t))])
-
-    def reading(reader: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.struct(F.lit(reader).alias("reader"), value.alias("value")))
-
-    json_found, none_yet = F.col("_json").isNotNull(), F.col("_early").isNull() & F.col("_json").isNull()
-    span_value = F.coalesce(F.col("_span_json"), F.try_parse_json(F.col("_py.span")))
-    steps = (
-        df.withColumn("_text", strip(F.col(text_col)))
-        .withColumn("_json", R.json_value(t))
-        .withColumn("_early", F.when(~json_found, early))
-        .withColumn("_span", F.when(none_yet, R.dict_span(t)))
-        .withColumn("_span_json", R.dict_span_json(F.col("_span")))
-        .withColumn(
-            "_py",
-            literal_json(
-                F.when(~json_found & may_be_literal(t), t),
-                F.when(F.col("_span_json").isNull(), F.col("_span")),
-            ),
         )
-        .withColumn("_whole", F.try_parse_json(F.col("_py.whole")))
-        .withColumn(
-            "_data",
-            F.coalesce(
-                reading("json", F.col("_json")),
-                reading("literal", F.col("_whole")),
-                F.when(F.col("_early").isNull(), reading("dict_list", span_value)),
-                F.when(F.col("_early").isNull(), reading("fenced_json", R.fenced_json(t))),
-            ),
+
+    def with_span(t: Column, json: Column, rows: Column, span: Column) -> Column:
+        return F.struct(
+            t.alias("text"), json.alias("json"), rows.alias("early"), span.alias("span"),
+            R.dict_span_json(span).alias("span_json"),
         )
-        .withColumn(
-            "_rows",
-            F.when(F.col("_data").isNull(), F.coalesce(F.col("_early"), late_rows)),
+
+    def with_early(t: Column, json: Column, rows: Column) -> Column:
+        span = F.when(json.isNull() & rows.isNull(), R.dict_span(t))
+        return let(span, lambda sp: with_span(t, json, rows, sp))
+
+    def with_json(t: Column, json: Column) -> Column:
+        return let(F.when(json.isNull(), early(t)), lambda rows: with_early(t, json, rows))
+
+    return let(strip(text), lambda t: let(R.json_value(t), lambda json: with_json(t, json)))
+
+
+def _decide(seen: Column, literal: Column, capitals: bool, strict_order: bool) -> Column:
+    """``struct(reader, status, items)`` from the first step and the Python literals."""
+    t, early = seen["text"], seen["early"]
+
+    def answer(data: Column, rows: Column) -> Column:
+        plain = string_items(rows["rows"])
+        if not capitals:  # blocks give objects with capitalised keys
+            plain = F.when(rows["reader"] != "subject_blocks", plain)
+        items = (
+            F.when(data.isNotNull(), variant_items(data["value"], capitals))
+            .when(rows.isNotNull(), plain)
+            .otherwise(F.array().cast(ITEMS))
         )
-        .withColumn(
-            "_data",
-            F.coalesce(
-                F.col("_data"), F.when(F.col("_rows").isNull(), reading("numbered_dicts", R.numbered_dicts(t)))
+        reader = F.coalesce(data["reader"], rows["reader"], F.lit("none"))
+        return let(
+            items,
+            lambda i: F.struct(
+                reader.alias("reader"),
+                F.when(i.isNull(), "unreadable").when(F.size(i) == 0, "empty").otherwise("triples").alias("status"),
+                i.alias("items"),
             ),
         )
-        .withColumn(
-            "_rows",
-            F.coalesce(F.col("_rows"), F.when(F.col("_data").isNull(), last_rows)),
+
+    def last(data: Column, rows: Column) -> Column:
+        final = F.when(data.isNull(), _first_rows(("brackets", R.brackets(t)), ("dash_lines", R.dash_lines(t))))
+        return let(F.coalesce(rows, final), lambda r: answer(data, r))
+
+    def numbered(data: Column, rows: Column) -> Column:
+        objects = F.when(rows.isNull(), _named("numbered_dicts", R.numbered_dicts(t), "value"))
+        return let(F.coalesce(data, objects), lambda d: last(d, rows))
+
+    def patterns(data: Column) -> Column:
+        late = _first_rows(
+            ("tuples", R.tuples(t)),
+            ("numbered_lists", R.numbered_lists(t)),
+            ("numbered_dashes", R.numbered_dashes(t, last_line_only=strict_order)),
         )
+        return let(F.when(data.isNull(), F.coalesce(early, late)), lambda rows: numbered(data, rows))
+
+    span_value = F.coalesce(seen["span_json"], F.try_parse_json(literal["span"]))
+    data = F.coalesce(
+        _named("json", seen["json"], "value"),
+        _named("literal", F.try_parse_json(literal["whole"]), "value"),
+        F.when(early.isNull(), _named("dict_list", span_value, "value")),
+        F.when(early.isNull(), _named("fenced_json", R.fenced_json(t), "value")),
     )
-    rows = string_items(F.col("_rows.rows"))
-    if not capitals:  # blocks give objects with capitalised keys
-        rows = F.when(F.col("_rows.reader") != "subject_blocks", rows)
-    found = F.coalesce(F.col("_data.reader"), F.col("_rows.reader"))
-    items = (
-        F.when(F.col("_data").isNotNull(), variant_items(F.col("_data.value"), capitals))
-        .when(F.col("_rows").isNotNull(), rows)
-        .otherwise(F.array().cast(ITEMS))
-    )
-    status = (
-        F.when(F.col("items").isNull(), "unreadable").when(F.size("items") == 0, "empty").otherwise("triples")
-    )
+    return let(data, patterns)
+
+
+def read_texts(
+    df: DataFrame, text_col: str = "generated_text", capitals: bool = True, strict_order: bool = False
+) -> DataFrame:
+    """Add ``reader``, ``status`` and ``items`` to every generated text.
+
+    The readers are tried in order and the first that finds something wins.  ``status`` is ``triples``,
+    ``empty`` (nothing found, or an empty list) or ``unreadable`` (an answer of unknown shape).
+
+    By default an empty ``[[...]]`` span lets later readers try, unterminated ``Subject:`` lines and blocks
+    count, and every line of a numbered dash list is kept.  ``strict_order=True`` gives the historical
+    behaviour instead: the span stops the search, unterminated ones are lost, one block or line survives.
+
+    Each of the two native steps is one nested expression, so that a filter or explode put on top by the
+    optimizer copies it at most once.
+    """
+    seen, text = F.col("_seen"), F.col("_seen.text")
+    whole = F.when(seen["json"].isNull() & may_be_literal(text), text)
+    span = F.when(seen["span_json"].isNull(), seen["span"])
     return (
-        steps.withColumn("reader", F.coalesce(found, F.lit("none")))
-        .withColumn("items", items)
-        .withColumn("status", status)
-        .drop("_text", "_json", "_early", "_span", "_span_json", "_py", "_whole", "_data", "_rows")
+        df.withColumn("_seen", _before_literals(F.col(text_col), strict_order))
+        .withColumn("_literal", literal_json(whole, span))
+        .withColumn("_read", _decide(seen, F.col("_literal"), capitals, strict_order))
+        .select(*df.columns, "_read.reader", "_read.status", "_read.items")
     )
 
 
@@ -122,7 +132,9 @@ def explode_items(read: DataFrame, keep: Sequence[str]) -> DataFrame:
     part = F.col("item.parts")
     three = F.size(part) == 3
     return (
-        read.select(*keep, "reader", "status", F.posexplode("items").alias("pos", "item"))
+        # the outer explode keeps the optimizer from testing the size of the unread items first
+        read.select(*keep, "reader", "status", F.posexplode_outer("items").alias("pos", "item"))
+        .where(F.col("pos").isNotNull())
         .withColumn("well_formed", three)
         .select(
             *keep, "reader", "status", "pos", part.alias("parts"), F.col("item.all_strings").alias("all_strings"),
