@@ -12,6 +12,10 @@ import json
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from tripleframe.functions.shipping import ship_by_value
+
+ship_by_value(__name__)
+
 
 def _plain(value):
     """Tuples as lists, sets as sorted lists, so that JSON can hold the value."""

@@ -223,22 +223,26 @@ def convert_documents(
     """Training records: all derived lists of every document, one row per document."""
     e, r = F.col("entities"), F.col("relations")
     carried = [c for c in ("doc_id", "split") if c in docs.columns]
+    # plain names first: columns that differ from an input only in case would hide it from later ones
     lists = docs.select(
-        *carried, F.col("text").alias("Text"),
-        distinct_entities(e).alias("Entities"),
-        entity_type_facts(e, types).alias("Entity Types"),
-        entity_id_facts(e).alias("Entity wiki ids"),
-        relation_list(r, dictionary).alias("Relations"),
-        relation_id_facts(r, dictionary).alias("Relation wiki ids"),
-        gold_string_triples(r, dictionary).alias("Triples"),
-        gold_id_triples(r, dictionary).alias("Wiki Triples"),
+        *carried, F.col("text").alias("_text"),
+        distinct_entities(e).alias("_ents"),
+        entity_type_facts(e, types).alias("_type_facts"),
+        entity_id_facts(e).alias("_id_facts"),
+        relation_list(r, dictionary).alias("_names"),
+        relation_id_facts(r, dictionary).alias("_name_facts"),
+        gold_string_triples(r, dictionary).alias("_true"),
+        gold_id_triples(r, dictionary).alias("_true_ids"),
     )
-    made = lists.withColumn(
-        "Corrupted Triples", corrupt_triples(F.col("doc_id"), F.col("Entities"), F.col("Relations"), F.col("Triples"), k, seed)
+    doc, true = F.col("doc_id"), F.col("_true")
+    made = lists.withColumn("_made", corrupt_triples(doc, F.col("_ents"), F.col("_names"), true, k, seed))
+    return made.select(
+        *carried, F.col("_text").alias("Text"), F.col("_ents").alias("Entities"), F.col("_type_facts").alias("Entity Types"),
+        F.col("_id_facts").alias("Entity wiki ids"), F.col("_names").alias("Relations"),
+        F.col("_name_facts").alias("Relation wiki ids"), true.alias("Triples"), F.col("_true_ids").alias("Wiki Triples"),
+        mix_triples(doc, true, F.col("_made"), seed).alias("Mixed Triples"), F.col("_made").alias("Corrupted Triples"),
+        explanations(F.col("_made")).alias("Explanations"),
     )
-    return made.withColumn(
-        "Mixed Triples", mix_triples(F.col("doc_id"), F.col("Triples"), F.col("Corrupted Triples"), seed)
-    ).withColumn("Explanations", explanations(F.col("Corrupted Triples")))
 
 
 def split_counts(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tripleframe.fixed import INSTANCE_OF, SUBCLASS_OF
 from tripleframe.operators.linking import distinct_labels, link_labels, link_predicates
-from tripleframe.session import cut_lineage
 
 
 def statement_exists(id_triples: DataFrame, kb_statement: DataFrame) -> DataFrame:
@@ -50,49 +49,44 @@ def _edges(kb_statement: DataFrame, prop: str) -> DataFrame:
     return chosen.select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
 
 
-def _ancestors(classes: DataFrame, upward: DataFrame, full_chain: bool) -> DataFrame:
-    """``(class0, hop, class_id)`` for hops 0 to 3 above each class; distinct after every step.
+def _class_closure(upward: DataFrame, full_chain: bool) -> DataFrame:
+    """Distinct ``(class0, hop, class_id)`` for hops 0 to 3 above every class that has a parent.
 
-    With ``full_chain`` a class counts at hop h only if 3 - h more edges lead on from it, which is the same
-    as being on a complete chain of three edges.
+    With ``full_chain`` only chains of three edges count, each for all its four classes.
     """
-    def parents_known(of: DataFrame) -> DataFrame:
-        return upward.join(of.select(F.col("child").alias("parent")), "parent", "left_semi").select("child").distinct()
-
-    reach = {}
-    if full_chain:
-        reach[1] = upward.select("child").distinct()
-        reach[2] = parents_known(reach[1])
-        reach[3] = parents_known(reach[2])
-
-    def keep(level: DataFrame, hop: int) -> DataFrame:
-        if not full_chain or hop == 3:
-            return level
-        return level.join(reach[3 - hop].select(F.col("child").alias("class_id")), "class_id", "left_semi")
-
-    level = keep(classes.select(F.col("class_id").alias("class0"), "class_id"), 0)
-    found = level.withColumn("hop", F.lit(0))
-    for hop in (1, 2, 3):
-        step = level.join(upward, F.col("class_id") == F.col("child"))
-        level = keep(step.select("class0", F.col("parent").alias("class_id")).distinct(), hop)
-        found = found.unionByName(level.withColumn("hop", F.lit(hop)))
-    return found
-
-
-def type_closure(ids: DataFrame, kb_statement: DataFrame, first: str = INSTANCE_OF, full_chain: bool = True) -> DataFrame:
+    how = "inner" if full_chain else "left"
+    first = upward.select(F.col("child").alias("c0"), F.col("parent").alias("c1"))
+    second = upward.select(F.col("child").alias("c1"), F.col("parent").alias("c2"))
+    third = upward.select(F.col("child").alias("c2"), F.col("parent").alias("c3"))
+    chains = first.join(second, "c1", how).join(third, "c2", how)
+    hops = F.array(*[F.struct(F.lit(n).alias("hop"), F.col(f"c{n}").alias("class_id")) for n in range(4)])
+    rows = chains.select(F.col("c0").alias("class0"), F.explode(hops).alias("h")).select("class0", "h.hop", "h.class_id")
+    return rows.where(F.col("class_id").isNotNull()).distinct()
+
+
+def type_closure(
+    ids: DataFrame, kb_statement: DataFrame, first: str | Sequence[str] = INSTANCE_OF, full_chain: bool = True
+) -> DataFrame:
     """Distinct ``(id, hop, class_id)``: classes reached by one ``first`` edge and up to three subclass edges.
 
     By default an id counts only along chains with all three subclass edges; ``full_chain=False`` takes
-    shorter ones too.  The class graph is closed over once for the distinct first classes, not per id.
+    shorter ones too.  The class graph is closed over once, for classes, and then met with the ids.
     """
+    firsts = [first] if isinstance(first, str) else list(first)
     start = (
-        _edges(kb_statement, first)
-        .join(ids.select(F.col("id").alias("child")).distinct(), "child", "left_semi")
-        .select(F.col("child").alias("id"), F.col("parent").alias("class0"))
+        kb_statement.where(F.col("p").isin(firsts))
+        .select(F.col("s").alias("id"), F.col("o").alias("class0"))
+        .distinct()
+        .join(ids.select("id").distinct(), "id", "left_semi")
+    )
+    closure = _class_closure(_edges(kb_statement, SUBCLASS_OF), full_chain)
+    if full_chain:
+        return start.join(closure, "class0").select("id", "hop", "class_id").distinct()
+    both = F.array(
+        F.struct(F.lit(0).alias("hop"), F.col("class0").alias("class_id")), F.struct(F.col("hop"), F.col("class_id"))
     )
-    classes = start.select(F.col("class0").alias("class_id")).distinct()
-    above = _ancestors(classes, _edges(kb_statement, SUBCLASS_OF), full_chain)
-    return start.join(above, "class0").select("id", "hop", "class_id").distinct()
+    rows = start.join(closure, "class0", "left").select("id", F.explode(both).alias("h"))
+    return rows.select("id", "h.hop", "h.class_id").where(F.col("class_id").isNotNull()).distinct()
 
 
 def merge_types(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -101,10 +95,8 @@ def merge_types(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def all_types(ids: DataFrame, kb_statement: DataFrame, full_chain: bool = True) -> DataFrame:
-    """Classes of ids by either kind of first edge."""
-    return merge_types(
-        type_closure(ids, kb_statement, INSTANCE_OF, full_chain), type_closure(ids, kb_statement, SUBCLASS_OF, full_chain)
-    )
+    """Classes of ids by either kind of first edge: the merged closures, found in one pass."""
+    return type_closure(ids, kb_statement, (INSTANCE_OF, SUBCLASS_OF), full_chain)
 
 
 def match_types(pairs: DataFrame, types: DataFrame, kb_constraint: DataFrame, ctype: str) -> DataFrame:
@@ -123,17 +115,34 @@ def match_types(pairs: DataFrame, types: DataFrame, kb_constraint: DataFrame, ct
     )
 
 
+def class_fits(kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True) -> DataFrame:
+    """``(class0, ctype, property, fit)``: lowest hop, with the class, at which things of a class meet a constraint.
+
+    Reads the class graph only, never the instances.
+    """
+    allowed = kb_constraint.select("property", "ctype", "class_id").distinct()
+    closure = _class_closure(_edges(kb_statement, SUBCLASS_OF), full_chain)
+    if not full_chain:  # a class at the top of the graph still allows its own instances
+        own = allowed.select(F.col("class_id").alias("class0"), F.lit(0).alias("hop"), "class_id")
+        closure = closure.unionByName(own)
+    return (
+        closure.join(allowed, "class_id")
+        .groupBy("class0", "ctype", "property")
+        .agg(F.min(F.struct("hop", "class_id")).alias("fit"))
+    )
+
+
 def check_distinct(
-    triples: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame,
-    full_chain: bool = True, checkpoint: bool = False,
+    triples: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True
 ) -> DataFrame:
     """Checks of distinct ``(s, p, o)`` texts; see ``check_triples`` for the columns.
 
-    The linked triples feed four lookups.  ``checkpoint=True`` writes them once to the shared checkpoint
-    folder instead of linking again for each.
+    The plan is one line of joins: three for the links, one each for constraint flags and statements, and
+    one pass over both ends of every triple for the types.
     """
-    entities = link_labels(distinct_labels(triples, "s", "o"), kb_label, "item").select("label", "id")
-    predicates = link_predicates(distinct_labels(triples, "p"), kb_label)
+    entities = link_labels(distinct_labels(triples, "s", "o"), kb_label, "item", keep_unlinked=False).select("label", "id")
+    predicates = link_predicates(distinct_labels(triples, "p"), kb_label, keep_unlinked=False)
+    held = kb_statement.select(F.col("s").alias("s_id"), F.col("p").alias("p_id"), F.col("o").alias("o_id")).distinct()
     linked = (
         triples.join(entities.withColumnsRenamed({"label": "s", "id": "s_id"}), "s", "left")
         .join(entities.withColumnsRenamed({"label": "o", "id": "o_id"}), "o", "left")
@@ -141,53 +150,58 @@ def check_distinct(
             predicates.select(F.col("label").alias("p"), F.col("direct_id").alias("p_direct_id"), F.col("id").alias("p_id")),
             "p", "left",
         )
+        .join(constraint_flags(kb_constraint).withColumnRenamed("property", "p_id"), "p_id", "left")
+        .join(held.withColumn("held", F.lit(True)), ["s_id", "p_id", "o_id"], "left")
     )
-    if checkpoint:
-        linked = cut_lineage(linked)
-
-    ids = entities.where(F.col("id").isNotNull()).select("id")
-    types = all_types(ids, kb_statement, full_chain)
-
-    def matched(end: str, ctype: str) -> DataFrame:
-        pairs = linked.where(F.col(f"{end}_id").isNotNull() & F.col("p_id").isNotNull())
-        pairs = pairs.select(F.col(f"{end}_id").alias("id"), F.col("p_id").alias("property"))
-        return match_types(pairs, types, kb_constraint, ctype).select(
-            F.col("id").alias(f"{end}_id"), F.col("property").alias("p_id"),
-            F.col("level").alias(f"{ctype}_level"), F.col("class_id").alias(f"{ctype}_class"),
-        )
 
-    complete = F.col("s_id").isNotNull() & F.col("p_id").isNotNull() & F.col("o_id").isNotNull()
-    facts = statement_exists(linked.where(complete), kb_statement)
-    flags = constraint_flags(kb_constraint).withColumnRenamed("property", "p_id")
+    # both ends of a triple with the classes of their ids, matched and folded back to one row
+    first_classes = kb_statement.where(F.col("p").isin(INSTANCE_OF, SUBCLASS_OF)).select(
+        F.col("s").alias("end_id"), F.col("o").alias("class0")
+    ).distinct()
+    ends = linked.withColumn(
+        "end", F.explode(F.array(*[
+            F.struct(F.lit(ctype).alias("ctype"), F.col(end).alias("end_id"))
+            for ctype, end in (("domain", "s_id"), ("range", "o_id"))
+        ]))
+    ).withColumns({"ctype": F.col("end.ctype"), "end_id": F.col("end.end_id")}).drop("end")
+    fits = class_fits(kb_statement, kb_constraint, full_chain).withColumnRenamed("property", "p_id")
+    carried = ["s_id", "p_direct_id", "p_id", "o_id", "has_domain", "has_range", "held"]
     joined = (
-        linked.join(flags, "p_id", "left")
-        .join(matched("s", "domain"), ["s_id", "p_id"], "left")
-        .join(matched("o", "range"), ["o_id", "p_id"], "left")
-        .join(facts, ["s_id", "p_id", "o_id"], "left")
+        ends.join(first_classes, "end_id", "left")
+        .join(fits, ["class0", "ctype", "p_id"], "left")
+        .groupBy("s", "p", "o", *carried)
+        .agg(
+            F.min(F.when(F.col("ctype") == "domain", F.col("fit"))).alias("domain"),
+            F.min(F.when(F.col("ctype") == "range", F.col("fit"))).alias("range"),
+        )
     )
     p_known, s_known, o_known = (F.col(c).isNotNull() for c in ("p_id", "s_id", "o_id"))
-    step1 = joined.withColumns(
-        {
-            "all_linked": complete,
-            "has_domain": F.coalesce("has_domain", F.lit(False)),
-            "has_range": F.coalesce("has_range", F.lit(False)),
-            "domain_match": F.when(p_known & s_known, F.col("domain_level").isNotNull()),
-            "range_match": F.when(p_known & o_known, F.col("range_level").isNotNull()),
-        }
-    ).withColumn("has_both", F.when(p_known, F.col("has_domain") & F.col("has_range")))
-    fits = F.col("has_both") & F.col("domain_match") & F.col("range_match")
-    step2 = step1.withColumns(
+    complete = s_known & p_known & o_known
+    has_domain, has_range = (F.coalesce(c, F.lit(False)) for c in ("has_domain", "has_range"))
+    facts = joined.select(
+        "s", "p", "o", "s_id", "p_direct_id", "p_id", "o_id", complete.alias("all_linked"),
+        has_domain.alias("has_domain"), has_range.alias("has_range"),
+        F.when(p_known, has_domain & has_range).alias("has_both"),
+        F.when(p_known & s_known, F.col("domain").isNotNull()).alias("domain_match"),
+        F.col("domain.hop").alias("domain_level"), F.col("domain.class_id").alias("domain_class"),
+        F.when(p_known & o_known, F.col("range").isNotNull()).alias("range_match"),
+        F.col("range.hop").alias("range_level"), F.col("range.class_id").alias("range_class"),
+        F.when(complete, F.coalesce("held", F.lit(False))).alias("statement"),
+    )
+    no = F.lit(False)
+    fitting = F.col("has_both") & F.col("domain_match") & F.col("range_match")
+    flagged = facts.withColumns(
         {
-            "object_missing": F.coalesce(F.col("has_both") & s_known & ~o_known, F.lit(False)),
-            "subject_missing": F.coalesce(F.col("has_both") & o_known & ~s_known, F.lit(False)),
-            "both_missing": F.coalesce(F.col("has_both") & ~s_known & ~o_known, F.lit(False)),
-            "type_match": F.when(F.col("all_linked"), fits),
-            "level": F.when(F.col("all_linked") & fits, F.greatest("domain_level", "range_level")),
+            "object_missing": F.coalesce(F.col("has_both") & s_known & ~o_known, no),
+            "subject_missing": F.coalesce(F.col("has_both") & o_known & ~s_known, no),
+            "both_missing": F.coalesce(F.col("has_both") & ~s_known & ~o_known, no),
+            "type_match": F.when(F.col("all_linked"), fitting),
+            "level": F.when(F.col("all_linked") & fitting, F.greatest("domain_level", "range_level")),
         }
     )
-    return step2.withColumn(
-        "statement_and_match", F.coalesce(F.col("type_match") & F.col("statement"), F.lit(False))
-    ).select("s", "p", "o", *CHECK_COLUMNS)
+    return flagged.withColumn("statement_and_match", F.coalesce(F.col("type_match") & F.col("statement"), no)).select(
+        "s", "p", "o", *CHECK_COLUMNS
+    )
 
 
 CHECK_COLUMNS = [
@@ -199,7 +213,7 @@ CHECK_COLUMNS = [
 
 def check_triples(
     triples: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame,
-    full_chain: bool = True, checkpoint: bool = False,
+    full_chain: bool = True,
 ) -> DataFrame:
     """Every triple ``(…, s, p, o)`` with its links and checks.
 
@@ -209,7 +223,7 @@ def check_triples(
     at ``level``; ``statement`` whether the knowledge base states the triple.
     """
     checked = check_distinct(
-        triples.select("s", "p", "o").distinct(), kb_label, kb_statement, kb_constraint, full_chain, checkpoint
+        triples.select("s", "p", "o").distinct(), kb_label, kb_statement, kb_constraint, full_chain
     )
     return triples.join(checked, ["s", "p", "o"], "left")
 

@@ -35,60 +35,57 @@ def kb_entries(kb_label: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 def distinct_labels(df: DataFrame, *columns: str) -> DataFrame:
-    """Distinct non-NULL values of the columns as ``label``; copies go before the shuffle."""
-    parts = [df.select(F.col(c).alias("label")) for c in columns]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.where(F.col("label").isNotNull()).distinct()
+    """Distinct non-NULL values of the columns as ``label``; one pass, copies go before the shuffle."""
+    labels = df.select(F.explode(F.array(*columns)).alias("label"))
+    return labels.where(F.col("label").isNotNull()).distinct()
 
 
-def prefix_matches(wanted: DataFrame, entries: DataFrame) -> DataFrame:
-    """Matches of normalised names ``wanted(name)`` with entries by label, alias or prefix.
+def spelled_names(kb_label: DataFrame, kind: str) -> DataFrame:
+    """Entries under every prefix of their names: ``(name, id, popularity, match_class)``, one row per pair.
 
-    Every entry is spelled out as the prefixes of its names, no longer than the longest wanted name, and
-    joined by equality.  Gives ``(name, id, popularity, match_class)``, one row per pair.
+    An equality join on ``name`` then finds exact, alias and prefix matches alike.  The rows carry no text
+    but the prefix itself.
     """
-    longest = wanted.agg(F.coalesce(F.max(F.length("name")), F.lit(0))).scalar()
-
     def prefixes(name: Column) -> Column:
-        upto = F.least(F.length(name), F.col("_longest"))
-        return F.when(upto > 0, F.transform(F.sequence(F.lit(1), upto), lambda n: F.substring(name, F.lit(1), n)))
-
-    every_name = F.concat(F.array(F.col("name")), F.col("alias_names"))
-    spelled = (
-        entries.withColumn("_longest", longest)
-        .select(
-            "id", "popularity", F.col("name").alias("_own"), "alias_names",
-            F.explode(F.array_distinct(F.flatten(F.filter(F.transform(every_name, prefixes), lambda x: x.isNotNull())))).alias("name"),
+        return F.when(
+            F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n))
         )
+
+    every_name = F.concat(F.array(F.col("own")), F.col("alias_names"))
+    spelled = F.array_distinct(F.flatten(F.filter(F.transform(every_name, prefixes), lambda x: x.isNotNull())))
+    rows = (
+        kb_entries(kb_label, kind)
+        .select("id", "popularity", F.col("name").alias("own"), "alias_names")
+        # the outer explode keeps the optimizer from building the list twice to test its size
+        .select("id", "popularity", "own", "alias_names", F.explode_outer(spelled).alias("name"))
     )
-    exactness = (
-        F.when(F.col("name") == F.col("_own"), 1).when(F.array_contains("alias_names", F.col("name")), 2).otherwise(3)
-    )
-    slim = spelled.select("name", "id", "popularity", exactness.alias("match_class"))
-    return slim.join(wanted.select("name").distinct(), "name")
+    exactness = F.when(F.col("name") == F.col("own"), 1).when(F.array_contains("alias_names", F.col("name")), 2).otherwise(3)
+    return rows.select("name", "id", "popularity", exactness.alias("match_class"))
 
 
 def _order() -> Column:
     return F.struct(F.col("match_class"), (-F.col("popularity")).alias("unpopular"), F.col("id"))
 
 
-def link_labels(labels: DataFrame, kb_label: DataFrame, kind: str = "item") -> DataFrame:
-    """Best id of every distinct label: ``(label, id, match_class)``, NULL where nothing matches."""
-    wanted = labels.select("label").distinct().withColumn("name", normal_name(F.col("label")))
-    entries = kb_entries(kb_label, kind)
-    own = entries.select("name", "id", "popularity", F.lit(1).alias("match_class"))
-    other = entries.select(F.explode("alias_names").alias("name"), "id", "popularity", F.lit(2).alias("match_class"))
-    by_name = own.unionByName(other).groupBy("name").agg(F.min(_order()).alias("best"))
-    exact = wanted.join(by_name, "name", "left")
-    open_names = exact.where(F.col("best").isNull() & (F.col("name") != "")).select("name").distinct()
-    by_prefix = prefix_matches(open_names, entries).groupBy("name").agg(F.min(_order()).alias("longer"))
-    return (
-        exact.join(by_prefix, "name", "left")
-        .withColumn("best", F.coalesce("best", "longer"))
-        .select("label", F.col("best.id").alias("id"), F.col("best.match_class").alias("match_class"))
-    )
+def best_links(wanted: DataFrame, kb_label: DataFrame, kind: str, by: str = "label") -> DataFrame:
+    """Best entry of every ``by`` value of ``wanted(by, name)`` that has one: ``(by, id, match_class)``.
+
+    The minimum is taken in each map task first, so a short name that many entries start with, or a name
+    many entries share, sends one row per task.
+    """
+    found = spelled_names(kb_label, kind).join(wanted, "name").groupBy(by).agg(F.min(_order()).alias("best"))
+    return found.select(by, F.col("best.id").alias("id"), F.col("best.match_class").alias("match_class"))
+
+
+def link_labels(labels: DataFrame, kb_label: DataFrame, kind: str = "item", keep_unlinked: bool = True) -> DataFrame:
+    """Best id of every distinct label: ``(label, id, match_class)``, NULL where nothing matches.
+
+    ``keep_unlinked=False`` leaves labels without a match out, for callers that join the links to their
+    own rows anyway.
+    """
+    distinct = labels.select("label").distinct()
+    links = best_links(distinct.withColumn("name", normal_name(F.col("label"))), kb_label, kind)
+    return distinct.join(links, "label", "left") if keep_unlinked else links
 
 
 def strip_function_words(label: Column) -> Column:
@@ -99,22 +96,32 @@ def strip_function_words(label: Column) -> Column:
     return F.when(hit.isNotNull(), F.try_element_at(pieces, F.lit(-1)))
 
 
-def link_predicates(labels: DataFrame, kb_label: DataFrame) -> DataFrame:
+def link_predicates(labels: DataFrame, kb_label: DataFrame, keep_unlinked: bool = True) -> DataFrame:
     """Property of every distinct predicate: ``(label, direct_id, stripped, id)``.
 
     ``direct_id`` is the link of the predicate as it stands; where there is none, ``id`` is the link of the
-    predicate without its leading function words.
+    predicate without its leading function words.  Both names are looked up in the same join.
     """
-    direct = link_labels(labels, kb_label, "property").select("label", F.col("id").alias("direct_id"))
-    tried = direct.withColumn(
-        "stripped", F.when(F.col("direct_id").isNull(), strip_function_words(F.col("label")))
+    distinct = labels.select("label").distinct()
+    tried = distinct.select(
+        "label",
+        F.explode(
+            F.array(
+                F.struct(F.lit(True).alias("direct"), normal_name(F.col("label")).alias("name")),
+                F.struct(F.lit(False).alias("direct"), normal_name(strip_function_words(F.col("label"))).alias("name")),
+            )
+        ).alias("t"),
+    ).select("label", "t.direct", "t.name")
+    found = spelled_names(kb_label, "property").join(tried, "name").groupBy("label").agg(
+        F.min(F.when(F.col("direct"), _order())).alias("first"), F.min(F.when(~F.col("direct"), _order())).alias("second")
     )
-    again = link_labels(
-        tried.where(F.col("stripped").isNotNull()).select(F.col("stripped").alias("label")), kb_label, "property"
-    ).select(F.col("label").alias("stripped"), F.col("id").alias("second_id"))
-    return tried.join(again, "stripped", "left").select(
-        "label", "direct_id", "stripped", F.coalesce("direct_id", "second_id").alias("id")
+    links = found.select(
+        "label", F.col("first.id").alias("direct_id"), F.coalesce("first.id", "second.id").alias("id")
     )
+    if not keep_unlinked:
+        return links
+    stripped = F.when(F.col("direct_id").isNull(), strip_function_words(F.col("label")))
+    return distinct.join(links, "label", "left").select("label", "direct_id", stripped.alias("stripped"), "id")
 
 
 def describe_ids(ids: DataFrame, kb_label: DataFrame, keep_unknown: bool = False) -> DataFrame:

@@ -26,16 +26,15 @@ labels AS (SELECT DISTINCT 'item' AS kind, unnest([s, o]) AS label FROM fx_pred
   UNION SELECT DISTINCT 'item', replace(s, '#', ' no ') FROM fx_pred
   UNION SELECT DISTINCT 'property', p FROM fx_pred UNION SELECT 'property', 'was a manufacturer of' UNION SELECT 'property', 'supp'),
 best AS (SELECT l.kind, l.label, min_by(n.id, row(CASE WHEN n.name = lower(trim(l.label)) THEN n.c ELSE 3 END, -n.popularity, n.id)) AS id,
-  min(CASE WHEN n.name = lower(trim(l.label)) THEN n.c ELSE 3 END)::INTEGER AS match_class
+  min(CASE WHEN n.name IS NULL THEN NULL WHEN n.name = lower(trim(l.label)) THEN n.c ELSE 3 END)::INTEGER AS match_class
   FROM labels l LEFT JOIN names n ON n.kind = l.kind AND starts_with(n.name, lower(trim(l.label))) GROUP BY l.kind, l.label)
 """
 _LINK_VIEWS = "fx_pred fx_kb_label fx_kb_alias"
 
 
 def _entity_labels(spark):
-    pred = spark.table("fx_pred")
-    spelled = pred.select(F.replace("s", F.lit("#"), F.lit(" no ")).alias("label"))
-    return linking.distinct_labels(pred, "s", "o").unionByName(spelled).distinct()
+    pred = spark.table("fx_pred").withColumn("spelled", F.replace("s", F.lit("#"), F.lit(" no ")))
+    return linking.distinct_labels(pred, "s", "o", "spelled")
 
 
 def _predicate_labels(spark):
@@ -286,7 +285,8 @@ def type_closure_short(spark):
 @R.add("merged_types", f"WITH {_FULL_TYPES} SELECT DISTINCT id, hop, class_id FROM types", "fx_kb_statement")
 def merged_types(spark):
     """Classes by instance-of and by subclass-of together."""
-    return kb.all_types(spark.sql(_ALL_IDS), spark.table("fx_kb_statement"))
+    ids, statements = spark.sql(_ALL_IDS), spark.table("fx_kb_statement")
+    return kb.merge_types(kb.type_closure(ids, statements, "P31"), kb.type_closure(ids, statements, "P279"))
 
 
 @R.add(

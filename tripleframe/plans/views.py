@@ -150,13 +150,17 @@ FROM fx_mention GROUP BY doc_id"""
 
 
 def load(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """Register the test tables and all views for one data folder."""
+    """Register the test tables and all views for one data folder, once per session and folder."""
+    marker = "tripleframe.views"
+    if spark.conf.get(marker, None) == sf_dir and spark.catalog.tableExists("fx_corpus"):
+        return spark
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, sql in COMMON.items():
         spark.sql(sql).createOrReplaceTempView(name)
     spark.sql(generated_sql("spark")).createOrReplaceTempView("fx_generated")
     spark.sql(SPARK_CORPUS).createOrReplaceTempView("fx_corpus")
+    spark.conf.set(marker, sf_dir)
     return spark
 
 
