@@ -47,7 +47,7 @@ def read_corpus(spark: SparkSession, path: str, form: str = "json") -> DataFrame
 
 def read_prompt_arrays(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one JSON array of prompts: ``(run, doc_id, prompt)`` with the position as id."""
-    whole = spark.read.option("wholetext", True).text(path).select(run_of_file().alias("run"), "value")
+    whole = spark.read.text(path, wholetext=True).select(run_of_file().alias("run"), "value")
     listed = whole.select("run", F.from_json("value", "array<string>").alias("prompts"))
     return listed.select("run", F.posexplode("prompts").alias("pos", "prompt")).select(
         "run", F.col("pos").cast("bigint").alias("doc_id"), "prompt"
