@@ -132,7 +132,7 @@ def typed_id_triples(spark):
 
 @R.add(
     "lookup_dictionaries",
-    f"""WITH {_TYPES}, {_RELS} SELECT doc_id, pos, type_name, name AS relation, pid AS property FROM fx_relation
+    f"""WITH {_TYPES}, {_RELS} SELECT doc_id, pos::INTEGER AS pos, type_name, name AS relation, pid AS property FROM fx_relation
 LEFT JOIN types ON code = s_type LEFT JOIN rels ON num = predicate + 3""",
     "fx_relation",
 )
