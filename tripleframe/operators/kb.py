@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tripleframe.fixed import INSTANCE_OF, SUBCLASS_OF
 from tripleframe.operators.linking import distinct_labels, link_labels, link_predicates
+from tripleframe.plans.ranking import spread_nulls
 
 
 def statement_exists(id_triples: DataFrame, kb_statement: DataFrame) -> DataFrame:
@@ -150,25 +151,29 @@ def check_distinct(
             predicates.select(F.col("label").alias("p"), F.col("direct_id").alias("p_direct_id"), F.col("id").alias("p_id")),
             "p", "left",
         )
-        .join(constraint_flags(kb_constraint).withColumnRenamed("property", "p_id"), "p_id", "left")
-        .join(held.withColumn("held", F.lit(True)), ["s_id", "p_id", "o_id"], "left")
+        .withColumn("p_key", spread_nulls(F.col("p_id"), "s", "p", "o"))
+        .withColumn("s_key", spread_nulls(F.col("s_id"), "s", "p", "o"))
     )
+    flagged_property = constraint_flags(kb_constraint).withColumnRenamed("property", "p_key")
+    stated = held.select(F.col("s_id").alias("s_key"), F.col("p_id").alias("p_key"), "o_id", F.lit(True).alias("held"))
+    linked = linked.join(flagged_property, "p_key", "left").join(stated, ["s_key", "p_key", "o_id"], "left")
 
     # both ends of a triple with the classes of their ids, matched and folded back to one row
     first_classes = kb_statement.where(F.col("p").isin(INSTANCE_OF, SUBCLASS_OF)).select(
-        F.col("s").alias("end_id"), F.col("o").alias("class0")
+        F.col("s").alias("end_key"), F.col("o").alias("class0")
     ).distinct()
     ends = linked.withColumn(
         "end", F.explode(F.array(*[
             F.struct(F.lit(ctype).alias("ctype"), F.col(end).alias("end_id"))
             for ctype, end in (("domain", "s_id"), ("range", "o_id"))
         ]))
-    ).withColumns({"ctype": F.col("end.ctype"), "end_id": F.col("end.end_id")}).drop("end")
-    fits = class_fits(kb_statement, kb_constraint, full_chain).withColumnRenamed("property", "p_id")
+    ).withColumns({"ctype": F.col("end.ctype"), "end_key": spread_nulls(F.col("end.end_id"), "s", "p", "o")}).drop("end")
+    fits = class_fits(kb_statement, kb_constraint, full_chain).withColumnsRenamed({"property": "p_key", "class0": "class_key"})
     carried = ["s_id", "p_direct_id", "p_id", "o_id", "has_domain", "has_range", "held"]
     joined = (
-        ends.join(first_classes, "end_id", "left")
-        .join(fits, ["class0", "ctype", "p_id"], "left")
+        ends.join(first_classes, "end_key", "left")
+        .withColumn("class_key", spread_nulls(F.col("class0"), "s", "p", "o"))
+        .join(fits, ["class_key", "ctype", "p_key"], "left")
         .groupBy("s", "p", "o", *carried)
         .agg(
             F.min(F.when(F.col("ctype") == "domain", F.col("fit"))).alias("domain"),

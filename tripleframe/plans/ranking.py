@@ -17,6 +17,15 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def spread_nulls(key: Column, *identity: str) -> Column:
+    """The key, with a value of its own for every row whose key is NULL.
+
+    NULL keys match nothing, but an outer join would still send all of them to one task.  A key that starts
+    with a zero character is no id, so the join finds the same rows.
+    """
+    return F.coalesce(key, F.concat(F.lit("\0"), F.hex(F.xxhash64(*identity))))
+
+
 def seeded_hash(seed: int | str, key: Column) -> Column:
     """A hexadecimal hash that orders rows at random but the same way on every run and engine."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
