@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleframe.llm import idfiles, packing
+from tripleframe.llm import idfiles, neardup, packing
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -30,3 +30,29 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as id files in doc_id order, read back."""
     files = idfiles.write_ids(table(spark, sf_dir, "documents"), tokenizer_path())
     return idfiles.read_ids(files, with_ids=False)
+
+
+@_query
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: two-word shingles, 80 percent."""
+    found = neardup.groups(table(spark, sf_dir, "documents"), k=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op10_superminhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+), members AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS node FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.node) AS component_id, s.doc_id = min(r.node) AS kept
+FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
+"""
