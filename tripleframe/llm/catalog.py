@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleframe.llm import idfiles, neardup, packing
+from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -19,6 +19,19 @@ def _query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@_query
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for their personal values."""
+    found = pii.pseudonymized(table(spark, sf_dir, "documents"), corpus_pipeline.PII_KEY, count="n_values")
+    return found.select("doc_id", "text", "n_values")
+
+
+@_query
+def op6_benchmark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All regions of documents that hold a benchmark passage."""
+    return decontaminate.regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces of all documents in sequences of 2048 tokens."""
