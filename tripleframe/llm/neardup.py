@@ -5,9 +5,11 @@
 2. SuperMinHash gives a class a signature.  An element offers its j-th rank, a value in [j, j + 1), to the
    j-th place of its own random permutation; levels stop as soon as no slot can improve.
 3. Slots in bands of ``rows`` make bucket keys.  In each bucket every class is compared with the smallest
-   one; buckets that are not one group after that are compared in full, block by block, between groups.
-   Two filters that lose no link come first: the set sizes, and the share of equal slots, which for a
-   link misses ``estimate`` by chance less than once in ten million.
+   one, after two filters that lose no link: the set sizes, and the share of equal slots, which for a link
+   misses ``estimate`` by chance less than once in ten million.  Where a bucket then holds several groups,
+   the classes outside its largest group become satellites of that group; satellites are compared with all
+   members and all other satellites, so every pair of the bucket has been looked at, and no pair twice for
+   every band it shares.  The comparison is cut into cells of bounded size.
 4. Links are confirmed on the full sets.  A link with similarity ``threshold`` misses all bands with
    probability (1 - threshold**rows)**(slots / rows), 5e-8 for the defaults.
 5. Links are contracted by union-find in every task, then by alternating star steps between tasks.
@@ -20,8 +22,6 @@ several texts stands for all of them; an empty table gives no rows; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +33,7 @@ from tripleframe.llm.words import mix, odd, shingle_set
 SLOTS, ROWS = 128, 4
 THRESHOLD = 80  # percent
 ESTIMATE = 0.6
-BLOCK = 256
+CELL = 200_000  # set elements on one side of a cell
 ELEMENTS = 400_000  # set elements signed at once
 
 
@@ -131,19 +131,23 @@ def _sizes_fit(threshold: int):
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of class names that reach the threshold on their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep, n_shingles, shingles of the classes wanted, from the text of the document that names the class."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = pa.array([shingle_set(batch.column(1)[i].as_py(), k).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), one], ["doc_id", "shingles"])
+                found = shingle_set(batch.column(1)[i].as_py(), k)
+                columns = [batch.column(0).slice(i, 1), pa.array([len(found)], pa.int64()), pa.array([found.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "n_shingles", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep").distinct(), "rep", "left_semi")
+    return texts.mapInArrow(to_sets, "rep long, n_shingles long, shingles binary")
+
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of class names that reach the threshold on their full sets."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"{x}_set"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +162,64 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> Dat
     return both.select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(values), columns):
+        a, b = np.searchsorted(place, [start, start + columns])
+        held = np.zeros((len(left) + len(right), columns), np.float32)
+        held[row[a:b], place[a:b] - start] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _across_groups(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between different groups of a bucket."""
+    labelled = sets.select("rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = stored(labelled.withColumn("root", F.coalesce("root", "rep")), "labelled")
+    sizes = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    seen = buckets.select("key", "rep").join(labelled.join(sizes, "root"), "rep")
+    largest = seen.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("group"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    satellites = seen.join(largest.where("lo < hi"), "key").where("root <> group").select("group", "rep", "root", "n_shingles").distinct()
+    satellites = stored(satellites, "satellites")
+    members = labelled.join(satellites.select(F.col("group").alias("root")).distinct(), "root", "left_semi")
+    both = satellites.withColumn("outside", F.lit(True)).unionByName(members.select(F.col("root").alias("group"), "rep", "root", "n_shingles", F.lit(False).alias("outside")))
+    blocks = both.groupBy("group").agg(
+        F.ceil(F.sum("n_shingles") / CELL).cast("int").alias("targets"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n_shingles"))) / CELL).cast("int").alias("probes")
+    )
+    # a satellite is a probe in the cells of its row and a target in those of its column, a member a target only
+    row, column = F.pmod(F.xxhash64("rep"), F.col("probes")), F.pmod(F.xxhash64("rep"), F.col("targets"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    targets = F.transform(upto("probes"), lambda i: F.struct(i.cast("long").alias("i"), column.alias("j"), F.lit(False).alias("probe")))
+    probes = F.transform(upto("targets"), lambda j: F.struct(row.alias("i"), j.cast("long").alias("j"), F.lit(True).alias("probe")))
+    cells = F.explode(F.when(F.col("outside"), F.concat(targets, probes)).otherwise(targets))
+    spread = both.join(sets.select("rep", "shingles"), "rep").join(blocks, "group").select("group", "rep", "root", "shingles", cells.alias("cell"))
+
+    def compare(cell: pa.Table) -> pa.Table:
+        probe = cell["probe"].to_numpy(zero_copy_only=False)
+        rep, root = cell["rep"].to_numpy(), cell["root"].to_numpy()
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell["shingles"]]
+        left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
+        found = set()
+        for start in range(0, len(left), 512):
+            part = left[start : start + 512]
+            for other in np.array_split(right, len(right) // 512 + 1):
+                if not len(other):
+                    continue
+                common = common_counts([held[i] for i in part], [held[i] for i in other])
+                total = np.array([len(held[i]) for i in part])[:, None] + np.array([len(held[i]) for i in other]) - common
+                for x, y in zip(*np.nonzero((100 * common >= threshold * total) & (root[part][:, None] != root[other]))):
+                    found.add((rep[part[x]], root[part[x]], root[other[y]]))
+        links = [(a, b) for a, own, b in found if own != b]
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return spread.select("group", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.probe").alias("probe"), "rep", "root", "shingles").groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """The same groups as stars around their smallest member, found by union-find within each task."""
 
@@ -208,37 +270,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _unsettled(buckets: DataFrame, groups: DataFrame, classes: DataFrame, threshold: int, estimate: float) -> DataFrame:
-    """Pairs between different groups of a bucket that may be links; buckets are compared in full, in blocks."""
-    labelled = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    cells = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), cells).cast("int")
-    # block i meets all blocks j; a member goes to the cells (min, max) of its block with every other
-    cell = F.explode(F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))))
-    spread = (
-        labelled.join(mixed.select("key", "size"), "key")
-        .select("key", "rep", "root", own.alias("block"), cell.alias("cell"))
-        .join(classes.select("rep", "n_shingles", "marks"), "rep")
-        .select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", "rep", "root", "n_shingles", "marks")
-    )
-
-    def compare(members: pa.Table) -> pa.Table:
-        rep, root, size = (members[c].to_numpy() for c in ("rep", "root", "n_shingles"))
-        block, first, second = (members[c].to_numpy() for c in ("block", "i", "j"))
-        marks = np.frombuffer(b"".join(members["marks"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        right = np.flatnonzero(block == second)
-        found = []
-        for x in np.flatnonzero(block == first):
-            y = right[(root[right] != root[x]) & ((rep[right] > rep[x]) | (first[x] != second[x]))]
-            y = y[100 * np.minimum(size[y], size[x]) >= threshold * np.maximum(size[y], size[x])]
-            y = y[(marks[y] == marks[x]).mean(axis=1) >= estimate]
-            found += [(max(rep[x], rep[z]), min(rep[x], rep[z])) for z in y]
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
-
-    return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
 def groups(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, estimate: float = ESTIMATE) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -258,12 +289,13 @@ def groups(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, slots: int =
     ends = classes.select("rep", "n_shingles", "marks")
     stars = buckets.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     likely = stored(_likely(stars, ends, threshold, estimate), "likely")
-    links = [stored(_confirmed(likely, docs, k, threshold), "links")]
-    found = components(links[0])
-    rest = stored(_unsettled(buckets, found, ends, threshold, estimate).join(likely, ["a", "b"], "left_anti"), "rest")
+    sets = stored(_sets(docs, buckets, k), "sets")
+    links = stored(_confirmed(likely, sets, threshold), "links")
+    found = components(links)
+    # a link to a group is written as one to its root
+    rest = stored(_across_groups(buckets, found, sets, threshold), "rest")
     if not rest.isEmpty():
-        links.append(stored(_confirmed(rest, docs, k, threshold), "links"))
-        found = components(reduce(DataFrame.union, links))
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     member = classes.select("print", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("print", F.coalesce("root", "rep").alias("group"))
     # texts without words get a key of their own, so that they do not meet in one task
