@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii
+from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii, quality
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -19,6 +19,12 @@ def _query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@_query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of all documents."""
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for their personal values."""
