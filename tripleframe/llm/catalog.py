@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii, quality
+from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii, quality, sharding
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -32,6 +32,26 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_values")
 
 
+@_query
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 1 MiB for all documents, small enough that the test tables split too."""
+    return sharding.shards(table(spark, sf_dir, "documents"), 1 << 20)
+
+
+SQL["op5_shards"] = """
+WITH sized AS (
+  SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents
+), up AS (
+  SELECT doc_id, bytes, d, h >> (60 - d) AS prefix FROM sized, range(0, 61) t(d)
+), node AS (
+  SELECT *, sum(bytes) OVER (PARTITION BY d, prefix) AS held, count(*) OVER (PARTITION BY d, prefix) AS n FROM up
+), leaf AS (
+  SELECT doc_id, bytes, d, prefix, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS k FROM node WHERE held <= 1048576 OR n = 1
+)
+SELECT doc_id, bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(prefix), CAST(d AS INTEGER), '0') END AS shard, CAST(d AS INTEGER) AS depth FROM leaf WHERE k = 1
+"""
+
+
 @_query
 def op6_benchmark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All regions of documents that hold a benchmark passage."""
