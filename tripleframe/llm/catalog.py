@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii, quality, sharding
+from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii, quality, sharding, urls
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -25,6 +25,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of all pages."""
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for their personal values."""
