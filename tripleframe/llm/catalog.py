@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleframe.llm import decontaminate, idfiles, neardup, packing, pii, quality, sharding, urls
+from tripleframe.llm import decontaminate, idfiles, maintext, neardup, packing, pii, quality, sharding, urls
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -64,6 +64,12 @@ def op6_benchmark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return maintext.extracted(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces of all documents in sequences of 2048 tokens."""
