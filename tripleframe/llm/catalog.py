@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripleframe.llm import decontaminate, idfiles, maintext, neardup, packing, pii, quality, sharding, urls
+from tripleframe.llm import ann, decontaminate, idfiles, maintext, neardup, packing, pii, quality, sharding, urls
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -25,6 +25,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @_query
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of all pages."""
