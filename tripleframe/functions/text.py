@@ -38,6 +38,7 @@ def list_literal(items: Column, depth: int = 1) -> Column:
         safe = text
         for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
             safe = F.replace(safe, F.lit(raw), F.lit(shown))
+        safe = _unprintable_spelled(safe)
         double = F.concat(F.lit('"'), safe, F.lit('"'))
         single = F.concat(F.lit("'"), F.replace(safe, F.lit("'"), F.lit("\\'")), F.lit("'"))
         return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), double).otherwise(single)
@@ -46,6 +47,22 @@ def list_literal(items: Column, depth: int = 1) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, inner), ", "), F.lit("]"))
 
 
+# What Python does not print: controls, formats, surrogates, private use, unassigned, and separators but the blank.
+UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _unprintable_spelled(text: Column) -> Column:
+    """Unprintable characters as ``\\xhh``, ``\\uhhhh`` or ``\\Uhhhhhhhh``."""
+
+    def spelled(char: Column) -> Column:
+        code = F.lower(F.hex(F.encode(char, "UTF-32")))
+        short, middle = F.concat(F.lit("\\x"), F.substring(code, -2, 2)), F.concat(F.lit("\\u"), F.substring(code, -4, 4))
+        long = F.concat(F.lit("\\U"), code)
+        return F.when(~char.rlike(f"^{UNPRINTABLE}$"), char).when(code.startswith("000000"), short).when(code.startswith("0000"), middle).otherwise(long)
+
+    return F.when(text.rlike(UNPRINTABLE), F.array_join(F.transform(F.split(text, ""), spelled), "")).otherwise(text)
+
+
 def json_string(text: Column) -> Column:
     """A JSON string in pure ASCII: everything outside the printable ASCII range as \\uXXXX."""
     safe = text

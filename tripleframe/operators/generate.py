@@ -20,7 +20,10 @@ def _answers(generator: Generator, prompts: list[str], retries: int, delay: floa
     problem, wait = "", delay
     for attempt in range(retries):
         try:
-            return [(str(text), None) for text in generator(prompts)]
+            answers = list(generator(prompts))
+            if len(answers) != len(prompts):  # nobody knows which answer belongs to which prompt
+                raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+            return [(None, "no answer") if text is None else (str(text), None) for text in answers]
         except Exception as error:  # the caller's generator may raise anything
             problem = f"{type(error).__name__}: {error}"
             if attempt + 1 < retries:
@@ -33,13 +36,15 @@ def _answers(generator: Generator, prompts: list[str], retries: int, delay: floa
 
 def generate(
     prompts: DataFrame, make_generator: Callable[[], Generator], batch: int = 16, retries: int = 3,
-    delay: float = 2.0, longest_delay: float = 25.0, prompt_col: str = "prompt",
+    delay: float = 2.0, longest_delay: float = 25.0, prompt_col: str = "prompt", tasks: int | None = None,
 ) -> DataFrame:
     """Add ``generated_text`` and ``error`` to every prompt.
 
     ``make_generator`` builds the client once per task.  A failing batch is retried with growing pauses,
-    then split; a prompt that never succeeds keeps its row, with the error.  Write the result to a table
-    before using it twice: generation is costly and need not repeat itself.
+    then split; a prompt that never succeeds keeps its row, with the error.  More or fewer answers than
+    prompts are a failed try, an answer ``None`` is an error of its prompt.  With ``tasks`` the prompts are
+    spread over so many tasks first, as a small file would keep one task for hours.  Write the result to a
+    table before using it twice: generation is costly and need not repeat itself.
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField("generated_text", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -52,7 +57,7 @@ def generate(
                 done.extend(_answers(generator, texts[start : start + batch], retries, delay, longest_delay))
             yield frame.assign(generated_text=[d[0] for d in done], error=[d[1] for d in done])
 
-    return prompts.mapInPandas(run, schema)
+    return (prompts.repartition(tasks) if tasks else prompts).mapInPandas(run, schema)
 
 
 def unfinished(prompts: DataFrame, finished: DataFrame, keys: Sequence[str] = ("run", "doc_id")) -> DataFrame:

@@ -25,14 +25,26 @@ def statement_exists(id_triples: DataFrame, kb_statement: DataFrame) -> DataFram
     )
 
 
+def with_class_labels(kb_constraint: DataFrame) -> DataFrame:
+    """The constraints with a ``class_label``, NULL where the table has none."""
+    return kb_constraint if "class_label" in kb_constraint.columns else kb_constraint.withColumn("class_label", F.lit(None).cast("string"))
+
+
 def property_constraints(kb_constraint: DataFrame) -> DataFrame:
-    """Per property: its domain classes, range classes and the flags whether it has them."""
+    """Per property: its domain and range classes, their labels in the same order, and the flags whether it has them."""
     def classes(ctype: str):
-        return F.sort_array(F.collect_set(F.when(F.col("ctype") == ctype, F.col("class_id"))))
+        return F.sort_array(F.collect_set(F.when(F.col("ctype") == ctype, F.struct("class_id", "class_label"))))
+
+    def part(column: str, field: str):
+        return F.transform(column, lambda c: c[field])
 
     return (
-        kb_constraint.groupBy("property")
-        .agg(classes("domain").alias("domain_classes"), classes("range").alias("range_classes"))
+        with_class_labels(kb_constraint).groupBy("property")
+        .agg(classes("domain").alias("d"), classes("range").alias("r"))
+        .select(
+            "property", part("d", "class_id").alias("domain_classes"), part("r", "class_id").alias("range_classes"),
+            part("d", "class_label").alias("domain_labels"), part("r", "class_label").alias("range_labels"),
+        )
         .withColumns({"has_domain": F.size("domain_classes") > 0, "has_range": F.size("range_classes") > 0})
         .withColumn("has_both", F.col("has_domain") & F.col("has_range"))
     )
@@ -55,14 +67,19 @@ def _class_closure(upward: DataFrame, full_chain: bool) -> DataFrame:
 
     With ``full_chain`` only chains of three edges count, each for all its four classes.
     """
-    how = "inner" if full_chain else "left"
-    first = upward.select(F.col("child").alias("c0"), F.col("parent").alias("c1"))
-    second = upward.select(F.col("child").alias("c1"), F.col("parent").alias("c2"))
-    third = upward.select(F.col("child").alias("c2"), F.col("parent").alias("c3"))
-    chains = first.join(second, "c1", how).join(third, "c2", how)
-    hops = F.array(*[F.struct(F.lit(n).alias("hop"), F.col(f"c{n}").alias("class_id")) for n in range(4)])
-    rows = chains.select(F.col("c0").alias("class0"), F.explode(hops).alias("h")).select("class0", "h.hop", "h.class_id")
-    return rows.where(F.col("class_id").isNotNull()).distinct()
+    # pairs, not paths: every hop adds the parents of the last one and drops copies
+    parents = upward.groupBy(F.col("child").alias("class_id")).agg(F.collect_set("parent").alias("parents"))
+    pairs = upward.select(F.col("child").alias("class0"), F.col("child").alias("class_id"), F.lit(0).alias("hop")).distinct()
+    for n in (1, 2, 3):
+        above = F.when(F.col("hop") == n - 1, F.transform("parents", lambda p: F.struct(F.lit(n).alias("hop"), p.alias("class_id"))))
+        own = F.array(F.struct("hop", "class_id"))
+        both = F.explode(F.concat(own, F.coalesce(above, F.array().cast("array<struct<hop:int,class_id:string>>"))))
+        pairs = pairs.join(parents, "class_id", "left").select("class0", both.alias("h")).select("class0", "h.hop", "h.class_id").distinct()
+    if not full_chain:
+        return pairs
+    # a class at hop n is on a chain of three if as many edges as are left go on above it
+    height = pairs.groupBy(F.col("class0").alias("class_id")).agg(F.max("hop").alias("height"))
+    return pairs.join(height, "class_id", "left").where(F.coalesce("height", F.lit(0)) + F.col("hop") >= 3).select("class0", "hop", "class_id")
 
 
 def type_closure(
@@ -101,27 +118,29 @@ def all_types(ids: DataFrame, kb_statement: DataFrame, full_chain: bool = True)
 
 
 def match_types(pairs: DataFrame, types: DataFrame, kb_constraint: DataFrame, ctype: str) -> DataFrame:
-    """For ``(id, property)`` pairs the lowest hop at which the id has an allowed class, with that class.
+    """For ``(id, property)`` pairs the lowest hop at which the id has an allowed class, with that class and its label.
 
     Pairs without a match are left out.  Among classes of the same hop the smallest id is shown.
     """
-    allowed = kb_constraint.where(F.col("ctype") == ctype).select("property", "class_id").distinct()
+    allowed = with_class_labels(kb_constraint).where(F.col("ctype") == ctype).groupBy("property", "class_id").agg(F.min("class_label").alias("class_label"))
     asked = pairs.select("id", "property").distinct().join(allowed.select("property").distinct(), "property", "left_semi")
     return (
         asked.join(types, "id")
-        .join(allowed, ["property", "class_id"], "left_semi")
+        .join(allowed, ["property", "class_id"])
         .groupBy("id", "property")
-        .agg(F.min(F.struct("hop", "class_id")).alias("m"))
-        .select("id", "property", F.col("m.hop").alias("level"), F.col("m.class_id").alias("class_id"))
+        .agg(F.min(F.struct("hop", "class_id", "class_label")).alias("m"))
+        .select("id", "property", F.col("m.hop").alias("level"), F.col("m.class_id").alias("class_id"), "m.class_label")
     )
 
 
-def class_fits(kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True) -> DataFrame:
-    """``(class0, ctype, property, fit)``: lowest hop, with the class, at which things of a class meet a constraint.
+def class_fits(kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True, properties: DataFrame | None = None) -> DataFrame:
+    """``(class0, ctype, property, fit)``: lowest hop, with the class and its label, at which things of a class meet a constraint.
 
-    Reads the class graph only, never the instances.
+    Reads the class graph only, never the instances; with ``properties(property)`` the constraints of these only.
     """
-    allowed = kb_constraint.select("property", "ctype", "class_id").distinct()
+    allowed = with_class_labels(kb_constraint).groupBy("property", "ctype", "class_id").agg(F.min("class_label").alias("class_label"))
+    if properties is not None:
+        allowed = allowed.join(properties, "property", "left_semi")
     closure = _class_closure(_edges(kb_statement, SUBCLASS_OF), full_chain)
     if not full_chain:  # a class at the top of the graph still allows its own instances
         own = allowed.select(F.col("class_id").alias("class0"), F.lit(0).alias("hop"), "class_id")
@@ -129,7 +148,7 @@ def class_fits(kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bo
     return (
         closure.join(allowed, "class_id")
         .groupBy("class0", "ctype", "property")
-        .agg(F.min(F.struct("hop", "class_id")).alias("fit"))
+        .agg(F.min(F.struct("hop", "class_id", "class_label")).alias("fit"))
     )
 
 
@@ -168,7 +187,8 @@ def check_distinct(
             for ctype, end in (("domain", "s_id"), ("range", "o_id"))
         ]))
     ).withColumns({"ctype": F.col("end.ctype"), "end_key": spread_nulls(F.col("end.end_id"), "s", "p", "o")}).drop("end")
-    fits = class_fits(kb_statement, kb_constraint, full_chain).withColumnsRenamed({"property": "p_key", "class0": "class_key"})
+    asked = predicates.select(F.col("id").alias("property")).where(F.col("property").isNotNull()).distinct()
+    fits = class_fits(kb_statement, kb_constraint, full_chain, asked).withColumnsRenamed({"property": "p_key", "class0": "class_key"})
     carried = ["s_id", "p_direct_id", "p_id", "o_id", "has_domain", "has_range", "held"]
     joined = (
         ends.join(first_classes, "end_key", "left")
@@ -189,8 +209,10 @@ def check_distinct(
         F.when(p_known, has_domain & has_range).alias("has_both"),
         F.when(p_known & s_known, F.col("domain").isNotNull()).alias("domain_match"),
         F.col("domain.hop").alias("domain_level"), F.col("domain.class_id").alias("domain_class"),
+        F.col("domain.class_label").alias("domain_label"),
         F.when(p_known & o_known, F.col("range").isNotNull()).alias("range_match"),
         F.col("range.hop").alias("range_level"), F.col("range.class_id").alias("range_class"),
+        F.col("range.class_label").alias("range_label"),
         F.when(complete, F.coalesce("held", F.lit(False))).alias("statement"),
     )
     no = F.lit(False)
@@ -211,7 +233,8 @@ def check_distinct(
 
 CHECK_COLUMNS = [
     "s_id", "p_direct_id", "p_id", "o_id", "all_linked", "has_domain", "has_range", "has_both",
-    "domain_match", "domain_level", "domain_class", "range_match", "range_level", "range_class",
+    "domain_match", "domain_level", "domain_class", "domain_label",
+    "range_match", "range_level", "range_class", "range_label",
     "object_missing", "subject_missing", "both_missing", "statement", "type_match", "level", "statement_and_match",
 ]
 
@@ -224,13 +247,29 @@ def check_triples(
 
     ``s_id``, ``p_id``, ``o_id`` are the linked ids (``p_direct_id``: before function words were dropped).
     ``has_domain/has_range/has_both`` tell which constraints the property has; ``domain_match`` and
-    ``range_match`` with level (0 to 3) and class whether the types fit; ``type_match`` whether all fits,
-    at ``level``; ``statement`` whether the knowledge base states the triple.
+    ``range_match`` with level (0 to 3), class and class label whether the types fit; ``type_match`` whether all fits,
+    at ``level``; ``statement`` whether the knowledge base states the triple.  A NULL part links to nothing; the
+    other parts of such a triple are checked all the same.
     """
     checked = check_distinct(
         triples.select("s", "p", "o").distinct(), kb_label, kb_statement, kb_constraint, full_chain
     )
-    return triples.join(checked, ["s", "p", "o"], "left")
+    return _with_checks(triples, checked)
+
+
+def _with_checks(triples: DataFrame, checked: DataFrame) -> DataFrame:
+    """The triples with the checks of their texts; NULL parts meet NULL parts."""
+    keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("s", "p", "o")]
+    return triples.join(checked.withColumnsRenamed({c: f"_{c}" for c in ("s", "p", "o")}), keys, "left").drop("_s", "_p", "_o")
+
+
+def check_counted(
+    triples: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True
+) -> DataFrame:
+    """Distinct triples ``(run, s, p, o)`` with ``copies`` and the checks: what the counters need of any number of copies."""
+    counted = counted_triples(triples)
+    checked = check_distinct(counted.select("s", "p", "o").distinct(), kb_label, kb_statement, kb_constraint, full_chain)
+    return _with_checks(counted, checked)
 
 
 def counted_triples(triples: DataFrame) -> DataFrame:

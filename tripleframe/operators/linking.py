@@ -147,12 +147,25 @@ def shown_entry() -> Column:
 
 
 def distinct_mentions(checked: DataFrame) -> DataFrame:
-    """Distinct ``(run, kind, label, id)``: predicates with their direct link, subjects and objects with theirs."""
-    def part(kind: str, label: str, id_col: str) -> DataFrame:
-        return checked.select("run", F.lit(kind).alias("kind"), F.col(label).alias("label"), F.col(id_col).alias("id"))
+    """Distinct ``(run, kind, label, id)`` of checked triples: predicates with their direct link, subjects and objects with theirs."""
+    def part(kind: str, label: str, id_col: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(label).alias("label"), F.col(id_col).alias("id"))
 
-    both = part("relation", "p", "p_direct_id").unionByName(part("entity", "s", "s_id")).unionByName(part("entity", "o", "o_id"))
-    return both.distinct()
+    parts = F.array(part("relation", "p", "p_direct_id"), part("entity", "s", "s_id"), part("entity", "o", "o_id"))
+    return checked.select("run", F.explode(parts).alias("m")).select("run", "m.*").distinct()
+
+
+def mentions(triples: DataFrame, kb_label: DataFrame) -> DataFrame:
+    """The same from triples ``(run, s, p, o)`` that need no other check: one pass over them, then the links of distinct labels."""
+    def part(kind: str, label: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(label).alias("label"))
+
+    seen = triples.select("run", F.explode(F.array(part("relation", "p"), part("entity", "s"), part("entity", "o"))).alias("m"))
+    distinct = seen.select("run", "m.kind", "m.label").distinct()
+    of = lambda kind: distinct.where((F.col("kind") == kind) & F.col("label").isNotNull()).select("label").distinct()
+    entities = link_labels(of("entity"), kb_label, "item", keep_unlinked=False).select(F.lit("entity").alias("kind"), "label", "id")
+    relations = link_labels(of("relation"), kb_label, "property", keep_unlinked=False).select(F.lit("relation").alias("kind"), "label", "id")
+    return distinct.join(entities.unionByName(relations), ["kind", "label"], "left").select("run", "kind", "label", "id")
 
 
 def linking_stats(mentions: DataFrame) -> DataFrame:

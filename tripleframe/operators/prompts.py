@@ -87,9 +87,12 @@ def linking_documents(
     entry = F.struct(F.col("id"), F.struct("id", "label", "description"))
 
     def as_map(kind: str) -> Column:
-        listed = F.collect_set(F.when(F.col("kind") == kind, entry))
+        listed = F.collect_list(F.when(F.col("kind") == kind, entry))
         return F.map_from_entries(listed)
 
+    # an id with several rows in the knowledge base takes the first
+    named = F.min(F.struct("label", "description")).alias("d")
+    described = described.groupBy("doc_id", "kind", "id").agg(named).select("doc_id", "kind", "id", "d.*")
     maps = described.groupBy("doc_id").agg(as_map("entity").alias("entities"), as_map("relation").alias("properties"))
     empty = F.create_map().cast("map<string,struct<id:string,label:string,description:string>>")
     typed = docs.select(

@@ -93,15 +93,16 @@ _CHECKED = f"""{_FALLBACK}, {_FULL_TYPES},
 item AS (SELECT label, id FROM best WHERE kind = 'item'),
 prop AS (SELECT c.label, c.direct_id, coalesce(c.direct_id, a.id) AS id FROM cut c LEFT JOIN again a ON a.stripped = c.stripped),
 flag AS (SELECT property, bool_or(ctype = 'domain') AS d, bool_or(ctype = 'range') AS r FROM fx_kb_constraint GROUP BY property),
-fit AS (SELECT t.id, k.property, k.ctype, min(t.hop) AS level, min_by(t.class_id, row(t.hop, t.class_id)) AS class_id
+fit AS (SELECT t.id, k.property, k.ctype, min(t.hop) AS level, min_by(t.class_id, row(t.hop, t.class_id)) AS class_id,
+  min_by(k.class_label, row(t.hop, t.class_id, k.class_label)) AS class_label
   FROM types t JOIN fx_kb_constraint k ON k.class_id = t.class_id GROUP BY t.id, k.property, k.ctype),
 st AS (SELECT DISTINCT s, p, o FROM fx_kb_statement),
 base AS (SELECT q.run, q.doc_id, q.pos, q.s, q.p, q.o, a.id AS s_id, p.direct_id AS p_direct_id, p.id AS p_id, b.id AS o_id,
   a.id IS NOT NULL AND p.id IS NOT NULL AND b.id IS NOT NULL AS all_linked,
   coalesce(f.d, false) AS has_domain, coalesce(f.r, false) AS has_range,
   CASE WHEN p.id IS NOT NULL THEN coalesce(f.d, false) AND coalesce(f.r, false) END AS has_both,
-  CASE WHEN p.id IS NOT NULL AND a.id IS NOT NULL THEN x.level IS NOT NULL END AS domain_match, x.level AS domain_level, x.class_id AS domain_class,
-  CASE WHEN p.id IS NOT NULL AND b.id IS NOT NULL THEN y.level IS NOT NULL END AS range_match, y.level AS range_level, y.class_id AS range_class,
+  CASE WHEN p.id IS NOT NULL AND a.id IS NOT NULL THEN x.level IS NOT NULL END AS domain_match, x.level AS domain_level, x.class_id AS domain_class, x.class_label AS domain_label,
+  CASE WHEN p.id IS NOT NULL AND b.id IS NOT NULL THEN y.level IS NOT NULL END AS range_match, y.level AS range_level, y.class_id AS range_class, y.class_label AS range_label,
   CASE WHEN a.id IS NOT NULL AND p.id IS NOT NULL AND b.id IS NOT NULL THEN st.s IS NOT NULL END AS statement
   FROM fx_pred q LEFT JOIN item a ON a.label = q.s LEFT JOIN item b ON b.label = q.o LEFT JOIN prop p ON p.label = q.p
   LEFT JOIN flag f ON f.property = p.id
@@ -127,10 +128,8 @@ def _checked(spark):
 
 
 def _checked_counts(spark):
-    """Checks of distinct triples joined to their copies per run."""
-    counted = kb.counted_triples(spark.table("fx_pred"))
-    distinct = kb.check_distinct(counted.select("s", "p", "o").distinct(), *_tables(spark))
-    return counted.join(distinct, ["s", "p", "o"])
+    """Checks of distinct triples with their copies per run."""
+    return kb.check_counted(spark.table("fx_pred"), *_tables(spark))
 
 
 @R.add("check_triples", f"WITH {_CHECKED} SELECT * FROM checked", _CHECK_VIEWS)
@@ -197,7 +196,7 @@ _MENTIONS = f"""{_CHECKED}, mentions AS (SELECT DISTINCT run, 'relation' AS kind
 @R.add("distinct_mentions", f"WITH {_MENTIONS} SELECT * FROM mentions", _CHECK_VIEWS)
 def distinct_mentions(spark):
     """Distinct labels with their links, per run."""
-    return linking.distinct_mentions(_checked_counts(spark))
+    return linking.mentions(spark.table("fx_pred"), kb_label(spark))
 
 
 @R.add(
@@ -208,7 +207,7 @@ FROM mentions GROUP BY kind, run""",
 )
 def linking_stats(spark):
     """Linked and unlinked labels per run and kind."""
-    return linking.linking_stats(linking.distinct_mentions(_checked_counts(spark)))
+    return linking.linking_stats(linking.mentions(spark.table("fx_pred"), kb_label(spark)))
 
 
 @R.add(
@@ -220,7 +219,7 @@ WHERE m.kind = 'relation' AND m.id IS NOT NULL GROUP BY m.run""",
 )
 def constraint_coverage(spark):
     """Linked predicates with domain and range constraints, per run."""
-    return kb.constraint_coverage(linking.distinct_mentions(_checked_counts(spark)), spark.table("fx_kb_constraint"))
+    return kb.constraint_coverage(linking.mentions(spark.table("fx_pred"), kb_label(spark)), spark.table("fx_kb_constraint"))
 
 
 @R.add(
@@ -241,19 +240,22 @@ def statement_exists(spark):
 
 @R.add(
     "property_constraints",
-    """SELECT p.id AS property, unnest(CASE WHEN c.d IS NULL THEN [NULL] ELSE c.d END) AS domain_class, len(coalesce(c.d, [])) > 0 AS has_domain,
+    """SELECT p.id AS property, unnest(CASE WHEN c.d IS NULL THEN [NULL] ELSE c.d END) AS domain_class,
+  unnest(CASE WHEN c.l IS NULL THEN [NULL] ELSE c.l END) AS domain_label, len(coalesce(c.d, [])) > 0 AS has_domain,
   len(coalesce(c.r, [])) > 0 AS has_range, len(coalesce(c.d, [])) > 0 AND len(coalesce(c.r, [])) > 0 AS has_both
 FROM (SELECT id FROM fx_kb_label WHERE kind = 'property') p LEFT JOIN (SELECT property,
-  list(DISTINCT class_id) FILTER (WHERE ctype = 'domain') AS d, list(DISTINCT class_id) FILTER (WHERE ctype = 'range') AS r
+  list(class_id ORDER BY class_id) FILTER (WHERE ctype = 'domain') AS d, list(class_label ORDER BY class_id) FILTER (WHERE ctype = 'domain') AS l, list(DISTINCT class_id) FILTER (WHERE ctype = 'range') AS r
   FROM fx_kb_constraint GROUP BY property) c ON c.property = p.id""",
     "fx_kb_label fx_kb_constraint",
 )
 def property_constraints(spark):
-    """Domain classes and constraint flags of every property."""
+    """Domain classes with their labels and constraint flags of every property."""
     known = kb.property_constraints(spark.table("fx_kb_constraint"))
     properties = spark.table("fx_kb_label").where("kind = 'property'").select(F.col("id").alias("property"))
-    return properties.join(known, "property", "left").select(
-        "property", F.explode_outer("domain_classes").alias("domain_class"), "has_domain", "has_range", "has_both"
+    domain = F.explode_outer(F.arrays_zip("domain_classes", "domain_labels")).alias("d")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("has_domain", "has_range", "has_both")]
+    return properties.join(known, "property", "left").select("property", domain, *flags).select(
+        "property", F.col("d.domain_classes").alias("domain_class"), F.col("d.domain_labels").alias("domain_label"), "has_domain", "has_range", "has_both"
     )
 
 
@@ -291,7 +293,8 @@ def merged_types(spark):
 
 @R.add(
     "type_match",
-    f"""WITH {_FULL_TYPES} SELECT p.id, p.property, min(t.hop) AS level, min_by(t.class_id, row(t.hop, t.class_id)) AS class_id
+    f"""WITH {_FULL_TYPES} SELECT p.id, p.property, min(t.hop) AS level, min_by(t.class_id, row(t.hop, t.class_id)) AS class_id,
+  min_by(k.class_label, row(t.hop, t.class_id, k.class_label)) AS class_label
 FROM (SELECT DISTINCT concat('S', l_suppkey) AS id, 'L' || (1 + l_linenumber % 3) AS property FROM lineitem) p
 JOIN types t ON t.id = p.id JOIN fx_kb_constraint k ON k.property = p.property AND k.ctype = 'domain' AND k.class_id = t.class_id
 GROUP BY p.id, p.property""",

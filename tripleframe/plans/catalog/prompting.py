@@ -11,7 +11,6 @@ from tripleframe.operators import prompts, retrieve, sampling
 from tripleframe.plans import templates
 from tripleframe.plans.catalog.knowledge import _LINK, _SHOW, _WORDS, _TEXT_HITS, kb_label
 from tripleframe.plans.catalog.registry import Registry
-from tripleframe.session import cut_lineage
 
 ship_by_value(__name__)
 
@@ -62,6 +61,14 @@ def mmr_3(spark):
     return retrieve.mmr_examples(*_halves(spark), 3)
 
 
+# The same over letter counts of documents: a pool of 300, all others ask.
+_COUNTS = "list_transform(range(16), lambda b: len(list_filter(string_split(lang || ' ' || text, ''), lambda c: unicode(c) % 16 = b))::DOUBLE)"
+_DOC_MMR = _MMR.replace(
+    _NEAR.split("pairs AS")[0],
+    f"""halves AS (SELECT doc_id AS vec_id, {_COUNTS} AS e, row_number() OVER (ORDER BY md5('13:' || doc_id), doc_id) <= 300 AS in_pool FROM documents),
+""",
+)
+
 # ---------------------------------------------------------------- prompts
 
 
@@ -92,16 +99,19 @@ def prompts_zero_shot(spark):
 
 @R.add(
     "prompts_few_shot",
-    f"""WITH {_MMR}, shown AS (SELECT m.query_id, string_agg({_sql_template(templates.FEW_SHOT["formatter"], {"Text": "d.text", "Lang": "d.lang"})},
+    f"""WITH {_DOC_MMR}, shown AS (SELECT m.query_id, string_agg({_sql_template(templates.FEW_SHOT["formatter"], {"Text": "d.text", "Lang": "d.lang"})},
   chr(10) ORDER BY m.rank) AS demos FROM mmr m JOIN documents d ON d.doc_id = m.id GROUP BY m.query_id)
 SELECT q.doc_id AS query_id, {_sql_text(templates.FEW_SHOT["prefix"])} || chr(10) || s.demos || chr(10) ||
   {_sql_template(templates.FEW_SHOT["suffix"], {"Text": "q.text"})} AS prompt FROM documents q JOIN shown s ON s.query_id = q.doc_id""",
 )
 def prompts_few_shot(spark):
-    """Whole documents with three retrieved demonstrations each."""
-    docs = spark.table("documents").select("doc_id", F.col("text").alias("Text"), F.col("lang").alias("Lang"))
-    demos = retrieve.mmr_examples(*_halves(spark), 3).join(docs.withColumnRenamed("doc_id", "id"), "id")
-    asked = docs.select(F.col("doc_id").alias("query_id"), "Text").join(demos.select("query_id").distinct(), "query_id", "left_semi")
+    """Every document outside a sampled pool of 300, with three demonstrations retrieved from the pool."""
+    pool, rest = sampling.sample_and_rest(spark.table("documents").select("doc_id", "text", "lang"), 300, content=["doc_id"])
+    encoded = [retrieve.embed(df, _letter_counts, ["text", "lang"]) for df in (rest, pool)]
+    vectors = [df.select(F.col("doc_id").alias(key), "embedding") for df, key in zip(encoded, ("query_id", "id"))]
+    shown = pool.select(F.col("doc_id").alias("id"), F.col("text").alias("Text"), F.col("lang").alias("Lang"))
+    demos = retrieve.mmr_examples(*vectors, 3).join(shown, "id")
+    asked = rest.select(F.col("doc_id").alias("query_id"), F.col("text").alias("Text"))
     return prompts.few_shot_prompts(asked, demos, templates.FEW_SHOT).select("query_id", "prompt")
 
 
@@ -271,23 +281,17 @@ def embed_stub(spark):
 
 @R.add("el_prompts_few_shot")
 def el_prompts_few_shot(spark):
-    """Linking prompts with a demonstration retrieved from the other half of the documents, one per supplier."""
-    corpus = spark.sql(
-        """SELECT s_suppkey AS doc_id, concat(s_name, ' is located in ', n_name, '.') AS text, array(struct(
-  struct(concat('S', s_suppkey) AS uri, s_name AS surfaceform, 'ORG' AS type) AS subject, 2 AS predicate,
-  struct(concat('N', n_nationkey) AS uri, n_name AS surfaceform, 'LOC' AS type) AS object)) AS relations
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
-    )
-    linking = prompts.linking_documents(corpus, kb_label(spark), dictionary=DICTIONARY)
-    docs = sampling.with_split(linking.select("doc_id", "text", "entities", "properties"))
-    halves = prompts.el_demonstrations(docs, kb_label(spark), "string_search").join(docs.select("doc_id", "in_first"), "doc_id")
-    key = F.concat_ws("/", F.col("doc_id").cast("string"), "kind", "correct_answer")
-    keyed = halves.withColumn("candidates_text", F.array_join("candidates", " ")).withColumn("key", key)
+    """Linking prompts for all components outside a pool of 300 documents, each with a demonstration from the pool."""
+    pool, rest = sampling.sample_and_rest(spark.table("fx_corpus"), 300, content=["doc_id"])
     used = ["text", "extracted_component", "candidates_text"]
-    # encoding is the costly step and its result is read several times, so it is written once
-    vectors = cut_lineage(retrieve.embed(keyed, _letter_counts, used))
-    demos = vectors.where("in_first").withColumnRenamed("key", "id")
-    asked = vectors.where("not in_first").withColumnRenamed("key", "query_id")
+
+    def encoded(docs, key):
+        linking = prompts.linking_documents(docs, kb_label(spark), dictionary=DICTIONARY)
+        parts = prompts.el_demonstrations(linking, kb_label(spark), "string_search")
+        name = F.concat_ws("/", F.col("doc_id").cast("string"), "kind", "correct_answer")
+        return retrieve.embed(parts.withColumn("candidates_text", F.array_join("candidates", " ")).withColumn(key, name), _letter_counts, used)
+
+    demos, asked = encoded(pool, "id"), encoded(rest, "query_id")
     chosen = retrieve.mmr_examples(asked.select("query_id", "embedding"), demos.select("id", "embedding"), 1)
     parts = asked.select("query_id", "doc_id", "kind", "text", "extracted_component", "candidates", "correct_answer")
     return prompts.el_prompts_few_shot(parts, demos, chosen, templates.LINKING_FEW_SHOT)

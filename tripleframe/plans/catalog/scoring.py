@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tripleframe.operators import extract, score
 from tripleframe.plans.catalog.registry import Registry
+from tripleframe.plans.ranking import global_rank, seeded_hash
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -117,13 +118,18 @@ def join_gold(spark):
 
 @R.add(
     "zip_inner",
-    """SELECT c.conv_id * 100 + c.turn AS index, c.text AS generated_text, d.text FROM conversations c
-JOIN documents d ON d.doc_id = c.conv_id * 100 + c.turn""",
+    """WITH c AS (SELECT text, row_number() OVER (ORDER BY md5('13:' || conv_id || '/' || turn), conv_id, turn) AS n FROM conversations),
+ d AS (SELECT text, row_number() OVER (ORDER BY md5('13:' || doc_id), doc_id) AS n FROM documents)
+SELECT c.n AS index, c.text AS generated_text, d.text FROM c JOIN d ON d.n = c.n""",
 )
 def zip_inner(spark):
-    """Two lists paired by position."""
-    generated = spark.table("conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("index"), F.col("text").alias("generated_text")
+    """Two shuffled lists paired by position."""
+    def listed(table, key, keys):
+        hashed = spark.table(table).withColumn("_hash", seeded_hash(13, key))
+        return global_rank(hashed, "_hash", keys, "index")
+
+    generated = listed("conversations", F.concat_ws("/", "conv_id", "turn"), ["conv_id", "turn"]).select(
+        "index", F.col("text").alias("generated_text")
     )
-    documents = spark.table("documents").select(F.col("doc_id").alias("index"), "text")
+    documents = listed("documents", F.col("doc_id"), ["doc_id"]).select("index", "text")
     return score.zip_inner(generated, documents)

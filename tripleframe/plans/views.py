@@ -18,17 +18,19 @@ TABLES = (
 COMMON = {
     "fx_gold": """
 SELECT l.l_orderkey AS doc_id, l.l_linenumber AS pos, s.s_name AS s,
-  CASE l.l_linenumber % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'Manufacturer of' ELSE 'located in' END AS p,
+  CASE WHEN l.l_linenumber = 6 THEN concat('sells ', q.p_brand)
+    ELSE CASE l.l_linenumber % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'Manufacturer of' ELSE 'located in' END END AS p,
   q.p_name AS o
-FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part q ON l.l_partkey = q.p_partkey
-WHERE l.l_linenumber <= 4""",
+FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part q ON l.l_partkey = q.p_partkey""",
     "fx_pred": """
 SELECT l.l_returnflag AS run, l.l_orderkey AS doc_id, l.l_linenumber AS pos,
-  CASE WHEN l.l_partkey % 5 = 0 THEN upper(s.s_name) ELSE s.s_name END AS s,
-  CASE l.l_linenumber % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'manufacturer of' ELSE 'is located in' END AS p,
-  CASE WHEN l.l_suppkey % 7 = 0 THEN 'wrong' ELSE q.p_name END AS o
+  CASE WHEN l.l_partkey % 11 = 3 THEN concat('unknown ', s.s_name) WHEN l.l_partkey % 11 = 5 THEN n.n_name
+    WHEN l.l_partkey % 11 = 7 THEN substring(s.s_name, 1, 15) WHEN l.l_partkey % 5 = 0 THEN upper(s.s_name) ELSE s.s_name END AS s,
+  CASE WHEN l.l_linenumber = 6 THEN concat('sells ', q.p_brand)
+    ELSE CASE l.l_linenumber % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'manufacturer of' ELSE 'is located in' END END AS p,
+  CASE WHEN l.l_suppkey % 7 = 0 THEN 'wrong' WHEN l.l_partkey % 13 = 1 THEN q.p_brand ELSE q.p_name END AS o
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part q ON l.l_partkey = q.p_partkey
-WHERE l.l_linenumber BETWEEN 2 AND 6""",
+  JOIN nation n ON s.s_nationkey = n.n_nationkey""",
     # every run is scored against every document that has gold triples or a prediction of that run
     "fx_docs": """
 SELECT run, doc_id FROM fx_pred
@@ -40,6 +42,8 @@ FROM nation
 UNION ALL SELECT concat('R', r_regionkey), 'item', r_name, 'region', 200 FROM region
 UNION ALL SELECT concat('S', s_suppkey), 'item', s_name, concat('supplier in nation ', s_nationkey), 10 FROM supplier
 UNION ALL SELECT concat('P', p_partkey), 'item', p_name, concat(p_type, ' part by ', p_brand), p_size FROM part
+UNION ALL SELECT concat('B:', p_brand), 'item', p_brand, 'brand', 20 FROM part GROUP BY p_brand
+UNION ALL SELECT concat('LB:', p_brand), 'property', concat('sells ', p_brand), 'sells parts of the brand', 5 FROM part GROUP BY p_brand
 UNION ALL SELECT * FROM (VALUES
   ('L1','property','supplies','supplier provides part',50),
   ('L2','property','manufacturer of','makes the part',40),
@@ -58,8 +62,13 @@ UNION ALL SELECT DISTINCT concat('B:', p_brand), 'P279', concat('T:', p_type) FR
 UNION ALL SELECT DISTINCT concat('T:', p_type), 'P279', 'G0' FROM part
 UNION ALL SELECT 'G0', 'P279', 'G1'""",
     "fx_kb_constraint": """
-SELECT * FROM (VALUES ('L1','domain','W0'),('L1','range','G0'),('L2','domain','R1'),('L2','domain','R2'),
-  ('L2','range','T:SMALL'),('L3','domain','W1')) AS t(property, ctype, class_id)""",
+SELECT * FROM (VALUES ('L1','domain','W0','world'),('L1','range','G0','goods'),('L2','domain','W1','everything'),
+  ('L2','range','G1','all goods'),('L3','domain','W1','everything')) AS t(property, ctype, class_id, class_label)
+UNION ALL SELECT 'L2', 'domain', concat('R', r_regionkey), r_name FROM region WHERE r_regionkey % 2 = 1
+UNION ALL SELECT DISTINCT concat('LB:', p_brand), 'range', concat('B:', p_brand), p_brand FROM part
+UNION ALL SELECT DISTINCT concat('LB:', q.p_brand), 'domain', concat('N', s.s_nationkey), n.n_name
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part q ON l.l_partkey = q.p_partkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+  WHERE l.l_linenumber = 6""",
     "fx_part_of_doc": """
 SELECT l_orderkey AS doc_id, l_linenumber, l_suppkey, l_partkey, s.s_name, q.p_name,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS i
@@ -71,7 +80,7 @@ UNION ALL SELECT doc_id, 2 * i + 1, concat('P', l_partkey), p_name, 'MISC' FROM
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos,
   concat('S', l_suppkey) AS s_uri, s_name AS s_form, 'ORG' AS s_type, (l_linenumber + l_partkey) % 32 AS predicate,
   concat('P', l_partkey) AS o_uri, p_name AS o_form, 'MISC' AS o_type
-FROM fx_part_of_doc WHERE l_linenumber <= 4""",
+FROM fx_part_of_doc""",
 }
 
 # How the generated text of document d is written: d % 16 picks (before, one triple, between, after).

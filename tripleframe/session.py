@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Joins of facts with a lookup side are left to adaptive execution: it broadcasts the lookup side only
 # when its measured size is under spark.sql.autoBroadcastJoinThreshold, and otherwise splits the
@@ -42,18 +40,3 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a fresh folder is made.  The files outlive any executor.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tripleframe-"))
-    return df.checkpoint(eager=True)
