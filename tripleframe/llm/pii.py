@@ -11,7 +11,7 @@ email      name@host.domain                                    letters and digit
 iban       check digits (remainder 1 by 97)                    account part; check digits made anew
 secret     access keys; password, token, secret, key values    letters and digits of the value
 ip         four numbers up to 255                              all 32 bits
-date       yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, 1900 to 2099    the day among these 73,049
+date       yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, 1900 to 2099    the day among 73,051
 phone      +1 with area and exchange from 200                  area, exchange and line
 phone      + and 7 to 15 digits, or the +1 shape otherwise     digits after the country code
 ssn        area 001-899 but 666, group and serial not 0        area, group and serial
@@ -167,7 +167,7 @@ def _ip(value: Column, key: str) -> Column:
     return F.when(valid, text).otherwise(value)
 
 
-FIRST_DAY, DAYS = "1900-01-01", (319, 229)  # 73,049 days up to 2099-12-31
+FIRST_DAY, DAYS = "1900-01-01", (319, 229)  # 73,051 days, up to 2100-01-02
 
 
 def _date(value: Column, key: str) -> Column:
