@@ -162,3 +162,29 @@ def test_summary_with_malformed(spark):
     )
     row = kb.kb_summary(checked, counts).first()
     assert (row.triples, row.malformed) == (4, 3)
+
+
+def test_null_parts_keep_the_links_of_the_others(spark):
+    label = spark.createDataFrame(
+        [("Q1", "item", "a", None, "", 1), ("P1", "property", "p", None, "", 1)],
+        "id string, kind string, label string, aliases array<string>, description string, popularity int",
+    )
+    statement = spark.createDataFrame([("Q1", "P1", "Q1")], "s string, p string, o string")
+    constraint = spark.createDataFrame([("P1", "domain", "C", "class")], "property string, ctype string, class_id string, class_label string")
+    triples = spark.createDataFrame([("r", "a", "p", None), ("r", None, "p", "a"), ("r", None, None, None)], "run string, s string, p string, o string")
+    got = {(r["s"], r["p"], r["o"]): r for r in kb.check_triples(triples, label, statement, constraint).collect()}
+    assert (got["a", "p", None]["s_id"], got["a", "p", None]["p_id"], got["a", "p", None]["o_id"]) == ("Q1", "P1", None)
+    assert got["a", "p", None]["all_linked"] is False and got["a", "p", None]["has_domain"] is True
+    assert got[None, "p", "a"]["o_id"] == "Q1" and got[None, None, None]["all_linked"] is False
+    counted = kb.check_counted(triples, label, statement, constraint)
+    assert counted.count() == 3 and counted.agg({"copies": "sum"}).first()[0] == 3
+
+
+def test_many_parents_give_pairs_not_paths(spark):
+    levels, width = 4, 20
+    names = [[f"C{level}_{i}" for i in range(width)] for level in range(levels)]
+    edges = [(a, "P279", b) for low, high in zip(names, names[1:]) for a in low for b in high] + [("x", "P31", names[0][0])]
+    statement = spark.createDataFrame(edges, "s string, p string, o string")
+    rows = kb.type_closure(spark.createDataFrame([("x",)], "id string"), statement).collect()
+    want = {(0, names[0][0])} | {(n, c) for n in (1, 2, 3) for c in names[n]}
+    assert {(r["hop"], r["class_id"]) for r in rows} == want and len(rows) == len(want)

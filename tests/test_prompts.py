@@ -40,3 +40,30 @@ def test_generation_retries_and_resumes(spark):
     got = {r.doc_id: (r.generated_text, r.error) for r in out.collect()}
     assert got == {0: ("eno", None), 1: (None, "ValueError: bad prompt"), 2: ("owt", None), 3: ("eerht", None)}
     assert [r.doc_id for r in gen.unfinished(df, out).collect()] == [1]
+
+
+def test_answers_must_match_their_prompts(spark):
+    from tripleframe.operators import generate
+
+    def make():
+        def answer(prompts):
+            if len(prompts) > 1:
+                return ["shifted"] * (len(prompts) - 1)  # one too few: the batch is a failed try
+            return [None if prompts[0] == "none" else prompts[0].upper()] if prompts[0] != "two" else ["a", "b"]
+
+        return answer
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(["one", "none", "two", "four"])], "doc_id long, prompt string")
+    got = {r["prompt"]: (r["generated_text"], r["error"]) for r in generate.generate(rows, make, retries=1, delay=0.0, tasks=1).collect()}
+    assert got["one"] == ("ONE", None) and got["four"] == ("FOUR", None)
+    assert got["none"] == (None, "no answer") and got["two"][0] is None and "2 answers to 1 prompts" in got["two"][1]
+
+
+def test_python_literals_spell_unprintable_characters(spark):
+    from pyspark.sql import functions as F
+
+    from tripleframe.functions.text import list_literal
+
+    texts = ["a\xa0b", "z​w", "nul\x00", "\x7f\x85", "tab\tnew\nline", "é 中 \U0001f600", " \U000e0001", "it's", 'say "x" it\'s', " 　"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(list_literal(F.array("t"))).collect()] == [repr([t]) for t in texts]

@@ -85,3 +85,12 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     streamed = sorted(tuple(r) for r in spark.read.parquet(out).select(columns).collect())
     batch = extract.extract_triples(records.read_runs(spark, source, lines=True)).select(columns)
     assert streamed == sorted(tuple(r) for r in batch.collect()) and len(streamed) == 2
+
+
+def test_broken_lines_are_told_apart(spark, tmp_path):
+    from tripleframe.sources import records
+
+    (tmp_path / "a.jsonl").write_text('{"doc_id": 1, "x": "a"}\nnot json\n\n{"doc_id": 2}\n{"doc_id": "three"}\n')
+    rows, broken = records.read_checked_records(spark, str(tmp_path), "doc_id long, x string")
+    assert sorted((r["doc_id"], r["x"] or "") for r in rows.collect()) == [(1, "a"), (2, "")]
+    assert sorted((r["file"], r["line"]) for r in broken.collect()) == [("a.jsonl", 'not json'), ("a.jsonl", '{"doc_id": "three"}')]

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tripleframe.fixed import INSTANCE_OF, SUBCLASS_OF
+from tripleframe.operators import extract
 from tripleframe.operators.linking import distinct_labels, link_labels, link_predicates
 from tripleframe.plans.ranking import spread_nulls
 
@@ -311,6 +312,17 @@ def kb_summary(checked: DataFrame, malformed: DataFrame | None = None) -> DataFr
     return both.withColumn("triples", c("triples") + c("malformed"))
 
 
+def summarize_texts(
+    texts: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame,
+    text_col: str = "generated_text", full_chain: bool = True,
+) -> DataFrame:
+    """From generated texts ``(run, doc_id, text)`` to all counters per run: readers, malformed items, checks."""
+    items = extract.extract_triples(texts, text_col, capitals=False)
+    valid, _ = extract.split_valid(items)
+    checked = check_counted(valid.select("run", "s", "p", "o"), kb_label, kb_statement, kb_constraint, full_chain)
+    return kb_summary(checked, extract.malformed_counts(items))
+
+
 def hop_histogram(checked: DataFrame) -> DataFrame:
     """Matching triples by level, per run."""
     weight = F.col("copies") if "copies" in checked.columns else F.lit(1)

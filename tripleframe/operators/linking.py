@@ -67,13 +67,20 @@ def _order() -> Column:
     return F.struct(F.col("match_class"), (-F.col("popularity")).alias("unpopular"), F.col("id"))
 
 
+def best_names(kb_label: DataFrame, kind: str) -> DataFrame:
+    """``(name, best)``: the best entry of every name and prefix of a name.
+
+    The minimum is taken in each map task first, so a short prefix that many entries start with, or a name
+    many entries share, sends one row per task and joins as one row.
+    """
+    return spelled_names(kb_label, kind).groupBy("name").agg(F.min(_order()).alias("best"))
+
+
 def best_links(wanted: DataFrame, kb_label: DataFrame, kind: str, by: str = "label") -> DataFrame:
     """Best entry of every ``by`` value of ``wanted(by, name)`` that has one: ``(by, id, match_class)``.
 
-    The minimum is taken in each map task first, so a short name that many entries start with, or a name
-    many entries share, sends one row per task.
     """
-    found = spelled_names(kb_label, kind).join(wanted, "name").groupBy(by).agg(F.min(_order()).alias("best"))
+    found = best_names(kb_label, kind).join(wanted, "name").groupBy(by).agg(F.min("best").alias("best"))
     return found.select(by, F.col("best.id").alias("id"), F.col("best.match_class").alias("match_class"))
 
 
@@ -112,8 +119,8 @@ def link_predicates(labels: DataFrame, kb_label: DataFrame, keep_unlinked: bool
             )
         ).alias("t"),
     ).select("label", "t.direct", "t.name")
-    found = spelled_names(kb_label, "property").join(tried, "name").groupBy("label").agg(
-        F.min(F.when(F.col("direct"), _order())).alias("first"), F.min(F.when(~F.col("direct"), _order())).alias("second")
+    found = best_names(kb_label, "property").join(tried, "name").groupBy("label").agg(
+        F.min(F.when(F.col("direct"), F.col("best"))).alias("first"), F.min(F.when(~F.col("direct"), F.col("best"))).alias("second")
     )
     links = found.select(
         "label", F.col("first.id").alias("direct_id"), F.coalesce("first.id", "second.id").alias("id")

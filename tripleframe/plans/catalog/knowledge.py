@@ -165,6 +165,30 @@ def kb_summary(spark):
     return kb.kb_summary(_checked_counts(spark))
 
 
+# Dash-separated texts in which every third triple has lost its object: that item is malformed.
+_KEPT = """, numbered AS (SELECT *, row_number() OVER (PARTITION BY run, doc_id ORDER BY pos, s, p, o) AS n FROM fx_pred),
+kept AS (SELECT * FROM numbered WHERE n % 3 <> 0), broken AS (SELECT run, count(*) AS malformed FROM numbered WHERE n % 3 = 0 GROUP BY run),
+base AS ("""
+
+
+@R.add(
+    "extracted_kb_summary",
+    f"WITH {_CHECKED.replace(', base AS (', _KEPT).replace(chr(10) + 'base AS (', _KEPT[1:]).replace('FROM fx_pred q LEFT', 'FROM kept q LEFT')}"
+    " SELECT run, count(*) + any_value(b.malformed) AS triples, any_value(b.malformed) AS malformed, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in _COUNTERS.items() if name not in ("triples", "malformed"))
+    + " FROM checked JOIN broken b USING (run) GROUP BY run",
+    _CHECK_VIEWS,
+)
+def extracted_kb_summary(spark):
+    """From generated texts to all counters of the check, per run, malformed items included."""
+    texts = spark.sql(
+        """SELECT run, doc_id, array_join(transform(ts, (t, i) -> concat(cast(i + 1 as string), '. ', t.s, ' - ', t.p,
+  CASE WHEN (i + 1) % 3 = 0 THEN '' ELSE concat(' - ', t.o) END)), chr(10)) AS text FROM (SELECT run, doc_id,
+  sort_array(collect_list(struct(pos, s, p, o))) AS ts FROM fx_pred GROUP BY run, doc_id)"""
+    )
+    return kb.summarize_texts(texts, *_tables(spark), text_col="text")
+
+
 @R.add(
     "hop_histogram",
     f"WITH {_CHECKED} SELECT run, " + ", ".join(f"{_COUNTERS[f'hop_{n}']} AS hop_{n}" for n in range(4)) + " FROM checked GROUP BY run",

@@ -39,6 +39,16 @@ def read_records(spark: SparkSession, path: str, schema: str | T.StructType) ->
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def read_checked_records(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """JSON Lines as (rows, broken lines ``(file, line)``): a line that does not parse is told apart, not lost."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wide = T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_name").alias("file"), "value")
+    read = lines.withColumn("r", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    broken = F.col("r._corrupt_record").isNotNull()
+    return read.where(~broken).select(*[F.col("r")[f.name].alias(f.name) for f in kind.fields]), read.where(broken).select("file", F.col("value").alias("line"))
+
+
 def read_corpus(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
     """Annotated documents of a folder with ``split=...`` parts; ``doc_id`` is the document's own id."""
     reader = spark.read.schema(CORPUS + ", split string")
