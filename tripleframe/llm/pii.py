@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tripleframe.functions.text import let
 from tripleframe.llm.shared import unused
 
 ROUNDS = 8
@@ -55,8 +56,14 @@ def _chars(n: Column, each) -> Column:
 
 
 def _moved(half: Column, digest: Column) -> Column:
+    return let(F.struct(half.alias("half"), digest.alias("digest")), lambda x: _moved_signs(x["half"], x["digest"]))
+
+
+def _moved_signs(half: Column, digest: Column) -> Column:
     def sign(i: Column) -> Column:
-        c = F.substring(half, i, F.lit(1))
+        return let(F.substring(half, i, F.lit(1)), lambda c: turned(c, i))
+
+    def turned(c: Column, i: Column) -> Column:
         by = F.conv(F.substring(digest, (i - 1) % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
         turn = lambda first, size: F.chr(F.lit(first) + (F.ascii(c) - first + by) % size)
         return (
@@ -98,15 +105,18 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _refilled(shape: Column, signs: Column, skip: int = 0, blank: str = "[^0-9]") -> Column:
-    """``shape`` with its digits (after the first ``skip`` places), or signs that are not ``blank``, replaced in order by ``signs``."""
+def _refilled(shape: Column, signs: Column, blank: str = "[^0-9]") -> Column:
+    """``shape`` with its digits, or signs that are not ``blank``, replaced in order by ``signs``."""
 
-    def sign(i: Column) -> Column:
-        c = F.substring(shape, i, F.lit(1))
-        before = F.length(F.regexp_replace(F.substring(shape, F.lit(skip + 1), i - skip), blank, ""))
-        return F.when((i <= skip) | c.rlike(blank), c).otherwise(F.substring(signs, before, F.lit(1)))
+    def filled(signs: Column) -> Column:
+        def sign(i: Column) -> Column:
+            c = F.substring(shape, i, F.lit(1))
+            before = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), blank, ""))
+            return F.when(c.rlike(blank), c).otherwise(F.substring(signs, before, F.lit(1)))
 
-    return _chars(F.length(shape), sign)
+        return _chars(F.length(shape), sign)
+
+    return let(signs, filled)
 
 
 def _luhn_digit(payload: Column) -> Column:
@@ -122,11 +132,13 @@ def _luhn_digit(payload: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = _digits(value)
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = F.concat(F.substring(payload, 1, 1), permuted_text(F.substring(payload, F.lit(2), F.length(payload)), key, "card"))
-    valid = _luhn_digit(payload) == F.substring(digits, -1, 1)
-    return F.when(valid, _refilled(value, F.concat(new, _luhn_digit(new)))).otherwise(value)
+    def replaced(digits: Column) -> Column:
+        payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        new = F.concat(F.substring(payload, 1, 1), permuted_text(F.substring(payload, F.lit(2), F.length(payload)), key, "card"))
+        valid = _luhn_digit(payload) == F.substring(digits, -1, 1)
+        return F.when(valid, _refilled(value, let(new, lambda n: F.concat(n, _luhn_digit(n))))).otherwise(value)
+
+    return let(_digits(value), replaced)
 
 
 def _remainder(signs: Column) -> Column:
@@ -140,12 +152,14 @@ def _remainder(signs: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    plain = F.regexp_replace(value, " ", "")
-    country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-    new = permuted_text(account, key, "iban")
-    check = F.lpad((98 - _remainder(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _remainder(F.concat(account, F.substring(plain, 1, 4))) == 1
-    return F.when(valid, _refilled(value, F.concat(country, check, new), blank=" ")).otherwise(value)
+    def replaced(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        check = lambda new: F.lpad((98 - let(F.concat(new, country, F.lit("00")), _remainder)).cast("string"), 2, "0")
+        signs = let(permuted_text(account, key, "iban"), lambda new: F.concat(country, check(new), new))
+        valid = let(F.concat(account, F.substring(plain, 1, 4)), _remainder) == 1
+        return F.when(valid, _refilled(value, signs, blank=" ")).otherwise(value)
+
+    return let(F.regexp_replace(value, " ", ""), replaced)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -161,8 +175,8 @@ def _ip(value: Column, key: str) -> Column:
     parts = F.split(value, r"\.")
     part = lambda k: F.get(parts, F.lit(k)).cast("long")
     number = ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3)
-    new = permuted_number(number, (1 << 16, 1 << 16), key, "ip")
-    text = F.concat_ws(".", *[(F.floor(new / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)])
+    spelled = lambda new: F.concat_ws(".", *[(F.floor(new / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)])
+    text = let(permuted_number(number, (1 << 16, 1 << 16), key, "ip"), spelled)
     valid = F.greatest(*[part(k) for k in range(4)]) < 256
     return F.when(valid, text).otherwise(value)
 
@@ -171,39 +185,55 @@ FIRST_DAY, DAYS = "1900-01-01", (319, 229)  # 73,051 days, up to 2100-01-02
 
 
 def _date(value: Column, key: str) -> Column:
-    form = F.when(value.contains("-"), "yyyy-MM-dd").when(value.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
     number = lambda a, n: F.substring(value, a, n).cast("int")
     iso, dotted = value.contains("-"), value.contains(".")
     year = F.when(iso, number(1, 4)).otherwise(F.substring(value, 7, 4).cast("int"))
     month = F.when(iso, number(6, 2)).when(dotted, number(4, 2)).otherwise(F.substring(value, 1, 2).cast("int"))
     day = F.when(iso, number(9, 2)).when(dotted, number(1, 2)).otherwise(F.substring(value, 4, 2).cast("int"))
     date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
-    offset = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(offset, DAYS, key, "date").cast("int"))
-    text = F.when(form == "yyyy-MM-dd", F.date_format(new, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(new, "dd.MM.yyyy"))
-    return F.when(offset.between(0, DAYS[0] * DAYS[1] - 1), text.otherwise(F.date_format(new, "MM/dd/yyyy"))).otherwise(value)
+
+    def spelled(new: Column) -> Column:
+        text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(dotted, F.date_format(new, "dd.MM.yyyy"))
+        return text.otherwise(F.date_format(new, "MM/dd/yyyy"))
+
+    def replaced(offset: Column) -> Column:
+        new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(offset, DAYS, key, "date").cast("int"))
+        return F.when(offset.between(0, DAYS[0] * DAYS[1] - 1), let(new, spelled)).otherwise(value)
+
+    return let(F.datediff(date, F.lit(FIRST_DAY).cast("date")), replaced)
 
 
 def _phone(value: Column, key: str) -> Column:
-    digits = _digits(value)
     american = ~value.startswith("+") | value.startswith("+1")
-    ten = F.substring(digits, -10, 10)
-    area, exchange, line = (F.substring(ten, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
-    new = permuted_number(((area - 200) * 800 + exchange - 200) * 10_000 + line, (80_000, 80_000), key, "phone")
-    valid = american & (F.length(digits) <= 11) & (F.length(digits) >= 10) & (area >= 200) & (exchange >= 200)
-    one = F.when(F.length(digits) > 10, F.substring(digits, F.lit(1), F.length(digits) - 10)).otherwise("")
-    spelled = F.concat(one, (F.floor(new / 8_000_000) + 200).cast("string"), (F.floor(new / 10_000) % 800 + 200).cast("string"), F.lpad((new % 10_000).cast("string"), 4, "0"))
-    head = F.when(american & (F.length(digits) == 11), F.lit(1)).when(american, F.lit(0)).otherwise(F.least(F.lit(2), F.length(digits) - 6))
-    other = F.concat(F.substring(digits, F.lit(1), head), permuted_text(F.substring(digits, head + 1, F.length(digits)), key, "phone"))
-    return F.when(valid, _refilled(value, spelled)).when(F.length(digits).between(7, 15), _refilled(value, other)).otherwise(value)
+
+    def replaced(digits: Column) -> Column:
+        ten, n = F.substring(digits, -10, 10), F.length(digits)
+        area, exchange, line = (F.substring(ten, a, k).cast("long") for a, k in ((1, 3), (4, 3), (7, 4)))
+        number = ((area - 200) * 800 + exchange - 200) * 10_000 + line
+        valid = american & n.between(10, 11) & (area >= 200) & (exchange >= 200)
+        one = F.when(n > 10, F.substring(digits, F.lit(1), n - 10)).otherwise("")
+
+        def spelled(new: Column) -> Column:
+            parts = (F.floor(new / 8_000_000) + 200).cast("string"), (F.floor(new / 10_000) % 800 + 200).cast("string"), F.lpad((new % 10_000).cast("string"), 4, "0")
+            return F.concat(one, *parts)
+
+        head = F.when(american & (n == 11), F.lit(1)).when(american, F.lit(0)).otherwise(F.least(F.lit(2), n - 6))
+        other = F.concat(F.substring(digits, F.lit(1), head), permuted_text(F.substring(digits, head + 1, n), key, "phone"))
+        new = F.when(valid, let(permuted_number(number, (80_000, 80_000), key, "phone"), spelled)).otherwise(other)
+        return F.when(n.between(7, 15), _refilled(value, new)).otherwise(value)
+
+    return let(_digits(value), replaced)
 
 
 def _ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.substring(value, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9_999 + serial - 1
-    new = permuted_number(number, (898, 99 * 9_999), key, "ssn")
-    place = F.floor(new / (99 * 9_999))
-    text = F.format_string("%03d-%02d-%04d", place + F.when(place >= 665, 2).otherwise(1), F.floor(new / 9_999) % 99 + 1, new % 9_999 + 1)
+
+    def spelled(new: Column) -> Column:
+        place = F.floor(new / (99 * 9_999))
+        return F.format_string("%03d-%02d-%04d", place + F.when(place >= 665, 2).otherwise(1), F.floor(new / 9_999) % 99 + 1, new % 9_999 + 1)
+
+    text = let(permuted_number(number, (898, 99 * 9_999), key, "ssn"), spelled)
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), text).otherwise(value)
 
 
