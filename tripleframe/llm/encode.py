@@ -15,7 +15,9 @@ from array import array
 from functools import lru_cache
 from itertools import islice
 
-CACHE_WORDS = 350_000
+from tripleframe.llm.caches import claim, register
+
+CACHE_WORDS = 200_000
 END_ID = 0
 
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -94,9 +96,23 @@ class Encoder:
         return b"".join(map(self.whole.__getitem__, _CUT.split(text)))
 
 
+    def forget(self) -> None:
+        for parts in (self.whole, self.after_blank):
+            parts.older = {}
+            parts.clear()
+
+
 @lru_cache(maxsize=4)
+def _encoder(path: str) -> Encoder:
+    made = Encoder(path)
+    register("encode", made.forget)
+    return made
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The encoder of this process; other operators' caches give way."""
+    claim("encode")
+    return _encoder(path)
 
 
 def with_end(ids: bytes) -> bytes:

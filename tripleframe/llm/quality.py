@@ -24,6 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tripleframe.llm.caches import claim, register
+
 THRESHOLD = 0.3
 SAMPLE = 8_000  # documents the scorer is fitted on, at most
 DIMENSIONS = 1 << 15
@@ -68,11 +70,13 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+register("quality", _WORDS.clear)
 
 
 def _codes(text: str | None) -> np.ndarray:
+    claim("quality")
     words = text.split() if text else []
-    if len(_WORDS) > 200_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     return np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
 
@@ -86,7 +90,7 @@ def votes(text: str | None) -> list[int]:
     if not n:
         return [BAD] * LABELLERS
     odd, letters, capitals, visible, marks, bare = _WORDS.facts[codes].sum(axis=0).tolist()
-    top = np.bincount(np.unique(codes, return_inverse=True)[1]).max() / n
+    top = np.unique(codes, return_counts=True)[1].max() / n
     twice = np.count_nonzero(codes[1:] == codes[:-1]) / n
     lines = [x for x in text.split("\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines) if lines else 0

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 300_000
+from tripleframe.llm.caches import claim, register
+
+CACHE_WORDS = 200_000
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -33,10 +35,12 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+register("words", HASHES.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words (runs of anything but blank, tab, line ends, vertical tab, form feed), A-Z lower-cased."""
+    claim("words")
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
