@@ -31,9 +31,10 @@ def test_features_are_shares():
 
 def test_word_facts_do_not_depend_on_the_cache():
     text = "Ab ab. AB!! x### 12 中文 Éa ... don't"
-    before = q.votes(text), q._codes(text).size
-    q._WORDS.clear()
-    assert (q.votes(text), q._codes(text).size) == before
+    before = q.votes(text), q.features(text)[0].tolist()
+    q._FACTS.clear()
+    q._SLOTS.clear()
+    assert (q.votes(text), q.features(text)[0].tolist()) == before
 
 
 @pytest.fixture(scope="module")

@@ -30,6 +30,7 @@ THRESHOLD = 0.3
 SAMPLE = 8_000  # documents the scorer is fitted on, at most
 DIMENSIONS = 1 << 15
 GOOD, BAD, ABSTAIN = 1, 0, 2
+CACHE_WORDS = 150_000
 LABELLERS = 5
 FALSE_ALARMS = 0.001  # the labellers' limits leave clean documents that much room: a labeller calls at most so many of the good bad
 
@@ -41,55 +42,73 @@ def _between(x: float, good: tuple[float, float], neither: tuple[float, float])
     return GOOD if good[0] <= x <= good[1] else ABSTAIN if neither[0] <= x <= neither[1] else BAD
 
 
-class _Words(dict):
-    """Codes of words with what the labellers and the scorer need to know of each; starts anew between texts when full.
+class _Table(dict):
+    """Codes of words, with a row of numbers for each; starts anew between texts when full."""
 
-    Columns of ``facts``: odd signs, letters, capitals, signs, sentence mark at the end, no letter at all.
-    """
-
-    def __init__(self) -> None:
+    def __init__(self, width: int, kind: type) -> None:
         super().__init__()
-        self.facts, self.slots = np.zeros((1 << 12, 6)), np.zeros((1 << 12, 2), np.int32)
+        self.rows = np.zeros((1 << 12, width), kind)
 
     def __missing__(self, word: str) -> int:
         code = len(self)
-        if code == len(self.facts):
-            self.facts, self.slots = (np.concatenate([x, np.zeros_like(x)]) for x in (self.facts, self.slots))
-        stem = word.rstrip(".,;:?!")
-        if stem.isalpha() and (stem.islower() or stem[1:].islower()):  # most words
+        if code == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[code] = self.row(word)
+        self[word] = code
+        return code
+
+    def codes(self, text: str | None) -> np.ndarray:
+        claim("quality")
+        words = text.split() if text else []
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _plain_stem(word: str) -> str | None:
+    """The word without sentence marks, if it is letters of lower case after at most one capital, as most words are."""
+    stem = word.rstrip(".,;:?!")
+    return stem if stem.isalpha() and (stem.islower() or stem[1:].islower()) else None
+
+
+class _Facts(_Table):
+    """For the labellers: odd signs, letters, capitals, signs, sentence mark at the end, no letter at all."""
+
+    def row(self, word: str) -> tuple:
+        if stem := _plain_stem(word):
             letters, capitals = len(stem), int(not stem[0].islower())
-            shape = ("A" if capitals else "") + "aa"[: len(stem) - capitals] + word[len(stem):]
         else:
             letters, capitals = sum(map(str.isalpha, word)), sum(map(str.isupper, word))
-            shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
         odd = letters < len(word) and _ODD.search(word) is not None
-        self.facts[code] = (odd, letters, capitals, len(word), word[-1] in ".,;:?!", not letters)
-        self.slots[code] = (_shape_slot(shape), _end_slot(word[-3:]))
-        self[word] = code
-        return code
+        return (odd, letters, capitals, len(word), word[-1] in ".,;:?!", not letters)
 
 
-_WORDS = _Words()
-register("quality", _WORDS.clear)
+class _Slots(_Table):
+    """For the scorer: hashed shape and last three signs."""
+
+    def row(self, word: str) -> tuple:
+        if stem := _plain_stem(word):
+            capitals = int(not stem[0].islower())
+            shape = ("A" if capitals else "") + "aa"[: len(stem) - capitals] + word[len(stem):]
+        else:
+            shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+        return (_shape_slot(shape), _end_slot(word[-3:]))
 
 
-def _codes(text: str | None) -> np.ndarray:
-    claim("quality")
-    words = text.split() if text else []
-    if len(_WORDS) > 150_000:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+_FACTS, _SLOTS = _Facts(6, np.float32), _Slots(2, np.int32)
+register("quality", _FACTS.clear)
+register("quality", _SLOTS.clear)
 
 
 def votes(text: str | None) -> list[int]:
     """The labellers, each for another kind of defect: odd signs, capitals, words said over and over, repeated
     lines, form of sentences.  Labellers of one kind would err together, so a kind has one.
     """
-    codes = _codes(text)
+    codes = _FACTS.codes(text)
     n = len(codes)
     if not n:
         return [BAD] * LABELLERS
-    odd, letters, capitals, visible, marks, bare = _WORDS.facts[codes].sum(axis=0).tolist()
+    odd, letters, capitals, visible, marks, bare = _FACTS.rows[codes].sum(axis=0, dtype=float).tolist()
     top = np.unique(codes, return_counts=True)[1].max() / n
     twice = np.count_nonzero(codes[1:] == codes[:-1]) / n
     lines = [x for x in text.split("\n") if x.strip()]
@@ -160,14 +179,14 @@ def _end_slot(end: str) -> int:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights of a text: shares of word features, and steps of how often a longer text repeats itself."""
-    codes = _codes(text)
+    codes = _SLOTS.codes(text)
     n = len(codes)
     if not n:
         return np.empty(0, np.int64), np.empty(0)
     twice = np.count_nonzero(codes[1:] == codes[:-1]) / n
     fresh = len(np.unique(codes)) / n**0.8
     steps = [_slot("twice", str(min(int(twice * 20), 10))), _slot("fresh", str(min(int(fresh * 5), 15)) if n >= 20 else "short")]
-    return np.append(_WORDS.slots[codes].ravel(), steps), np.append(np.full(2 * n, 1 / n), [1.0, 1.0])
+    return np.append(_SLOTS.rows[codes].ravel(), steps), np.append(np.full(2 * n, 1 / n), [1.0, 1.0])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, shrink: float = 1e-5) -> np.ndarray:
