@@ -62,37 +62,46 @@ def few_shot_prompts(queries: DataFrame, demos: DataFrame, template: Mapping[str
 # ---------------------------------------------------------------- linking prompts
 
 
-def linking_documents(
-    docs: DataFrame, kb_label: DataFrame, types: Mapping[str, str] = ENTITY_TYPES,
-    dictionary: Sequence[corpus.Relation] = RELATIONS,
-) -> DataFrame:
-    """Documents with typed triples and the described ids of their relations.
-
-    ``entities`` and ``properties`` map an id to ``struct(id, label, description)``; ids the knowledge base
-    does not know are left out.
-    """
+def described_mentions(docs: DataFrame, kb_label: DataFrame, dictionary: Sequence[corpus.Relation] = RELATIONS) -> DataFrame:
+    """Distinct ``(doc_id, kind, id)`` of the documents' relations with label and description; unknown ids are left out."""
     def id_of(r: Column) -> Column:
         return corpus.relation_field(r["predicate"], "id", dictionary)
 
-    r = F.col("relations")
     mentioned = docs.select(
         "doc_id",
-        F.explode(F.array_distinct(F.flatten(F.transform(r, lambda x: F.array(
+        F.explode(F.array_distinct(F.flatten(F.transform("relations", lambda x: F.array(
             F.struct(F.lit("entity").alias("kind"), x["subject"]["uri"].alias("id")),
             F.struct(F.lit("relation").alias("kind"), id_of(x).alias("id")),
             F.struct(F.lit("entity").alias("kind"), x["object"]["uri"].alias("id")),
         ))))).alias("m"),
     ).select("doc_id", "m.kind", "m.id")
-    described = describe_ids(mentioned, kb_label)
+    # an id with several rows in the knowledge base takes the first
+    first = kb_label.groupBy("id").agg(F.min(F.struct("label", "description")).alias("d")).select("id", "d.*")
+    return describe_ids(mentioned, first)
+
+
+def corpus_components(docs: DataFrame, kb_label: DataFrame, dictionary: Sequence[corpus.Relation] = RELATIONS) -> DataFrame:
+    """One row per entity and property of each document: ``(doc_id, kind, label, correct_answer)``, without forming linking documents."""
+    return described_mentions(docs, kb_label, dictionary).select("doc_id", "kind", "label", F.col("id").alias("correct_answer"))
+
+
+def linking_documents(
+    docs: DataFrame, kb_label: DataFrame, types: Mapping[str, str] = ENTITY_TYPES,
+    dictionary: Sequence[corpus.Relation] = RELATIONS,
+) -> DataFrame:
+    """Documents with typed triples and the described ids of their relations.
+
+    ``entities`` and ``properties`` map an id to ``struct(id, label, description)``; ids the knowledge base
+    does not know are left out.
+    """
+    r = F.col("relations")
+    described = described_mentions(docs, kb_label, dictionary)
     entry = F.struct(F.col("id"), F.struct("id", "label", "description"))
 
     def as_map(kind: str) -> Column:
         listed = F.collect_list(F.when(F.col("kind") == kind, entry))
         return F.map_from_entries(listed)
 
-    # an id with several rows in the knowledge base takes the first
-    named = F.min(F.struct("label", "description")).alias("d")
-    described = described.groupBy("doc_id", "kind", "id").agg(named).select("doc_id", "kind", "id", "d.*")
     maps = described.groupBy("doc_id").agg(as_map("entity").alias("entities"), as_map("relation").alias("properties"))
     empty = F.create_map().cast("map<string,struct<id:string,label:string,description:string>>")
     typed = docs.select(
@@ -127,18 +136,25 @@ def with_candidates(parts: DataFrame, kb_label: DataFrame, strategy: str = "stri
     return parts.join(entities.unionByName(relations), ["kind", "label"], "left")
 
 
-def el_demonstrations(linking_docs: DataFrame, kb_label: DataFrame, strategy: str = "page_search", k: int = 10) -> DataFrame:
-    """Demonstrations ``(doc_id, kind, text, extracted_component, candidates, correct_answer)``."""
-    parts = with_candidates(document_components(linking_docs), kb_label, strategy, k)
-    texts = linking_docs.select("doc_id", json_string(strip(F.col("text"))).alias("text"))
+def el_demonstrations(
+    docs: DataFrame, kb_label: DataFrame, strategy: str = "page_search", k: int = 10, parts: DataFrame | None = None
+) -> DataFrame:
+    """Demonstrations ``(doc_id, kind, text, extracted_component, candidates, correct_answer)``.
+
+    ``docs`` are linking documents, or any documents where their ``parts`` are given (see ``corpus_components``).
+    """
+    parts = with_candidates(document_components(docs) if parts is None else parts, kb_label, strategy, k)
+    texts = docs.select("doc_id", json_string(strip(F.col("text"))).alias("text"))
     return parts.withColumnRenamed("label", "extracted_component").join(texts, "doc_id").select(
         "doc_id", "kind", "text", "extracted_component", "candidates", "correct_answer"
     )
 
 
-def el_prompts(linking_docs: DataFrame, kb_label: DataFrame, template: str, strategy: str = "string_search", k: int = 10) -> DataFrame:
+def el_prompts(
+    docs: DataFrame, kb_label: DataFrame, template: str, strategy: str = "string_search", k: int = 10, parts: DataFrame | None = None
+) -> DataFrame:
     """Linking prompts for the gold components, with the correct answer kept and a flag for missing candidates."""
-    parts = el_demonstrations(linking_docs, kb_label, strategy, k)
+    parts = el_demonstrations(docs, kb_label, strategy, k, parts)
     values = {**_columns(parts), "candidates": list_literal(F.col("candidates"))}
     return parts.select(
         "doc_id", "kind", F.col("extracted_component").alias("label"), "correct_answer",

@@ -173,6 +173,10 @@ _BY_TEXT = f"""{_CANDIDATES}, asked AS (SELECT DISTINCT label FROM parts WHERE k
 _CAND_VIEWS = "fx_pred " + _PART_VIEWS
 
 
+def _parts(spark):
+    return prompts.corpus_components(spark.table("fx_corpus"), kb_label(spark), dictionary=DICTIONARY)
+
+
 def _demos_shown(df):
     return df.withColumn("candidates", F.array_join("candidates", ";"))
 
@@ -186,7 +190,7 @@ LEFT JOIN by_name c ON c.label = p.label AND c.kind = CASE p.kind WHEN 'entity'
 )
 def el_demonstrations(spark):
     """A demonstration per entity and property of every document, candidates by name."""
-    return _demos_shown(prompts.el_demonstrations(_linking_docs(spark), kb_label(spark), "string_search"))
+    return _demos_shown(prompts.el_demonstrations(spark.table("fx_corpus"), kb_label(spark), "string_search", parts=_parts(spark)))
 
 
 @R.add(
@@ -215,7 +219,7 @@ LEFT JOIN by_name c ON c.label = p.label AND c.kind = CASE p.kind WHEN 'entity'
 )
 def el_prompts(spark):
     """Linking prompts for the gold components."""
-    return prompts.el_prompts(_linking_docs(spark), kb_label(spark), templates.LINKING)
+    return prompts.el_prompts(spark.table("fx_corpus"), kb_label(spark), templates.LINKING, parts=_parts(spark))
 
 
 @R.add(
@@ -286,8 +290,8 @@ def el_prompts_few_shot(spark):
     used = ["text", "extracted_component", "candidates_text"]
 
     def encoded(docs, key):
-        linking = prompts.linking_documents(docs, kb_label(spark), dictionary=DICTIONARY)
-        parts = prompts.el_demonstrations(linking, kb_label(spark), "string_search")
+        parts = prompts.corpus_components(docs, kb_label(spark), dictionary=DICTIONARY)
+        parts = prompts.el_demonstrations(docs, kb_label(spark), "string_search", parts=parts)
         name = F.concat_ws("/", F.col("doc_id").cast("string"), "kind", "correct_answer")
         return retrieve.embed(parts.withColumn("candidates_text", F.array_join("candidates", " ")).withColumn(key, name), _letter_counts, used)
 
