@@ -88,3 +88,12 @@ def test_one_class_or_no_rows(spark):
     some = spark.createDataFrame([(1, "http://casino.example.com/en/"), (2, "http://a.example.com/x/")], "page_id long, url string")
     assert {r["verdict"] for r in u.judged(some).collect()} == {"allow"}
     assert u.judged(some.limit(0)).count() == 0
+
+
+def test_models_count_rows_and_keep_all_strings(spark, pages, monkeypatch):
+    score = lambda df: {r["host"]: r["score"] for r in u.judged(df).where("rule IS NULL").collect()}
+    once = score(pages)
+    again = pages.where("url LIKE '%casino%'").crossJoin(spark.range(20)).drop("id")
+    assert score(pages.union(again)) != once
+    monkeypatch.setattr(u, "SLOTS", 2)
+    assert score(pages.repartition(5)) == once

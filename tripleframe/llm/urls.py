@@ -2,16 +2,18 @@
 
 1. Rules of host and path decide where one fits; the longest wins.
 2. Two variable-order Markov models of characters are counted: one from accepted URLs (allowed by a rule, no seed
-   term in the host), one from rejected ones (a seed term in the host).  At most ``sample`` distinct URLs of each, those
-   with the smallest hashes.  What a rule has already judged, the registered name and the language folder, is left out of the text the models see.
+   term in the host), one from rejected ones (a seed term in the host).  Every labelled URL counts, as often as it occurs; texts in a fifth of
+   all hashes are held out.  What a rule has already judged, the registered name and the language folder, is left out of the text the models see.
 3. A sign is predicted from contexts of up to ``ORDER`` signs; a context seen ``SEEN`` times in a class speaks with the
-   weight of Witten-Bell smoothing, shorter contexts fill in.  For every string of context and sign the
-   log-likelihood difference goes to a table of ``SLOTS`` hashed slots (the more frequent string wins a slot), of one size whatever the corpus.
-   A sign of a URL takes the entry of the longest context that has one.
+   weight of Witten-Bell smoothing, shorter contexts fill in.  Copies of a text count in the shares of signs, but not in this weight: they
+   are no further evidence for a context.  All strings of context and sign are kept with their
+   log-likelihood difference, in a table that grows with the corpus.  A sign of a URL takes the entry of the longest context that has one.
 4. A URL without a rule is blocked if its mean difference by sign is over the threshold, which is calibrated on
-   held-out URLs: in the middle between the classes, but never so low that over ``FALSE_ALARMS`` of accepted ones are blocked.
+   held-out URLs: in the middle between the classes, but never so low that over ``FALSE_ALARMS`` of accepted ones are blocked.  For the
+   threshold alone, differences are rounded up to ``GRID``.
 
-The main path is column algebra only: counting is grouping, and scoring looks up the fixed table row by row, without a shuffle.
+Column algebra and joins only: texts are counted before they are taken apart, and scoring joins the distinct ends of distinct texts with
+the table.  Sums are of whole numbers, so the order of rows doesn't change a score.
 
 Edge cases: a NULL url or one without ``://`` has empty host and path, no rule, and an empty text, which is allowed;
 repeated rows get equal verdicts; without URLs of one class all URLs without a rule are allowed; an empty table gives no
@@ -28,10 +30,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tripleframe.llm.shared import stored
 
 ORDER = 4
-SLOTS = 1 << 17
 SEEN = 2
-SAMPLE = 20_000
 FALSE_ALARMS = 0.001
+UNIT = 1 << 32  # parts of 1 in which differences are added up
+GRID = 0.0001
+SLOTS = 1 << 17  # of the one-row form of a small model
 
 # the rules of the contract: (host, path, allow)
 RULES = (("net", "/", False), ("example.net", "/en/", True), ("example.com", "/de/", False), ("org", "/fr/", True))
@@ -72,15 +75,17 @@ def seen_text(host: Column, path: Column) -> Column:
 
 
 def _grams(texts: DataFrame, k: int) -> DataFrame:
-    """gram (a context of k signs and the next sign), rejected, accepted: counts by class."""
+    """gram (a context of k signs and the next sign), rejected, accepted: counts by class, and ``own_`` both without copies of texts."""
     place = F.explode(F.when(F.length("t") > k, F.sequence(F.lit(k + 1), F.length("t"))))
-    each = texts.select("reject", F.col("t"), place.alias("i")).select("reject", F.substring(F.col("t"), F.col("i") - k, F.lit(k + 1)).alias("gram"))
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return each.groupBy("gram").agg(count(F.col("reject")).alias("rejected"), count(~F.col("reject")).alias("accepted"))
+    each = texts.select("reject", "n", F.col("t"), place.alias("i")).select("reject", "n", F.substring(F.col("t"), F.col("i") - k, F.lit(k + 1)).alias("gram"))
+    count = lambda c, n: F.sum(F.when(c, n).otherwise(0))
+    classes = {"rejected": F.col("reject"), "accepted": ~F.col("reject")}
+    return each.groupBy("gram").agg(*[count(is_c, F.col("n")).alias(c) for c, is_c in classes.items()], *[count(is_c, 1).alias(f"own_{c}") for c, is_c in classes.items()])
 
 
 def _models(texts: DataFrame) -> DataFrame:
-    """gram, n, difference (log-likelihood as rejected less as accepted) of all strings up to ``ORDER`` + 1 signs."""
+    """gram, n, difference (log-likelihood as rejected less as accepted) of all strings up to ``ORDER`` + 1 signs; a text counts ``n`` times, or once."""
+    texts = texts if "n" in texts.columns else texts.withColumn("n", F.lit(1))
     classes = ("rejected", "accepted")
     counts = _grams(texts, 0)
     total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes], F.count(F.lit(1)).alias("kinds")).first()
@@ -88,13 +93,15 @@ def _models(texts: DataFrame) -> DataFrame:
     found = [last]
     for k in range(1, ORDER + 1):
         counts = _grams(texts, k).withColumn("context", F.substring("gram", 1, k))
-        seen = counts.groupBy("context").agg(*[F.sum(c).alias(f"all_{c}") for c in classes], *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"kinds_{c}") for c in classes])
+        sums = [F.sum(c).alias(f"all_{c}") for c in classes] + [F.sum(f"own_{c}").alias(f"texts_{c}") for c in classes]
+        seen = counts.groupBy("context").agg(*sums, *[F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(f"kinds_{c}") for c in classes])
         shorter = last.select(F.col("gram").alias("end"), *[F.col(f"p_{c}").alias(f"q_{c}") for c in classes])
         both = counts.join(seen, "context").withColumn("end", F.substring("gram", 2, k)).join(shorter, "end")
 
         def chance(c: str) -> Column:
-            own = (F.col(c) + F.col(f"kinds_{c}") * F.col(f"q_{c}")) / (F.col(f"all_{c}") + F.col(f"kinds_{c}"))
-            return F.when(F.col(f"all_{c}") >= SEEN, own).otherwise(F.col(f"q_{c}")).alias(f"p_{c}")
+            texts, kinds = F.col(f"texts_{c}"), F.col(f"kinds_{c}")
+            own = (texts * (F.col(c) / F.col(f"all_{c}")) + kinds * F.col(f"q_{c}")) / (texts + kinds)
+            return F.when(texts >= SEEN, own).otherwise(F.col(f"q_{c}")).alias(f"p_{c}")
 
         last = stored(both.select("gram", *classes, *[chance(c) for c in classes]), "grams")
         found.append(last)
@@ -107,7 +114,7 @@ def _slot(gram: Column) -> Column:
 
 
 def _table(models: DataFrame) -> DataFrame:
-    """One row: checks and values, arrays of ``SLOTS`` entries by slot."""
+    """A small model as one row: checks and values, arrays of ``SLOTS`` entries by slot, one string a slot; ``judged`` uses the whole model."""
     entry = F.max_by(F.struct(F.hash("gram").alias("check"), F.col("difference").cast("float").alias("value")), F.struct("n", "gram"))
     kept = models.groupBy(_slot(F.col("gram")).alias("slot")).agg(entry.alias("e"))
     dense = models.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(kept, "slot", "left")
@@ -131,34 +138,44 @@ def mean_difference(text: Column, checks: Column, values: Column) -> Column:
     return F.when(n >= 2, total / (n - 1)).otherwise(F.lit(0.0))
 
 
-def _sampled(texts: DataFrame, sample: int) -> DataFrame:
-    """reject, t, held (kept for calibration): the texts with the smallest hashes, each once."""
-    parts = [texts.where(F.col("reject") == c).select("reject", "t").distinct().orderBy(F.xxhash64("t"), "t").limit(sample) for c in (True, False)]
-    return stored(parts[0].union(parts[1]).withColumn("held", F.pmod(F.hash("t"), F.lit(5)) == 0), "url-sample")
+def _differences(texts: DataFrame, models: DataFrame) -> DataFrame:
+    """t, d (mean log-likelihood difference by sign) of distinct texts; a text without any known sign is left out."""
+    at = F.explode(F.when(F.length("t") > 1, F.sequence(F.lit(2), F.length("t"))))
+    first = F.greatest(F.col("i") - ORDER, F.lit(1))
+    ends = texts.select("t", at.alias("i")).select("t", F.substring(F.col("t"), first, F.col("i") - first + 1).alias("end"))
+    parts = ends.select("end").distinct().select("end", F.explode(F.sequence(F.lit(1), F.length("end"))).alias("k"))
+    parts = parts.select("end", "k", F.substring(F.col("end"), F.length("end") - F.col("k") + 1, F.col("k")).alias("gram"))
+    known = models.select("gram", F.round(F.col("difference") * UNIT).cast("long").alias("value"))
+    longest = stored(parts.join(known, "gram").groupBy("end").agg(F.max_by("value", "k").alias("value")), "url-ends")
+    added = ends.join(longest, "end").groupBy("t").agg(F.sum("value").alias("sum"))
+    return added.select("t", (F.col("sum") / UNIT / (F.length("t") - 1)).alias("d"))
+
+
+def _threshold(held: DataFrame, scored: DataFrame) -> float:
+    """From the held-out texts, each with its ``n`` rows."""
+    on_grid = F.ceil(F.coalesce("d", F.lit(0.0)) / GRID) * GRID
+    counts = held.join(scored, "t", "left").groupBy("reject", on_grid.alias("d")).agg(F.sum("n").alias("n"))
+    of = lambda c, share: F.percentile(F.when(c, F.col("d")), F.lit(share), F.col("n"))
+    reject = F.col("reject")
+    facts = counts.agg(of(reject, 0.5).alias("bad"), of(~reject, 0.5).alias("good"), of(~reject, 1 - FALSE_ALARMS).alias("worst")).first()
+    usable = facts["bad"] is not None and facts["good"] is not None
+    return max((facts["bad"] + facts["good"]) / 2, facts["worst"]) if usable else float("inf")
 
 
-def judged(pages: DataFrame, rules=RULES, seeds=SEEDS, sample: int = SAMPLE) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, score (None where a rule decides) of every row."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    known = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    known = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = known.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("t", seen_text(F.col("host"), F.col("path")))
     seed = F.col("host").rlike("|".join(map(re.escape, seeds)))
-    texts = known.where("t <> ''").withColumn("reject", seed).where(F.col("reject") | (_verdict_of(F.col("rule"), rules) == "allow"))
-    chosen = _sampled(texts, sample)
-    table = _table(_models(chosen.where("NOT held")))
-
-    def with_model(df: DataFrame) -> DataFrame:
-        return df.withColumn("checks", table.select("checks").scalar()).withColumn("values", table.select("values").scalar())
-
-    difference = mean_difference(F.col("t"), F.col("checks"), F.col("values"))
-    test = with_model(chosen.where("held")).select("reject", difference.alias("d"))
-    facts = test.agg(
-        F.percentile(F.when(F.col("reject"), F.col("d")), F.lit(0.5)).alias("bad"),
-        F.percentile(F.when(~F.col("reject"), F.col("d")), F.lit(0.5)).alias("good"),
-        F.percentile(F.when(~F.col("reject"), F.col("d")), F.lit(1 - FALSE_ALARMS)).alias("worst"),
-    ).first()
-    usable = facts["bad"] is not None and facts["good"] is not None
-    threshold = max((facts["bad"] + facts["good"]) / 2, facts["worst"]) if usable else float("inf")
-    score = F.when(F.col("rule").isNull(), difference)
-    verdict = F.coalesce(_verdict_of(F.col("rule"), rules), F.when(F.col("score") > threshold, "block").otherwise("allow"))
-    return with_model(known).withColumn("score", score).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    labelled = known.where("t <> ''").withColumn("reject", seed).where(F.col("reject") | (_verdict_of(F.col("rule"), rules) == "allow"))
+    texts = labelled.groupBy("reject", "t").agg(F.count(F.lit(1)).alias("n"))
+    texts = stored(texts.withColumn("held", F.pmod(F.hash("t"), F.lit(5)) == 0), "url-texts")
+    models = stored(_models(texts.where("NOT held")), "url-model")
+    asked = known.where("rule IS NULL AND t <> ''").select("t").union(texts.where("held").select("t")).distinct()
+    scored = stored(_differences(asked, models), "url-scores")
+    threshold = _threshold(texts.where("held"), scored)
+    score = F.when(F.col("rule").isNull(), F.coalesce("d", F.lit(0.0)))
+    blocked = (F.col("score") > threshold) & (F.col("t") != "")
+    verdict = F.coalesce(_verdict_of(F.col("rule"), rules), F.when(blocked, "block").otherwise("allow"))
+    return known.join(scored, "t", "left").withColumn("score", score).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
