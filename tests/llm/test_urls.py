@@ -97,3 +97,20 @@ def test_models_count_rows_and_keep_all_strings(spark, pages, monkeypatch):
     assert score(pages.union(again)) != once
     monkeypatch.setattr(u, "SLOTS", 2)
     assert score(pages.repartition(5)) == once
+
+
+def test_models_see_all_but_the_parts_of_rules(spark):
+    urls = ["http://casino-win.com/x", "http://a.example.net/en/1", "http://example.com/casino/2", "http://www.example.org/fr/3", "http://net/de", "http://pills.net/es/a"]
+    df = spark.createDataFrame([(x,) for x in urls], "url string")
+    seen = [r["t"] for r in df.select(u.seen_text(u.host_of(F.col("url")), u.path_of(F.col("url"))).alias("t")).collect()]
+    assert seen == ["^casino-win /x$", "^a /0$", "^ /casino/0$", "^www.example /0$", "^ /de$", "^pills /es/a$"]
+
+
+def test_registered_names_are_judged(spark):
+    words = ["tion", "ther", "and", "ering", "blog", "thre", "garden", "music"]
+    good = [f"http://{a}{b}.net/en/{a}" for a in words for b in words] + [f"http://www.{a}{b}.org/fr/{b}" for a in words for b in words]
+    bad = [f"http://{a}-casino.com/{b}" for a in words for b in words]
+    asked = ["http://tion-casin.com/and", "http://bloggarden.com/and"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(asked + [g.replace(".net/en/", ".example.net/en/") for g in good] + bad)], "page_id long, url string")
+    got = {r["host"]: r["verdict"] for r in u.judged(df).where("page_id < 2").collect()}
+    assert got == {"tion-casin.com": "block", "bloggarden.com": "allow"}

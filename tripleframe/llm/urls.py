@@ -3,7 +3,8 @@
 1. Rules of host and path decide where one fits; the longest wins.
 2. Two variable-order Markov models of characters are counted: one from accepted URLs (allowed by a rule, no seed
    term in the host), one from rejected ones (a seed term in the host).  Every labelled URL counts, as often as it occurs; texts in a fifth of
-   all hashes are held out.  What a rule has already judged, the registered name and the language folder, is left out of the text the models see.
+   all hashes are held out.  The domains and folders that the rules name and the top-level
+   label are left out of the text the models see, of all URLs alike; all other labels and folders stay.
 3. A sign is predicted from contexts of up to ``ORDER`` signs; a context seen ``SEEN`` times in a class speaks with the
    weight of Witten-Bell smoothing, shorter contexts fill in.  Copies of a text count in the shares of signs, but not in this weight: they
    are no further evidence for a context.  All strings of context and sign are kept with their
@@ -67,10 +68,12 @@ def _verdict_of(rule: Column, rules=RULES) -> Column:
     return F.when(rule.isin(allowed), "allow").when(rule.isNotNull(), "block")
 
 
-def seen_text(host: Column, path: Column) -> Column:
-    """What the models see: the host below the registered name and the path below its first folder, with ends marked."""
-    below = F.regexp_replace(host, r"\.?[^.]+\.[^.]+$", "")
-    rest = F.regexp_replace(path, r"^/[^/]*", "")
+def seen_text(host: Column, path: Column, rules=RULES) -> Column:
+    """What the models see: the host without a rule's domain (or else the top-level label) at its end and the path without a rule's folder at
+    its start, with ends marked.  Accepted URLs only have the top-level labels of rules, so that label would stand for the rules again."""
+    domains, starts = ("|".join(re.escape(x) for x in sorted({r[k] for r in rules}) if x != "/") or "(?!)" for k in (0, 1))
+    below = F.regexp_replace(host, rf"(?:^|\.)(?:{domains})$|(?<=.)\.[^.]+$", "")
+    rest = F.regexp_replace(path, f"^(?:{starts})", "/")
     return F.when(host == "", "").otherwise(F.concat(F.lit("^"), F.regexp_replace(below, "[0-9]", "0"), F.lit(" "), F.regexp_replace(rest, "[0-9]", "0"), F.lit("$")))
 
 
@@ -166,7 +169,7 @@ def judged(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, score (None where a rule decides) of every row."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     known = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = known.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("t", seen_text(F.col("host"), F.col("path")))
+    known = known.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("t", seen_text(F.col("host"), F.col("path"), rules))
     seed = F.col("host").rlike("|".join(map(re.escape, seeds)))
     labelled = known.where("t <> ''").withColumn("reject", seed).where(F.col("reject") | (_verdict_of(F.col("rule"), rules) == "allow"))
     texts = labelled.groupBy("reject", "t").agg(F.count(F.lit(1)).alias("n"))
