@@ -155,3 +155,16 @@ def test_awkward_rows(spark):
     assert [r["text"] for r in got if r["doc_id"] == 3] == [None]
     assert not any("4041894974608795" in (r["text"] or "") or "a@b." in (r["text"] or "") for r in got)
     assert pii.pseudonymized(df.limit(0), KEY).count() == 0
+
+
+def test_a_token_right_behind_is_not_taken_in(spark):
+    ibans = ["ES9121000418450200051332", "BE68539007547034", "BE68 5390 0754 7034", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "NO9386011117947"]
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+4915112345678", "+1 212 555 0199"]
+    rows = [(v, f"{v}{tail}") for v in ibans for tail in ("", " BIC x", " EUR 50", " 2024", " A", f" {ibans[0]}")]
+    rows += [(v, f"{v}{tail}") for v in phones[:2] + phones[3:] for tail in ("", " 12 apples", " 2024", " 5")] + [(phones[2], phones[2])]
+    got = pii.pseudonymized(spark.createDataFrame(rows, "v string, text string"), KEY, into="new").collect()
+    alone = {r["v"]: r["new"] for r in got if r["v"] == r["text"]}
+    assert all(v != new for v, new in alone.items())
+    for r in got:
+        tail = r["text"][len(r["v"]) :]
+        assert r["new"] == alone[r["v"]] + (" " + alone[ibans[0]] if tail[1:] == ibans[0] else tail), r["text"]

@@ -36,11 +36,39 @@ from tripleframe.llm.shared import unused
 ROUNDS = 8
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+# fixed values: length of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_shape(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") + r"\b"
+
+
+# the length of the country ends a match; other lengths and countries go as far as they can, but not into the next account
+_NEXT = rf"(?:{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[0-9]{{2}} ?[A-Z0-9]{{4}}"
+_ANY_IBAN = rf"[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{4}}| (?!{_NEXT})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b"
+IBAN = rf"\b(?:{'|'.join(_iban_shape(n, c) for n, c in IBAN_LENGTHS.items())}|{_ANY_IBAN})"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8,}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
-PHONE = r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+(?:[0-9][ .-]?){6,14}[0-9](?![0-9])"
+# fixed values: digits after the country code, where a country's numbers all have as many
+PHONE_DIGITS = {
+    8: "45 47 65 216 356 372 502 503 504 505 506 507 852 853 965 968 973 974",
+    9: "27 31 32 33 34 40 41 48 51 56 61 66 84 212 213 233 250 251 254 255 256 260 263 351 380 420 421 593 595 886 966 971 972",
+    10: "1 7 20 30 44 52 57 63 81 82 90 91 92 98 234 880",
+    11: "55 86",
+}
+_BY_COUNTRY = "|".join(rf"(?:{codes.replace(' ', '|')})[ .-]?(?:[0-9][ .-]?){{{n - 1}}}[0-9]" for n, codes in PHONE_DIGITS.items())
+# the number of digits of the country ends a match; other counts and countries go as far as they can
+PHONE = (
+    r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    rf"|\+(?:{_BY_COUNTRY})(?![0-9])|\+(?:[0-9][ .-]?){{6,14}}[0-9](?![0-9])"
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 PATTERN = "|".join((EMAIL, IBAN, SECRET, IP, DATE, SSN, CARD, PHONE))
