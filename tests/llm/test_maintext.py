@@ -88,3 +88,19 @@ def test_awkward_rows(spark, pages):
     found = {(r["page_id"], r["n_chars"]) for r in got.where("page_id IS NULL OR page_id < 0").collect()}
     assert {(None, 0), (-1, 0), (-2, 0)} < found and (-3, len("Long text. " * 60_000) - 1) in found
     assert m.extracted(both.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>One.</p><svg class="rule"/><p>Two.</p></article>', ["One.", "Two."]),
+        ("<article><p>One.</p><svg><text>no</text></svg><p>Two.</p></article>", ["One.", "Two."]),
+        ("<head><title>x</title><meta charset='u'><article><p>One.</p></article>", ["One."]),
+        ("<head><script>'<p>no</p>'</script><style>p</style></head><body><p>One.</p>", ["One."]),
+        ("<article><select-list><p>One.</p></select-list><button-group>Two.</button-group></article>", ["One.", "Two."]),
+        ("<p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <math/> more.</p>", ["With x=2 and more."]),
+        ("<p>One.</p><select><option>no</option></select><p>Two.</p>", ["One.", "Two."]),
+    ],
+)
+def test_silent_elements_end_where_they_end(page, want):
+    assert [b.text for b in m.blocks(page)] == want

@@ -32,9 +32,13 @@ DIMENSIONS = 1 << 14
 SAMPLE = 150
 
 # fixed values: elements by their part in a page
-SILENT = ("script", "style", "template", "noscript", "iframe", "object", "svg", "math", "head", "title", "textarea", "select", "button", "canvas", "audio", "video")
+SILENT = ("script", "style", "template", "noscript", "iframe", "object", "svg", "head", "title", "textarea", "select", "button", "canvas", "audio", "video")
+# what may stand in a head
+HEAD = "html head base basefont bgsound link meta noframes noscript script style template title"
+# mathematics is text of the line
+MATH = "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml"
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    f"{MATH} a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OTHER_TAGS = frozenset("nav header footer aside form fieldset dialog menu".split())
@@ -48,7 +52,7 @@ OTHER_NAMES = (
 MAIN_NAMES = "content article post entry story main body text maincontent articlebody postbody entrycontent prose".split()
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<silent>" + "|".join(SILENT) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"<!--.*?(?:-->|\Z)|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])(?P<inside>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:[\"'].*)?\Z|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
@@ -70,6 +74,24 @@ def _names_of(rest: str) -> frozenset[str]:
     return frozenset(x for x in _SPLIT.split(found.lower()) if x)
 
 
+_HEAD_PART = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|noframes|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>"
+    r"|(?P<end></head(?=[\s/>])[^>]*>)|(?P<body><(?!(?:" + HEAD.replace(" ", "|") + r")(?=[\s/>]))[a-z])|[^<]++|<",
+    re.S | re.I,
+)
+
+
+def _after_head(page: str, at: int) -> int:
+    """Where an open head ends: after its end tag or before the first tag that may not stand in it."""
+    while m := _HEAD_PART.match(page, at):
+        if m["end"]:
+            return m.end()
+        if m["body"]:
+            return m.start()
+        at = m.end()
+    return len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, their character references decoded and white space single."""
     out: list[Block] = []
@@ -94,8 +116,13 @@ def blocks(page: str | None) -> list[Block]:
             linked += len(text) if links else 0
         elif m["silent"]:
             tag = m["silent"].lower()
-            stop = re.compile(rf"</{tag}\b[^>]*>|<body\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = len(page) if not stop else stop.start() if stop[0][1] != "/" else stop.end()
+            if tag == "svg" and m["inside"].endswith("/"):
+                continue
+            if tag == "head":
+                at = _after_head(page, at)
+                continue
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = stop.end() if stop else len(page)
         elif m["tag"]:
             tag = m["tag"].lower()
             if tag in INLINE:
