@@ -9,8 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_one_query():
-    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]) if q.startswith("op") else 99) == [*(q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")), "pipeline"]
-    assert len(QUERIES) == 11
+    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]) if q.startswith("op") else 99) == [*(q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")), "pipeline"]
+    assert len(QUERIES) == 14
 
 
 @pytest.mark.parametrize("name", SQL)

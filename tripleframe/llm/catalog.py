@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripleframe.llm import ann, decontaminate, idfiles, maintext, neardup, packing, pii, quality, sharding, urls
+from tripleframe.llm import ann, centroids, decontaminate, idfiles, linededup, maintext, merkle, neardup, packing, pii, quality, sharding, urls
 from tripleframe.llm.shared import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -113,3 +113,122 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.node) AS component_id, s.doc_id = min(r.node) AS kept
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
 """
+
+
+def _lowered(text):
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@_query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, and roots folded from tampered texts where 5 divides the checksum of the id."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, _lowered("text"))
+    return merkle.checked(table(spark, sf_dir, "documents"), tampered)
+
+
+def _merkle_levels(name: str, groups: int) -> str:
+    """CTEs ``name``0 to ``name``groups over ``name``0 (g, pos, h, m): every level above, groups of one node staying as they are."""
+    level = """
+{name}{n} AS (
+  SELECT g, pos // 16 AS pos, CASE WHEN m = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, CAST(ceil(m / 16) AS BIGINT) AS m
+  FROM {name}{below} GROUP BY g, pos // 16, m
+), {name}_run{below} AS (
+  SELECT g, pos // 16 AS up, m, string_agg(h, '' ORDER BY pos) AS run FROM {name}{below} GROUP BY g, pos // 16, m
+)"""
+    return ",".join(level.format(name=name, n=n + 1, below=n) for n in range(groups))
+
+
+def _merkle_steps(name: str, groups: int, start: str, g: str, pos: str) -> tuple[str, str]:
+    """CTEs that carry ``proof`` and ``node`` of the rows of ``start`` up all levels; the last one's name."""
+    parts, held = [], start
+    for n in range(groups):
+        at = f"CAST({pos} // {16 ** n} % 16 AS INTEGER)"
+        parts.append(f"""
+{name}_up{n} AS (
+  SELECT s.* REPLACE (s.proof || CASE WHEN r.m = 1 THEN '' ELSE run[:64 * {at}] || run[64 * {at} + 65:] END AS proof,
+    CASE WHEN r.m = 1 THEN s.node ELSE sha256(run[:64 * {at}] || s.node || run[64 * {at} + 65:]) END AS node)
+  FROM {held} s JOIN {name}_run{n} r ON r.g = s.{g} AND r.up = s.{pos} // {16 ** (n + 1)}
+)""")
+        held = f"{name}_up{n}"
+    return ",".join(parts), held
+
+
+_UP, _LAST = _merkle_steps("src", 5, "leafs", "g", "pos")
+_UP2, _LAST2 = _merkle_steps("top", 4, "lifted", "one", "place")
+_PART = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_HEAD = " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+SQL["op11_merkle"] = f"""
+WITH summed AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384))) AS crc FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256({_HEAD} || {_PART.format('text')}) AS leaf,
+    sha256({_HEAD} || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END END) AS node FROM summed
+), leafs AS (
+  SELECT doc_id, leaf, node, '' AS proof, coalesce('=' || source, '') AS g, count(*) OVER (PARTITION BY source) AS m,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+), src0 AS (SELECT g, pos, leaf AS h, m FROM leafs), {_merkle_levels('src', 5)}, {_UP}, top0 AS (
+  SELECT 0 AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, h, count(*) OVER () AS m, g AS own FROM src5
+), {_merkle_levels('top', 4)}, lifted AS (
+  SELECT s.doc_id, s.leaf, t.h AS subroot, s.node, s.proof, 0 AS one, t.pos AS place FROM {_LAST} s JOIN top0 t ON t.own = s.g
+), {_UP2}
+SELECT s.doc_id, s.leaf, s.subroot, r.h AS root, sha256(s.proof) AS proof_sha256, s.node AS folded_root, s.node = r.h AS verified
+FROM {_LAST2} s, top4 r
+"""
+
+
+@_query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors after three rounds."""
+    return centroids.with_inertia(centroids.clusters(table(spark, sf_dir, "embeddings")))
+
+
+def _kmeans_round(n: int) -> str:
+    return f"""
+near{n} AS (
+  SELECT k.row, arg_min(c.j, d.d * 16 + c.j) AS j, min(d.d) AS d
+  FROM kept k, center{n} c, LATERAL (SELECT CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT) AS d) d
+  GROUP BY k.row
+), mean{n} AS (
+  SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT a.j, unnest(k.v) AS x, unnest(range(1, 65)) AS i FROM near{n} a JOIN kept k USING (row)) GROUP BY j, i
+  ) GROUP BY j
+), center{n + 1} AS (SELECT c.j, coalesce(m.v, c.v) AS v FROM center{n} c LEFT JOIN mean{n} m USING (j))"""
+
+
+SQL["op12_centroids"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), center0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS j, v FROM kept ORDER BY j LIMIT 16
+), {_kmeans_round(0)}, {_kmeans_round(1)}, {_kmeans_round(2)}, {_kmeans_round(3)}
+SELECT k.vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM near3 a JOIN kept k USING (row) JOIN center3 c ON c.j = a.j
+"""
+
+
+@_query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents before and after those that three documents share went."""
+    found = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op13_line_dedup"] = """
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT row, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM texts
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), held AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.*, h.k IS NOT NULL AND l.doc_id IS DISTINCT FROM h.keeper AS gone FROM keyed l LEFT JOIN held h USING (k)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY row
+"""
