@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from tripleframe.fixed import INSTANCE_OF, SUBCLASS_OF
 from tripleframe.operators import extract
 from tripleframe.operators.linking import distinct_labels, link_labels, link_predicates
+from tripleframe.operators.names import name_index
 from tripleframe.plans.ranking import spread_nulls
+from tripleframe.shared import stored
 
 
 def statement_exists(id_triples: DataFrame, kb_statement: DataFrame) -> DataFrame:
@@ -161,8 +163,9 @@ def check_distinct(
     The plan is one line of joins: three for the links, one each for constraint flags and statements, and
     one pass over both ends of every triple for the types.
     """
-    entities = link_labels(distinct_labels(triples, "s", "o"), kb_label, "item", keep_unlinked=False).select("label", "id")
-    predicates = link_predicates(distinct_labels(triples, "p"), kb_label, keep_unlinked=False)
+    index = name_index(kb_label)
+    entities = stored(link_labels(distinct_labels(triples, "s", "o"), kb_label, "item", False, index).select("label", "id"), "entities")
+    predicates = link_predicates(distinct_labels(triples, "p"), kb_label, False, index)
     held = kb_statement.select(F.col("s").alias("s_id"), F.col("p").alias("p_id"), F.col("o").alias("o_id")).distinct()
     linked = (
         triples.join(entities.withColumnsRenamed({"label": "s", "id": "s_id"}), "s", "left")

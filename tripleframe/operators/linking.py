@@ -5,9 +5,8 @@ be missing.  Names are compared trimmed and in lower case.  The best entry of a
 smallest (match class, minus popularity, id), where the class is 1 for the label itself, 2 for an alias
 and 3 for a longer name that starts with the label.
 
-Only distinct labels are linked.  The knowledge base is cut to its best entry per name before it meets
-them, so a name shared by many entries joins as one row, and no pair of labels and entries is formed that
-is not a match.
+Only distinct labels are linked, by search in a sorted index of the names (see ``names``).  The index may be built once and
+passed to any number of calls; otherwise each call builds its own.
 """
 
 from __future__ import annotations
@@ -15,23 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripleframe.fixed import NO_DESCRIPTION, NO_LABEL, PREDICATE_PREFIXES
-from tripleframe.functions.text import strip
-
-
-def normal_name(label: Column) -> Column:
-    return F.lower(strip(label))
-
-
-def kb_entries(kb_label: DataFrame, kind: str | None = None) -> DataFrame:
-    """Entries with their lower-case ``name`` and ``alias_names``."""
-    entries = kb_label if kind is None else kb_label.where(F.col("kind") == kind)
-    aliases = F.col("aliases") if "aliases" in kb_label.columns else F.array().cast("array<string>")
-    return entries.withColumns(
-        {
-            "name": normal_name(F.col("label")),
-            "alias_names": F.transform(F.coalesce(aliases, F.array().cast("array<string>")), normal_name),
-        }
-    )
+from tripleframe.operators.names import NameIndex, best_entries, name_index, normal_name
+from tripleframe.shared import stored
 
 
 def distinct_labels(df: DataFrame, *columns: str) -> DataFrame:
@@ -40,59 +24,22 @@ def distinct_labels(df: DataFrame, *columns: str) -> DataFrame:
     return labels.where(F.col("label").isNotNull()).distinct()
 
 
-def spelled_names(kb_label: DataFrame, kind: str) -> DataFrame:
-    """Entries under every prefix of their names: ``(name, id, popularity, match_class)``, one row per pair.
-
-    An equality join on ``name`` then finds exact, alias and prefix matches alike.  The rows carry no text
-    but the prefix itself.
-    """
-    def prefixes(name: Column) -> Column:
-        return F.when(
-            F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n))
-        )
-
-    every_name = F.concat(F.array(F.col("own")), F.col("alias_names"))
-    spelled = F.array_distinct(F.flatten(F.filter(F.transform(every_name, prefixes), lambda x: x.isNotNull())))
-    rows = (
-        kb_entries(kb_label, kind)
-        .select("id", "popularity", F.col("name").alias("own"), "alias_names")
-        # the outer explode keeps the optimizer from building the list twice to test its size
-        .select("id", "popularity", "own", "alias_names", F.explode_outer(spelled).alias("name"))
-    )
-    exactness = F.when(F.col("name") == F.col("own"), 1).when(F.array_contains("alias_names", F.col("name")), 2).otherwise(3)
-    return rows.select("name", "id", "popularity", exactness.alias("match_class"))
-
-
-def _order() -> Column:
-    return F.struct(F.col("match_class"), (-F.col("popularity")).alias("unpopular"), F.col("id"))
-
-
-def best_names(kb_label: DataFrame, kind: str) -> DataFrame:
-    """``(name, best)``: the best entry of every name and prefix of a name.
-
-    The minimum is taken in each map task first, so a short prefix that many entries start with, or a name
-    many entries share, sends one row per task and joins as one row.
-    """
-    return spelled_names(kb_label, kind).groupBy("name").agg(F.min(_order()).alias("best"))
-
-
-def best_links(wanted: DataFrame, kb_label: DataFrame, kind: str, by: str = "label") -> DataFrame:
-    """Best entry of every ``by`` value of ``wanted(by, name)`` that has one: ``(by, id, match_class)``.
-
-    """
-    found = best_names(kb_label, kind).join(wanted, "name").groupBy(by).agg(F.min("best").alias("best"))
-    return found.select(by, F.col("best.id").alias("id"), F.col("best.match_class").alias("match_class"))
+def index_of(kb_label: DataFrame, kind: str, index: NameIndex | None) -> NameIndex:
+    return index or name_index(kb_label.where(F.col("kind") == kind))
 
 
-def link_labels(labels: DataFrame, kb_label: DataFrame, kind: str = "item", keep_unlinked: bool = True) -> DataFrame:
+def link_labels(
+    labels: DataFrame, kb_label: DataFrame, kind: str = "item", keep_unlinked: bool = True, index: NameIndex | None = None
+) -> DataFrame:
     """Best id of every distinct label: ``(label, id, match_class)``, NULL where nothing matches.
 
     ``keep_unlinked=False`` leaves labels without a match out, for callers that join the links to their
     own rows anyway.
     """
-    distinct = labels.select("label").distinct()
-    links = best_links(distinct.withColumn("name", normal_name(F.col("label"))), kb_label, kind)
-    return distinct.join(links, "label", "left") if keep_unlinked else links
+    named = stored(labels.select("label").distinct().select("label", normal_name(F.col("label")).alias("name")), "labels")
+    best = best_entries(named.select(F.lit(kind).alias("kind"), "name").distinct(), index_of(kb_label, kind, index), 1)
+    links = named.join(best.select("name", "id", "match_class"), "name", "left" if keep_unlinked else "inner")
+    return links.select("label", "id", "match_class")
 
 
 def strip_function_words(label: Column) -> Column:
@@ -103,32 +50,26 @@ def strip_function_words(label: Column) -> Column:
     return F.when(hit.isNotNull(), F.try_element_at(pieces, F.lit(-1)))
 
 
-def link_predicates(labels: DataFrame, kb_label: DataFrame, keep_unlinked: bool = True) -> DataFrame:
+def link_predicates(
+    labels: DataFrame, kb_label: DataFrame, keep_unlinked: bool = True, index: NameIndex | None = None
+) -> DataFrame:
     """Property of every distinct predicate: ``(label, direct_id, stripped, id)``.
 
     ``direct_id`` is the link of the predicate as it stands; where there is none, ``id`` is the link of the
-    predicate without its leading function words.  Both names are looked up in the same join.
+    predicate without its leading function words.  Both names are looked up together.
     """
-    distinct = labels.select("label").distinct()
-    tried = distinct.select(
-        "label",
-        F.explode(
-            F.array(
-                F.struct(F.lit(True).alias("direct"), normal_name(F.col("label")).alias("name")),
-                F.struct(F.lit(False).alias("direct"), normal_name(strip_function_words(F.col("label"))).alias("name")),
-            )
-        ).alias("t"),
-    ).select("label", "t.direct", "t.name")
-    found = best_names(kb_label, "property").join(tried, "name").groupBy("label").agg(
-        F.min(F.when(F.col("direct"), F.col("best"))).alias("first"), F.min(F.when(~F.col("direct"), F.col("best"))).alias("second")
+    cut = strip_function_words(F.col("label"))
+    named = labels.select("label").distinct().select("label", cut.alias("cut"), normal_name(F.col("label")).alias("name"), normal_name(cut).alias("cut_name"))
+    named = stored(named, "predicates")
+    texts = named.select(F.lit("property").alias("kind"), F.explode(F.array("name", "cut_name")).alias("name")).distinct()
+    best = stored(best_entries(texts, index_of(kb_label, "property", index), 1).select("name", "id"), "links")
+    links = named.join(best.withColumnRenamed("id", "direct_id"), "name", "left").join(
+        best.withColumnsRenamed({"id": "cut_id", "name": "cut_name"}), "cut_name", "left"
     )
-    links = found.select(
-        "label", F.col("first.id").alias("direct_id"), F.coalesce("first.id", "second.id").alias("id")
+    found = links.select(
+        "label", "direct_id", F.when(F.col("direct_id").isNull(), F.col("cut")).alias("stripped"), F.coalesce("direct_id", "cut_id").alias("id")
     )
-    if not keep_unlinked:
-        return links
-    stripped = F.when(F.col("direct_id").isNull(), strip_function_words(F.col("label")))
-    return distinct.join(links, "label", "left").select("label", "direct_id", stripped.alias("stripped"), "id")
+    return found if keep_unlinked else found.where(F.col("id").isNotNull())
 
 
 def describe_ids(ids: DataFrame, kb_label: DataFrame, keep_unknown: bool = False) -> DataFrame:
@@ -168,10 +109,11 @@ def mentions(triples: DataFrame, kb_label: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), F.col(label).alias("label"))
 
     seen = triples.select("run", F.explode(F.array(part("relation", "p"), part("entity", "s"), part("entity", "o"))).alias("m"))
-    distinct = seen.select("run", "m.kind", "m.label").distinct()
+    distinct = stored(seen.select("run", "m.kind", "m.label").distinct(), "mentions")
     of = lambda kind: distinct.where((F.col("kind") == kind) & F.col("label").isNotNull()).select("label").distinct()
-    entities = link_labels(of("entity"), kb_label, "item", keep_unlinked=False).select(F.lit("entity").alias("kind"), "label", "id")
-    relations = link_labels(of("relation"), kb_label, "property", keep_unlinked=False).select(F.lit("relation").alias("kind"), "label", "id")
+    index = name_index(kb_label)
+    entities = link_labels(of("entity"), kb_label, "item", False, index).select(F.lit("entity").alias("kind"), "label", "id")
+    relations = link_labels(of("relation"), kb_label, "property", False, index).select(F.lit("relation").alias("kind"), "label", "id")
     return distinct.join(entities.unionByName(relations), ["kind", "label"], "left").select("run", "kind", "label", "id")
 
 

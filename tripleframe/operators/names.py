@@ -29,7 +29,7 @@ ship_by_value(__name__)
 ship_by_value(meeting.__name__)
 
 PART_NAMES = 1 << 16
-TEXTS = 1 << 17  # texts a task looks up in one part
+TEXTS = 1 << 14  # texts a task looks up in one part
 NONE = np.iinfo(np.int64).max
 END = b"\xff"  # follows every sign of UTF-8
 
@@ -142,7 +142,7 @@ def best_entries(texts: DataFrame, index: NameIndex, k: int) -> DataFrame:
             return pd.DataFrame({c: [] for c in ("kind", "name", "id", "match_class", "popularity")})
         names = names.assign(key=[n.encode() for n in names["name"]])
         names = names.sort_values(["key", "alias", "id"], ignore_index=True)
-        unpopular = -names["popularity"].astype(float).fillna(-np.inf)
+        unpopular = (-names["popularity"].astype(float)).fillna(np.inf)
         order = np.lexsort((names["id"], unpopular))
         # the rows of one entry share a rank
         entry = list(zip(unpopular.to_numpy()[order], names["id"].to_numpy()[order]))
