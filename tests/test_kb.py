@@ -188,3 +188,19 @@ def test_many_parents_give_pairs_not_paths(spark):
     rows = kb.type_closure(spark.createDataFrame([("x",)], "id string"), statement).collect()
     want = {(0, names[0][0])} | {(n, c) for n in (1, 2, 3) for c in names[n]}
     assert {(r["hop"], r["class_id"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_unrelated_classes_end_at_the_first_join(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.createDataFrame([("x", "P31", "C0"), *((f"C{i}", "P279", f"C{i + 1}") for i in range(4))], "s string, p string, o string")
+    others = spark.range(1_000_000).select(F.concat(F.lit("U"), "id").alias("s"), F.lit("P279").alias("p"), F.concat(F.lit("U"), F.col("id") + 1).alias("o"))
+    written = []
+    real = kb.stored
+    kb.stored = lambda df, name: written.append((name, real(df, name))) or written[-1][1]
+    try:
+        rows = kb.type_closure(spark.createDataFrame([("x",)], "id string"), chain.unionByName(others)).collect()
+    finally:
+        kb.stored = real
+    assert {(r["hop"], r["class_id"]) for r in rows} == {(n, f"C{n}") for n in range(4)}
+    assert [(name, df.count()) for name, df in written] == [("first-classes", 1), ("hop-1", 1), ("hop-2", 1), ("hop-3", 1)]

@@ -65,24 +65,39 @@ def _edges(kb_statement: DataFrame, prop: str) -> DataFrame:
     return chosen.select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
 
 
-def _class_closure(upward: DataFrame, full_chain: bool) -> DataFrame:
-    """Distinct ``(class0, hop, class_id)`` for hops 0 to 3 above every class that has a parent.
+def class_closure(classes: DataFrame, kb_statement: DataFrame, full_chain: bool = True) -> DataFrame:
+    """Distinct ``(class0, hop, class_id)`` for hops 0 to 3 above the given ``classes(class0)``.
 
-    With ``full_chain`` only chains of three edges count, each for all its four classes.
+    With ``full_chain`` only chains of three subclass edges count, each for all its four classes.  A hop reads only the
+    edges above the classes the last one reached; the edges taken are written, so classes nobody asks for are
+    dropped by the first join and chains are checked on the reached part of the graph alone.
     """
-    # pairs, not paths: every hop adds the parents of the last one and drops copies
-    parents = upward.groupBy(F.col("child").alias("class_id")).agg(F.collect_set("parent").alias("parents"))
-    pairs = upward.select(F.col("child").alias("class0"), F.col("child").alias("class_id"), F.lit(0).alias("hop")).distinct()
+    edges = _edges(kb_statement, SUBCLASS_OF)
+    pairs = [classes.select("class0", F.col("class0").alias("class_id")).distinct()]
+    frontier, steps = pairs[0].select("class_id"), []
     for n in (1, 2, 3):
-        above = F.when(F.col("hop") == n - 1, F.transform("parents", lambda p: F.struct(F.lit(n).alias("hop"), p.alias("class_id"))))
-        own = F.array(F.struct("hop", "class_id"))
-        both = F.explode(F.concat(own, F.coalesce(above, F.array().cast("array<struct<hop:int,class_id:string>>"))))
-        pairs = pairs.join(parents, "class_id", "left").select("class0", both.alias("h")).select("class0", "h.hop", "h.class_id").distinct()
-    if not full_chain:
-        return pairs
-    # a class at hop n is on a chain of three if as many edges as are left go on above it
-    height = pairs.groupBy(F.col("class0").alias("class_id")).agg(F.max("hop").alias("height"))
-    return pairs.join(height, "class_id", "left").where(F.coalesce("height", F.lit(0)) + F.col("hop") >= 3).select("class0", "hop", "class_id")
+        steps.append(stored(edges.join(frontier, F.col("child") == F.col("class_id"), "left_semi"), f"hop-{n}"))
+        frontier = steps[-1].select(F.col("parent").alias("class_id")).distinct()
+    for n, step in enumerate(steps):
+        above = pairs[n].join(step.withColumnRenamed("child", "class_id"), "class_id")
+        pairs.append(above.select("class0", F.col("parent").alias("class_id")).distinct())
+    if full_chain:
+        # what is on a chain: at hop 2 the classes with an edge, below them those with an edge to such a class
+        goes_on = steps[2].select("child")
+        for n in (2, 1, 0):
+            pairs[n] = pairs[n].join(goes_on, F.col("class_id") == F.col("child"), "left_semi")
+            if n:
+                goes_on = steps[n - 1].join(goes_on.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child")
+    closure = pairs[0].withColumn("hop", F.lit(0))
+    for n in (1, 2, 3):
+        closure = closure.unionByName(pairs[n].withColumn("hop", F.lit(n)))
+    return closure.select("class0", "hop", "class_id")
+
+
+def _first_classes(ids: DataFrame, kb_statement: DataFrame, firsts: Sequence[str]) -> DataFrame:
+    """Distinct ``(id, class0)`` of the ids asked for, written once."""
+    chosen = kb_statement.where(F.col("p").isin(*firsts)).select(F.col("s").alias("id"), F.col("o").alias("class0"))
+    return stored(chosen.join(ids.select("id").distinct(), "id", "left_semi").distinct(), "first-classes")
 
 
 def type_closure(
@@ -91,23 +106,11 @@ def type_closure(
     """Distinct ``(id, hop, class_id)``: classes reached by one ``first`` edge and up to three subclass edges.
 
     By default an id counts only along chains with all three subclass edges; ``full_chain=False`` takes
-    shorter ones too.  The class graph is closed over once, for classes, and then met with the ids.
+    shorter ones too.  The class graph is followed from the classes of the ids, once per class.
     """
-    firsts = [first] if isinstance(first, str) else list(first)
-    start = (
-        kb_statement.where(F.col("p").isin(firsts))
-        .select(F.col("s").alias("id"), F.col("o").alias("class0"))
-        .distinct()
-        .join(ids.select("id").distinct(), "id", "left_semi")
-    )
-    closure = _class_closure(_edges(kb_statement, SUBCLASS_OF), full_chain)
-    if full_chain:
-        return start.join(closure, "class0").select("id", "hop", "class_id").distinct()
-    both = F.array(
-        F.struct(F.lit(0).alias("hop"), F.col("class0").alias("class_id")), F.struct(F.col("hop"), F.col("class_id"))
-    )
-    rows = start.join(closure, "class0", "left").select("id", F.explode(both).alias("h"))
-    return rows.select("id", "h.hop", "h.class_id").where(F.col("class_id").isNotNull()).distinct()
+    start = _first_classes(ids, kb_statement, [first] if isinstance(first, str) else list(first))
+    closure = class_closure(start.select("class0"), kb_statement, full_chain)
+    return start.join(closure, "class0").where(F.col("class_id").isNotNull()).select("id", "hop", "class_id").distinct()
 
 
 def merge_types(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -136,20 +139,19 @@ def match_types(pairs: DataFrame, types: DataFrame, kb_constraint: DataFrame, ct
     )
 
 
-def class_fits(kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True, properties: DataFrame | None = None) -> DataFrame:
+def class_fits(
+    classes: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True, properties: DataFrame | None = None
+) -> DataFrame:
     """``(class0, ctype, property, fit)``: lowest hop, with the class and its label, at which things of a class meet a constraint.
 
-    Reads the class graph only, never the instances; with ``properties(property)`` the constraints of these only.
+    Follows the class graph from ``classes(class0)``; with ``properties(property)`` the constraints of these only.
     """
     allowed = with_class_labels(kb_constraint).groupBy("property", "ctype", "class_id").agg(F.min("class_label").alias("class_label"))
     if properties is not None:
         allowed = allowed.join(properties, "property", "left_semi")
-    closure = _class_closure(_edges(kb_statement, SUBCLASS_OF), full_chain)
-    if not full_chain:  # a class at the top of the graph still allows its own instances
-        own = allowed.select(F.col("class_id").alias("class0"), F.lit(0).alias("hop"), "class_id")
-        closure = closure.unionByName(own)
     return (
-        closure.join(allowed, "class_id")
+        class_closure(classes, kb_statement, full_chain)
+        .join(allowed, "class_id")
         .groupBy("class0", "ctype", "property")
         .agg(F.min(F.struct("hop", "class_id", "class_label")).alias("fit"))
     )
@@ -165,7 +167,7 @@ def check_distinct(
     """
     index = name_index(kb_label)
     entities = stored(link_labels(distinct_labels(triples, "s", "o"), kb_label, "item", False, index).select("label", "id"), "entities")
-    predicates = link_predicates(distinct_labels(triples, "p"), kb_label, False, index)
+    predicates = stored(link_predicates(distinct_labels(triples, "p"), kb_label, False, index), "predicates")
     held = kb_statement.select(F.col("s").alias("s_id"), F.col("p").alias("p_id"), F.col("o").alias("o_id")).distinct()
     linked = (
         triples.join(entities.withColumnsRenamed({"label": "s", "id": "s_id"}), "s", "left")
@@ -182,9 +184,7 @@ def check_distinct(
     linked = linked.join(flagged_property, "p_key", "left").join(stated, ["s_key", "p_key", "o_id"], "left")
 
     # both ends of a triple with the classes of their ids, matched and folded back to one row
-    first_classes = kb_statement.where(F.col("p").isin(INSTANCE_OF, SUBCLASS_OF)).select(
-        F.col("s").alias("end_key"), F.col("o").alias("class0")
-    ).distinct()
+    first_classes = _first_classes(entities, kb_statement, (INSTANCE_OF, SUBCLASS_OF)).withColumnRenamed("id", "end_key")
     ends = linked.withColumn(
         "end", F.explode(F.array(*[
             F.struct(F.lit(ctype).alias("ctype"), F.col(end).alias("end_id"))
@@ -192,7 +192,7 @@ def check_distinct(
         ]))
     ).withColumns({"ctype": F.col("end.ctype"), "end_key": spread_nulls(F.col("end.end_id"), "s", "p", "o")}).drop("end")
     asked = predicates.select(F.col("id").alias("property")).where(F.col("property").isNotNull()).distinct()
-    fits = class_fits(kb_statement, kb_constraint, full_chain, asked).withColumnsRenamed({"property": "p_key", "class0": "class_key"})
+    fits = class_fits(first_classes.select("class0"), kb_statement, kb_constraint, full_chain, asked).withColumnsRenamed({"property": "p_key", "class0": "class_key"})
     carried = ["s_id", "p_direct_id", "p_id", "o_id", "has_domain", "has_range", "held"]
     joined = (
         ends.join(first_classes, "end_key", "left")
