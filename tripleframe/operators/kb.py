@@ -165,6 +165,7 @@ def check_distinct(
     The plan is one line of joins: three for the links, one each for constraint flags and statements, and
     one pass over both ends of every triple for the types.
     """
+    triples = stored(triples, "triples")
     index = name_index(kb_label)
     entities = stored(link_labels(distinct_labels(triples, "s", "o"), kb_label, "item", False, index).select("label", "id"), "entities")
     predicates = stored(link_predicates(distinct_labels(triples, "p"), kb_label, False, index), "predicates")
