@@ -6,7 +6,7 @@ compiled once to a concatenation of literals and columns, so slot text inside th
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tripleframe.fixed import ENTITY_TYPES, RELATIONS
 from tripleframe.functions.text import json_string, json_text, list_literal, strip
 from tripleframe.operators import corpus
-from tripleframe.operators.candidates import candidates_by_string, candidates_by_text, components
-from tripleframe.operators.linking import describe_ids
+from tripleframe.operators.candidates import candidates_by_text, components
+from tripleframe.operators.extract import extract_fenced_json
+from tripleframe.operators.linking import describe_ids, shown_entry
+from tripleframe.operators.names import best_entries, name_index, normal_name
+from tripleframe.operators.retrieve import embed, mmr_examples
+from tripleframe.shared import stored
 
 STRINGS = T.ArrayType(T.StringType())
 
@@ -125,15 +129,36 @@ def document_components(linking_docs: DataFrame) -> DataFrame:
     return linking_docs.select("doc_id", F.explode(both).alias("c")).select("doc_id", "c.*")
 
 
-def with_candidates(parts: DataFrame, kb_label: DataFrame, strategy: str = "string_search", k: int = 10) -> DataFrame:
-    """Candidates of components ``(…, kind, label)``: entities by ``strategy``, relations by name."""
-    def wanted(kind: str) -> DataFrame:
-        return parts.where(F.col("kind") == kind).select("label").distinct()
+KB_KIND = {"entity": "item", "relation": "property"}
+
+
+def candidate_table(labels: DataFrame, kb_label: DataFrame, strategy: str = "string_search", k: int = 10) -> DataFrame:
+    """``(kind, label, candidates)`` of distinct ``(kind, label)``, written once: entities by ``strategy``, relations by name.
+
+    All names of both kinds are looked up in one sorted index and described in one join.
+    """
+    kind = F.when(F.col("kind") == "entity", KB_KIND["entity"]).otherwise(KB_KIND["relation"])
+    named = labels.select("kind", "label", kind.alias("kb_kind"), normal_name(F.col("label")).alias("name"))
+    if strategy == "page_search":
+        named = named.where("kind <> 'entity'")
+    elif strategy != "string_search":
+        raise ValueError(f"no such strategy: {strategy}")
+    best = best_entries(named.select(F.col("kb_kind").alias("kind"), "name").distinct(), name_index(kb_label), k)
+    shown = describe_ids(best.select(F.col("kind").alias("kb_kind"), "name", "rank", "id"), kb_label, keep_unknown=True)
+    lists = shown.groupBy("kb_kind", "name").agg(F.sort_array(F.collect_list(F.struct("rank", shown_entry().alias("entry")))).alias("c"))
+    lists = lists.select("kb_kind", "name", F.col("c.entry").alias("candidates"))
+    table = named.join(lists, ["kb_kind", "name"], "left").select("kind", "label", "candidates")
+    if strategy == "page_search":
+        entities = candidates_by_text(labels.where("kind = 'entity'").select("label"), kb_label, KB_KIND["entity"], k)
+        table = table.unionByName(entities.withColumn("kind", F.lit("entity")))
+    return stored(table, "candidates")
 
-    search = {"string_search": candidates_by_string, "page_search": candidates_by_text}[strategy]
-    entities = search(wanted("entity"), kb_label, "item", k).withColumn("kind", F.lit("entity"))
-    relations = candidates_by_string(wanted("relation"), kb_label, "property", k).withColumn("kind", F.lit("relation"))
-    return parts.join(entities.unionByName(relations), ["kind", "label"], "left")
+
+def with_candidates(parts: DataFrame, kb_label: DataFrame, strategy: str = "string_search", k: int = 10) -> DataFrame:
+    """Candidates of components ``(…, kind, label)``: looked up for distinct labels, joined to the components at the end."""
+    parts = stored(parts, "parts")
+    table = candidate_table(stored(parts.select("kind", "label").distinct(), "labels"), kb_label, strategy, k)
+    return parts.join(table, ["kind", "label"], "left")
 
 
 def el_demonstrations(
@@ -177,6 +202,32 @@ def el_prompts_few_shot(parts: DataFrame, demos: DataFrame, chosen: DataFrame, t
     return filled.select("doc_id", "kind", F.col("extracted_component").alias("label"), "correct_answer", "prompt")
 
 
+def el_prompts_with_retrieval(
+    docs: DataFrame, pool_ids: DataFrame, kb_label: DataFrame, template: Mapping[str, str], make_encoder: Callable, k: int = 1,
+    strategy: str = "string_search", n_candidates: int = 10, parts: DataFrame | None = None,
+) -> DataFrame:
+    """Linking prompts for all components outside the pool documents ``pool_ids(doc_id)``, with ``k`` demonstrations from the pool.
+
+    Demonstrations are made, and their texts, components and candidates encoded, once for pool and queries together; both are
+    written, and only their keys and vectors are searched.
+    """
+    parts = with_candidates(document_components(docs) if parts is None else parts, kb_label, strategy, n_candidates)
+    # flagged once, so that neither side repeats the choice of the pool
+    pool = pool_ids.select("doc_id").distinct().withColumn("in_pool", F.lit(True))
+    name = F.concat_ws("/", F.col("doc_id").cast("string"), "kind", "correct_answer")
+    parts = parts.withColumnRenamed("label", "extracted_component").join(pool, "doc_id", "left").select(
+        name.alias("id"), "doc_id", "kind", "extracted_component", "candidates", "correct_answer", F.coalesce("in_pool", F.lit(False)).alias("in_pool")
+    )
+    parts = stored(parts, "demonstrations")
+    texts = docs.select("doc_id", json_string(strip(F.col("text"))).alias("text"))
+    full = parts.join(texts, "doc_id")
+    encoded = embed(full.withColumn("candidates_text", F.array_join("candidates", " ")), make_encoder, ["text", "extracted_component", "candidates_text"])
+    vectors = stored(encoded.select("id", "in_pool", "embedding"), "vectors")
+    asked = vectors.where("NOT in_pool").select(F.col("id").alias("query_id"), "embedding")
+    chosen = mmr_examples(asked, vectors.where("in_pool").select("id", "embedding"), k)
+    return el_prompts_few_shot(full.where("NOT in_pool").withColumnRenamed("id", "query_id"), full.where("in_pool"), chosen, template)
+
+
 def el_prompts_from_extractions(
     triples: DataFrame, docs: DataFrame, kb_label: DataFrame, template: str, k: int = 10
 ) -> DataFrame:
@@ -189,3 +240,14 @@ def el_prompts_from_extractions(
         "run", "doc_id", "kind", F.col("extracted_component").alias("label"),
         F.col("candidates").isNull().alias("no_candidates"), compiled(template, values).alias("prompt"),
     )
+
+
+def el_prompts_from_generations(
+    generations: DataFrame, docs: DataFrame, kb_label: DataFrame, template: str, text_col: str = "generated_text", k: int = 10
+) -> DataFrame:
+    """Linking prompts for what a generator found: answers ``(run, doc_id, text)`` that are one list of triple objects.
+
+    An answer of another kind has no components; ``extract.extract_fenced_json`` tells which ones those are.
+    """
+    triples = extract_fenced_json(generations, text_col).where("status = 'triples' AND pos IS NOT NULL")
+    return el_prompts_from_extractions(triples, docs, kb_label, template, k)

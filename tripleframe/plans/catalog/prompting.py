@@ -11,6 +11,7 @@ from tripleframe.operators import prompts, retrieve, sampling
 from tripleframe.plans import templates
 from tripleframe.plans.catalog.knowledge import _LINK, _SHOW, _WORDS, _TEXT_HITS, kb_label
 from tripleframe.plans.catalog.registry import Registry
+from tripleframe.shared import stored
 
 ship_by_value(__name__)
 
@@ -173,8 +174,13 @@ _BY_TEXT = f"""{_CANDIDATES}, asked AS (SELECT DISTINCT label FROM parts WHERE k
 _CAND_VIEWS = "fx_pred " + _PART_VIEWS
 
 
-def _parts(spark):
-    return prompts.corpus_components(spark.table("fx_corpus"), kb_label(spark), dictionary=DICTIONARY)
+def _corpus(spark):
+    """The documents, written once: every later step reads them several times."""
+    return stored(spark.table("fx_corpus").select("doc_id", "text", "relations"), "corpus")
+
+
+def _parts(spark, docs):
+    return prompts.corpus_components(docs, kb_label(spark), dictionary=DICTIONARY)
 
 
 def _demos_shown(df):
@@ -190,7 +196,8 @@ LEFT JOIN by_name c ON c.label = p.label AND c.kind = CASE p.kind WHEN 'entity'
 )
 def el_demonstrations(spark):
     """A demonstration per entity and property of every document, candidates by name."""
-    return _demos_shown(prompts.el_demonstrations(spark.table("fx_corpus"), kb_label(spark), "string_search", parts=_parts(spark)))
+    docs = _corpus(spark)
+    return _demos_shown(prompts.el_demonstrations(docs, kb_label(spark), "string_search", parts=_parts(spark, docs)))
 
 
 @R.add(
@@ -202,7 +209,8 @@ LEFT JOIN by_name c ON c.label = p.label AND c.kind = 'property' LEFT JOIN by_te
 )
 def el_demonstrations_text(spark):
     """A demonstration per entity and property, entity candidates by full text."""
-    return _demos_shown(prompts.el_demonstrations(_linking_docs(spark), kb_label(spark), "page_search"))
+    docs = stored(_linking_docs(spark).select("doc_id", "text", "entities", "properties"), "linking-documents")
+    return _demos_shown(prompts.el_demonstrations(docs, kb_label(spark), "page_search"))
 
 
 _LITERAL = "'[''' || array_to_string(c.candidates, ''', ''') || ''']'"
@@ -219,12 +227,11 @@ LEFT JOIN by_name c ON c.label = p.label AND c.kind = CASE p.kind WHEN 'entity'
 )
 def el_prompts(spark):
     """Linking prompts for the gold components."""
-    return prompts.el_prompts(spark.table("fx_corpus"), kb_label(spark), templates.LINKING, parts=_parts(spark))
+    docs = _corpus(spark)
+    return prompts.el_prompts(docs, kb_label(spark), templates.LINKING, parts=_parts(spark, docs))
 
 
-@R.add(
-    "el_prompts_from_extractions",
-    f"""WITH {_LINK.replace("labels AS (", "unused AS (", 1)
+_FROM_EXTRACTIONS = f"""WITH {_LINK.replace("labels AS (", "unused AS (", 1)
   .replace("best AS (", "comps AS (SELECT DISTINCT run, doc_id, 'item' AS k, unnest([s, o]) AS label FROM fx_pred UNION SELECT run, doc_id, 'property', p FROM fx_pred), labels AS (SELECT DISTINCT k AS kind, label FROM comps), best AS (", 1)},
 pairs AS (SELECT l.kind, l.label, n.id, min(CASE WHEN n.name = lower(trim(l.label)) THEN n.c ELSE 3 END) AS c, any_value(n.popularity) AS popularity
   FROM labels l JOIN names n ON n.kind = l.kind AND starts_with(n.name, lower(trim(l.label))) GROUP BY l.kind, l.label, n.id),
@@ -233,9 +240,10 @@ by_name AS (SELECT r.kind, r.label, list({_SHOW} ORDER BY r.rank) AS candidates
 SELECT p.run, p.doc_id, CASE p.k WHEN 'item' THEN 'entity' ELSE 'relation' END AS kind, p.label, c.candidates IS NULL AS no_candidates,
   {_sql_template(templates.LINKING, {"extracted_component": "p.label", "text": chr(39) + chr(34) + chr(39) + " || d.text || " + chr(39) + chr(34) + chr(39),
                                      "candidates": f"coalesce({_LITERAL}, 'None')"})} AS prompt
-FROM comps p JOIN fx_doc_text d ON d.doc_id = p.doc_id LEFT JOIN by_name c ON c.kind = p.k AND c.label = p.label""",
-    "fx_mention fx_pred fx_doc_text fx_kb_label fx_kb_alias",
-)
+FROM comps p JOIN fx_doc_text d ON d.doc_id = p.doc_id LEFT JOIN by_name c ON c.kind = p.k AND c.label = p.label"""
+
+
+@R.add("el_prompts_from_extractions", _FROM_EXTRACTIONS, "fx_mention fx_pred fx_doc_text fx_kb_label fx_kb_alias")
 def el_prompts_from_extractions(spark):
     """Linking prompts for the components of every prediction."""
     return prompts.el_prompts_from_extractions(
@@ -243,6 +251,20 @@ def el_prompts_from_extractions(spark):
     )
 
 
+# of the answer formats, number 1 is a list of triple objects
+@R.add(
+    "el_prompts_from_generations",
+    _FROM_EXTRACTIONS.replace("unnest([s, o]) AS label FROM fx_pred UNION", "unnest([s, o]) AS label FROM fx_pred WHERE doc_id % 16 = 1 UNION")
+    .replace("SELECT run, doc_id, 'property', p FROM fx_pred", "SELECT run, doc_id, 'property', p FROM fx_pred WHERE doc_id % 16 = 1"),
+    "fx_mention fx_pred fx_doc_text fx_kb_label fx_kb_alias",
+)
+def el_prompts_from_generations(spark):
+    """Linking prompts for the components of every generated answer that is a list of triple objects."""
+    return prompts.el_prompts_from_generations(
+        spark.table("fx_generated"), spark.table("fx_corpus"), kb_label(spark), templates.LINKING, "text"
+    )
+
+
 # ---------------------------------------------------------------- caller-supplied functions
 
 
@@ -283,19 +305,36 @@ def embed_stub(spark):
     return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
 
 
-@R.add("el_prompts_few_shot")
+_LETTERS = "list_transform(range(16), lambda b: len(list_filter(string_split({0}, ''), lambda c: unicode(c) % 16 = b))::DOUBLE)"
+_JSON_LIST = "CASE WHEN {0}.candidates IS NULL THEN 'null' ELSE '[\"' || array_to_string({0}.candidates, '\", \"') || '\"]' END"
+_SHOT = {"text": "{0}.text", "extracted_component": "{0}.shown", "candidates": _JSON_LIST, "correct_answer": "{0}.id"}
+
+
+def _shot(template, row, **other):
+    return _sql_template(template, {slot: value.format(row) for slot, value in (_SHOT | other).items()})
+
+
+@R.add(
+    "el_prompts_few_shot",
+    f"""WITH {_CANDIDATES}, pool AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM fx_mention) ORDER BY md5('13:' || doc_id), doc_id LIMIT 300),
+demo AS (SELECT p.doc_id, p.kind, p.id, p.label, '"' || d.text || '"' AS text, '"' || p.label || '"' AS shown, c.candidates, p.doc_id IN (SELECT doc_id FROM pool) AS in_pool
+  FROM parts p JOIN fx_doc_text d ON d.doc_id = p.doc_id LEFT JOIN by_name c ON c.label = p.label AND c.kind = CASE p.kind WHEN 'entity' THEN 'item' ELSE 'property' END),
+in_text AS (SELECT doc_id, {_LETTERS.format("text")} AS e FROM (SELECT DISTINCT doc_id, text FROM demo)),
+in_part AS (SELECT kind, id, {_LETTERS.format("concat_ws(' ', array_to_string(candidates, ' '), label) || ' '")} AS e FROM (SELECT DISTINCT kind, id, label, candidates FROM demo)),
+coded AS (SELECT d.*, d.doc_id || '/' || d.kind || '/' || d.id AS key, list_transform(range(1, 17), lambda i: t.e[i] + p.e[i]) AS v,
+    list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::DOUBLE[16] AS e
+  FROM demo d JOIN in_text t ON t.doc_id = d.doc_id JOIN in_part p ON p.kind = d.kind AND p.id = d.id),
+offered AS (SELECT *, row_number() OVER (ORDER BY key) AS n FROM coded WHERE in_pool),
+asking AS (SELECT *, row_number() OVER (ORDER BY key) AS m FROM coded WHERE NOT in_pool),
+-- the place among equally near ones is in the last digits
+closest AS (SELECT q.m, max(round(array_inner_product(q.e, p.e) * 1e9)::BIGINT * 1000000 - p.n) AS top FROM asking q, offered p GROUP BY q.m)
+SELECT q.doc_id, q.kind, q.label, q.id AS correct_answer, {_sql_text(templates.LINKING_FEW_SHOT["prefix"])} || chr(10) || {_shot(templates.LINKING_FEW_SHOT["formatter"], "o")} || chr(10) ||
+  {_shot(templates.LINKING_FEW_SHOT["suffix"], "q", extracted_component="{0}.label")} AS prompt
+FROM asking q JOIN closest b ON b.m = q.m JOIN offered o ON o.n = (1000000 - b.top % 1000000) % 1000000""",
+    _CAND_VIEWS,
+)
 def el_prompts_few_shot(spark):
     """Linking prompts for all components outside a pool of 300 documents, each with a demonstration from the pool."""
-    pool, rest = sampling.sample_and_rest(spark.table("fx_corpus"), 300, content=["doc_id"])
-    used = ["text", "extracted_component", "candidates_text"]
-
-    def encoded(docs, key):
-        parts = prompts.corpus_components(docs, kb_label(spark), dictionary=DICTIONARY)
-        parts = prompts.el_demonstrations(docs, kb_label(spark), "string_search", parts=parts)
-        name = F.concat_ws("/", F.col("doc_id").cast("string"), "kind", "correct_answer")
-        return retrieve.embed(parts.withColumn("candidates_text", F.array_join("candidates", " ")).withColumn(key, name), _letter_counts, used)
-
-    demos, asked = encoded(pool, "id"), encoded(rest, "query_id")
-    chosen = retrieve.mmr_examples(asked.select("query_id", "embedding"), demos.select("id", "embedding"), 1)
-    parts = asked.select("query_id", "doc_id", "kind", "text", "extracted_component", "candidates", "correct_answer")
-    return prompts.el_prompts_few_shot(parts, demos, chosen, templates.LINKING_FEW_SHOT)
+    docs = _corpus(spark)
+    pool = sampling.sample(docs.select("doc_id"), 300)
+    return prompts.el_prompts_with_retrieval(docs, pool, kb_label(spark), templates.LINKING_FEW_SHOT, _letter_counts, parts=_parts(spark, docs))
