@@ -147,3 +147,23 @@ def test_shingles_are_the_plain_ones():
     for text in ("A b a B a", "one", "", None, "É é É é", "a  b\x0bc\x0cd e", "x " * 50):
         for k in (1, 2, 5):
             assert len(shingle_set(text, k)) == len(plain_set(text, k))
+
+
+def test_cells_of_a_group_lie_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CELL", 40)
+    rng = np.random.default_rng(1)
+    sets = [(i, np.unique(rng.integers(0, 50, 20).astype(np.uint64))) for i in range(120)]
+    table = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in sets], "rep long, n_shingles long, shingles binary")
+    # one bucket: a group of 60 members and 60 satellites of it
+    buckets = spark.createDataFrame([(7, i) for i in range(120)], "key long, rep long")
+    found = spark.createDataFrame([(i, 0) for i in range(1, 60)], "node long, root long")
+    links = nd._across_groups(buckets, found, table, 80)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cell" in plan and "FlatMapGroupsInArrow [cell" in plan
+
+
+def test_names_of_helper_columns_may_be_taken(spark):
+    rows = [(1, "one text of five words here", 5, "a"), (2, "one text of five words here", 6, "b"), (3, None, 7, "c")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, _text_hash long, _no_id string")
+    got = nd.deduplicated(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [rows[0], rows[2]]

@@ -14,7 +14,10 @@
    probability (1 - threshold**rows)**(slots / rows), 5e-8 for the defaults.
 5. Links are contracted by union-find in every task, then by alternating star steps between tasks.
 
-Edge cases: texts without words (NULL, empty, white space) are linked with nothing; rows with a NULL id
+A satellite meets all members and satellites of its group, also those of other buckets: the work grows with satellites
+times members of a group, in cells of bounded size over all tasks.
+
+Ids are integers.  Edge cases: texts without words (NULL, empty, white space) are linked with nothing; rows with a NULL id
 take part in no group and are kept; repeated rows fall into one class and each gets its row; an id on
 several texts stands for all of them; an empty table gives no rows; other columns are not read.
 """
@@ -27,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tripleframe.llm.shared import stored
+from tripleframe.llm.shared import stored, unused
 from tripleframe.llm.words import mix, odd, shingle_set
 
 SLOTS, ROWS = 128, 4
@@ -217,7 +220,10 @@ def _across_groups(buckets: DataFrame, found: DataFrame, sets: DataFrame, thresh
         links = [(a, b) for a, own, b in found if own != b]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return spread.select("group", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.probe").alias("probe"), "rep", "root", "shingles").groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    # a cell is a column of its own: rows dealt by their group would otherwise stay together, all cells of a group in one task
+    name = F.concat_ws("/", F.col("group").cast("string"), F.col("cell.i").cast("string"), F.col("cell.j").cast("string"))
+    cells = spread.select(name.alias("cell"), F.col("cell.probe").alias("probe"), "rep", "root", "shingles")
+    return cells.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -308,7 +314,7 @@ def groups(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, slots: int =
 
 def deduplicated(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with one of every group: its smallest id, of repeated rows one."""
-    mark, tie = "_text_hash", "_no_id"
+    mark, tie = unused("text_hash", docs), unused("no_id", docs)
     found = stored(groups(docs, k, threshold).select("doc_id", F.col("text_hash").alias(mark), "kept"), "groups")
     gone = found.where("NOT kept").select("doc_id", mark).distinct()
     rest = docs.withColumn(mark, F.xxhash64("text")).join(gone, ["doc_id", mark], "left_anti")
