@@ -100,3 +100,19 @@ def test_alignment_is_the_plain_table():
         wide = np.full(len(p) * 3 + len(t) + 2, 0, np.uint32)
         wide[len(p) + 1 : len(p) + 1 + len(t)] = d.signs(t)
         assert d.align(d.signs(p), wide)[0] == least_edits(p, t)
+
+
+def test_repeated_signs_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    index = d.build([(1, "-" * 400), (2, "=" * 70 + " end of a rule"), (3, "a passage of plain words that isn't a rule at all")])
+    small = "-" * 3000 + " words " + "=" * 900 + " end of a rule, a passage of plain words that isn't a rule at all " + "-" * 2000
+    want = d.find_all(index, [small])
+    monkeypatch.setattr(d, "PAIRS", 20_000)
+    assert d.find_all(index, [small]) == want and {r[0] for r in want[0]} == {1, 2, 3}
+    monkeypatch.undo()
+    tracemalloc.start()
+    found = d.find_all(index, ["-" * 150_000 + " a passage of plain words that isn't a rule at all"])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {r[0] for r in found} == {1, 3} and peak < 600 << 20

@@ -30,6 +30,8 @@ BUDGET = 0.08  # edits per sign of a segment
 SEGMENT, STEP = 160, 80
 BLOCK_SIGNS = 2_000_000
 CHUNK = 2_000_000  # signs of documents looked at together
+PAIRS = 1_000_000  # q-gram places of text and segments compared at once
+REACH = 2 * SEGMENT  # signs within which all pairs of a band lie
 _BITS = 22
 _NO_ID = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -103,20 +105,41 @@ def build(items: list[tuple[int, str | None]], q: int = Q, budget: float = BUDGE
 
 
 def candidates(index: Index, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments and first diagonals of the bands that share enough q-grams."""
+    """Segments and first diagonals of the bands that share enough q-grams.
+
+    Where q-grams repeat in text and segments, their pairs are formed in windows of the text.  All pairs of a band lie
+    within ``REACH`` signs, by which windows overlap, so each band is whole in one of them.
+    """
     value = grams(codes, index.q)
     at = np.flatnonzero(index.seen[(value >> np.uint64(64 - _BITS)).astype(np.int64)])
     slot = np.searchsorted(index.values, value[at])
     slot[slot == len(index.values)] = 0
     hit = index.values[slot] == value[at] if len(index.values) else np.zeros(len(at), bool)
     at, slot = at[hit], slot[hit]
+    pairs = np.cumsum(index.first[slot + 1] - index.first[slot])
+    if not len(pairs) or pairs[-1] <= PAIRS:
+        return _bands(index, len(codes), at, slot)
+    found, start = [], 0
+    while start < len(at):
+        done = pairs[start - 1] if start else 0
+        stop = max(int(np.searchsorted(pairs, done + PAIRS, "right")), int(np.searchsorted(at, at[start] + 2 * REACH)), start + 1)
+        found.append(np.stack(_bands(index, len(codes), at[start:stop], slot[start:stop])))
+        if stop >= len(at):
+            break
+        apart = at[stop] - at[stop - 1] >= REACH
+        start = stop if apart else int(np.searchsorted(at, at[stop - 1] - REACH + 1))
+    return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+
+
+def _bands(index: Index, length: int, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bands with enough of the q-grams at the places ``at`` of a text of ``length`` signs."""
     n = index.first[slot + 1] - index.first[slot]
     entry = np.repeat(index.first[slot] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
     segment = index.segment[entry]
     diagonal = np.repeat(at, n) - index.place[entry] + SEGMENT
     width = 2 * index.budgets[segment] + 1
     band = diagonal // width
-    wide = len(codes) + 2 * SEGMENT
+    wide = length + 2 * SEGMENT
     key = np.concatenate([segment * wide + band, segment * wide + band - 1])
     own, where = np.concatenate([index.place[entry]] * 2), np.concatenate([np.repeat(at, n)] * 2)
     for turn in range(3):  # all shared q-grams, then each place of the segment once, then each of the text
@@ -244,7 +267,8 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_SIGNS) -> Iterator[list[tuple
     parts = 1 + 2 * size // most
     plain = benchmark.select(F.col("item_id").cast("long"), "text")
     for k in range(parts):
-        chosen = plain if parts == 1 else plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        # all texts of an item in one block, as regions are merged by item
+        chosen = plain if parts == 1 else plain.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
         yield [tuple(r) for r in chosen.collect()]
 
 
