@@ -104,3 +104,15 @@ def test_awkward_rows(spark, pages):
 )
 def test_silent_elements_end_where_they_end(page, want):
     assert [b.text for b in m.blocks(page)] == want
+
+
+def test_copies_of_a_page_take_one_place_of_the_sample(spark, monkeypatch):
+    pages = [(i, f"<html><body><article><p>page number {i}</p></article></body></html>") for i in range(12)] 
+    df = spark.createDataFrame(pages, "page_id long, html string").withColumn("url", F.lit(""))
+    first = df.orderBy(F.xxhash64("html")).first()["html"]
+    copies = df.union(spark.range(200).select("id", F.lit(first), F.lit("")))
+    seen = []
+    monkeypatch.setattr(m, "labelled", lambda htmls: seen.append(sorted(htmls)))
+    monkeypatch.setattr(m, "train", lambda rows: None)
+    m.fitted(df, 5), m.fitted(copies, 5)
+    assert seen[0] == seen[1] and len(seen[0]) == 5

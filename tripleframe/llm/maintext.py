@@ -316,8 +316,8 @@ def main_text(page: str | None, field: Field) -> str:
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> Field:
     hashed = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
-    # only hashes are ranked, so that pages beyond the sample stay in their tasks
-    cut = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # only distinct hashes are ranked, so that copies of a page don't take the places of others and, so that pages beyond the sample stay in their tasks
+    cut = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = hashed.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.min("html").alias("html"))
     return train(labelled([r["html"] for r in chosen.collect()]))  # at most ``sample`` pages
 
