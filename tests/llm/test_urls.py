@@ -77,11 +77,13 @@ def test_models_are_those_counted_by_hand(spark):
             total += math.log(chance(True, held[-1]) / chance(False, held[-1])) if held else 0
         return total / (len(t) - 1) if len(t) > 1 else 0
 
-    table = u._table(u._models(df))
     probe = spark.createDataFrame([(t,) for _, t in texts] + [("^casion $",), ("",), ("^",), ("^zzz%$",)], "t string")
-    held = probe.withColumn("checks", table.select("checks").scalar()).withColumn("values", table.select("values").scalar())
-    for r in held.select("t", u.mean_difference(F.col("t"), F.col("checks"), F.col("values")).alias("d")).collect():
-        assert r["d"] == pytest.approx(mean(r["t"]), abs=1e-5), r["t"]
+    scored = {r["t"]: r["d"] for r in u._differences(probe.distinct(), u._models(df)).collect()}
+    for t in {r["t"] for r in probe.collect()}:
+        assert scored.get(t, 0.0) == pytest.approx(mean(t), abs=1e-8), t
+    held = spark.createDataFrame([(True, t, 3) for _, t in texts[:4]] + [(False, t, 2) for _, t in texts[-4:]], "reject boolean, t string, n long")
+    assert u._threshold(held, u._differences(held.select("t").distinct(), u._models(df))) >= 0
+    assert u._threshold(held.where("reject"), u._differences(probe, u._models(df))) == float("inf")
 
 
 def test_one_class_or_no_rows(spark):
@@ -90,12 +92,11 @@ def test_one_class_or_no_rows(spark):
     assert u.judged(some.limit(0)).count() == 0
 
 
-def test_models_count_rows_and_keep_all_strings(spark, pages, monkeypatch):
+def test_models_count_rows_and_keep_all_strings(spark, pages):
     score = lambda df: {r["host"]: r["score"] for r in u.judged(df).where("rule IS NULL").collect()}
     once = score(pages)
     again = pages.where("url LIKE '%casino%'").crossJoin(spark.range(20)).drop("id")
     assert score(pages.union(again)) != once
-    monkeypatch.setattr(u, "SLOTS", 2)
     assert score(pages.repartition(5)) == once
 
 

@@ -35,7 +35,6 @@ SEEN = 2
 FALSE_ALARMS = 0.001
 UNIT = 1 << 32  # parts of 1 in which differences are added up
 GRID = 0.0001
-SLOTS = 1 << 17  # of the one-row form of a small model
 
 # the rules of the contract: (host, path, allow)
 RULES = (("net", "/", False), ("example.net", "/en/", True), ("example.com", "/de/", False), ("org", "/fr/", True))
@@ -112,35 +111,6 @@ def _models(texts: DataFrame) -> DataFrame:
     return every.select("gram", (F.col("rejected") + F.col("accepted")).alias("n"), (F.log("p_rejected") - F.log("p_accepted")).alias("difference"))
 
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
-def _table(models: DataFrame) -> DataFrame:
-    """A small model as one row: checks and values, arrays of ``SLOTS`` entries by slot, one string a slot; ``judged`` uses the whole model."""
-    entry = F.max_by(F.struct(F.hash("gram").alias("check"), F.col("difference").cast("float").alias("value")), F.struct("n", "gram"))
-    kept = models.groupBy(_slot(F.col("gram")).alias("slot")).agg(entry.alias("e"))
-    dense = models.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(kept, "slot", "left")
-    row = dense.agg(F.array_sort(F.collect_list(F.struct("slot", "e.check", "e.value"))).alias("rows"))
-    return stored(row.select(F.transform("rows", lambda r: r["check"]).alias("checks"), F.transform("rows", lambda r: r["value"]).alias("values")), "url-model")
-
-
-def mean_difference(text: Column, checks: Column, values: Column) -> Column:
-    """Mean log-likelihood difference by sign; 0 for an empty text."""
-
-    def sign(i: Column) -> Column:
-        out = F.lit(0.0).cast("float")
-        for k in range(ORDER + 1):
-            gram = F.substring(text, i - k, F.lit(k + 1))
-            at = _slot(gram) + 1
-            out = F.when((i > k) & F.coalesce(F.element_at(checks, at) == F.hash(gram), F.lit(False)), F.element_at(values, at)).otherwise(out)
-        return out.cast("double")
-
-    n = F.length(text)
-    total = F.aggregate(F.sequence(F.lit(2), n), F.lit(0.0), lambda s, i: s + sign(i))
-    return F.when(n >= 2, total / (n - 1)).otherwise(F.lit(0.0))
-
-
 def _differences(texts: DataFrame, models: DataFrame) -> DataFrame:
     """t, d (mean log-likelihood difference by sign) of distinct texts; a text without any known sign is left out."""
     at = F.explode(F.when(F.length("t") > 1, F.sequence(F.lit(2), F.length("t"))))
@@ -155,14 +125,15 @@ def _differences(texts: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def _threshold(held: DataFrame, scored: DataFrame) -> float:
-    """From the held-out texts, each with its ``n`` rows."""
+    """From the held-out texts, each with its ``n`` rows; infinite, so that all is allowed, where a class has none."""
     on_grid = F.ceil(F.coalesce("d", F.lit(0.0)) / GRID) * GRID
     counts = held.join(scored, "t", "left").groupBy("reject", on_grid.alias("d")).agg(F.sum("n").alias("n"))
     of = lambda c, share: F.percentile(F.when(c, F.col("d")), F.lit(share), F.col("n"))
     reject = F.col("reject")
     facts = counts.agg(of(reject, 0.5).alias("bad"), of(~reject, 0.5).alias("good"), of(~reject, 1 - FALSE_ALARMS).alias("worst")).first()
     usable = facts["bad"] is not None and facts["good"] is not None
-    return max((facts["bad"] + facts["good"]) / 2, facts["worst"]) if usable else float("inf")
+    # never below 0, where a text is as likely in both classes
+    return max((facts["bad"] + facts["good"]) / 2, facts["worst"], 0.0) if usable else float("inf")
 
 
 def judged(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
