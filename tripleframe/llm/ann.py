@@ -34,6 +34,7 @@ WINDOW = 0.26  # share of all blocks that a query looks at on a curve
 BLOCK_ROWS = 2_000
 BORDER_SAMPLE, GRID_SAMPLE = 100_000, 4_000
 QUERIES_AT_ONCE = 20_000
+ROWS_OUT = 10_000  # pairs of a query and a block sent on at once
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -173,17 +174,17 @@ def _query_blocks(lines: Curves, edges: list[np.ndarray], reach: int, n_blocks:
             if not batch.num_rows:
                 continue
             at = lines.places(_as_matrix(batch.column(1), size))
-            rows, curve, block = [], [], []
+            width = min(2 * reach + 1, n_blocks)
             for c, e in enumerate(edges):
                 own = (np.searchsorted(e, at[:, c], "left") + np.searchsorted(e, at[:, c], "right")) // 2
                 low = np.maximum(0, np.minimum(own - reach, n_blocks - 1 - 2 * reach))
-                for step in range(min(2 * reach + 1, n_blocks)):
-                    rows.append(np.arange(len(at)))
-                    curve.append(np.full(len(at), c, np.int32))
-                    block.append(low + step)
-            take = pa.array(np.concatenate(rows))
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(curve)), pa.array(np.concatenate(block))]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "v", "curve", "block"])
+                # in slices, so that a batch of queries times blocks stays small
+                for start in range(0, len(at) * width, ROWS_OUT):
+                    pair = np.arange(start, min(start + ROWS_OUT, len(at) * width))
+                    row, step = pair // width, pair % width
+                    take = pa.array(row)
+                    columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(row), c, np.int32)), pa.array(low[row] + step)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "v", "curve", "block"])
 
     return spread
 
