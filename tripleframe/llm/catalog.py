@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripleframe.llm import ann, centroids, decontaminate, idfiles, linededup, maintext, merkle, neardup, packing, pii, quality, sharding, urls
-from tripleframe.llm.shared import table, tokenizer_path
+from tripleframe.llm.shared import new_path, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
@@ -46,8 +46,10 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of 1 MiB for all documents, small enough that the test tables split too."""
-    return sharding.shards(table(spark, sf_dir, "documents"), 1 << 20)
+    """All documents written in shards of 1 MiB, small enough that the test tables split too, and read back."""
+    docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "shards")
+    sharding.write_shards(docs, folder, 1 << 20)
+    return sharding.read_shards(spark, folder, docs.schema)
 
 
 SQL["op5_shards"] = """

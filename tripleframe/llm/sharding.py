@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tripleframe.llm.shared import stored, unused
 
@@ -88,6 +88,16 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text:
     return _placed(stored(rows, "sized"), limit).select(key, "bytes", "shard", "depth")
 
 
+def read_shards(spark: SparkSession, folder: str, schema: T.StructType, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, bytes, shard, depth of every row of the files that ``write_shards`` wrote from a table of the given schema."""
+    mark = unused("shard", spark.createDataFrame([], schema))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(mark, T.StringType())])).parquet(folder)
+    # the one shard of a small table has an empty name, which a folder can't show
+    shard = F.coalesce(F.col(mark), F.lit(""))
+    depth = F.length(F.regexp_replace(shard, "-.*", "")).cast("int")
+    return rows.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), shard.alias("shard"), depth.alias("depth"))
+
+
 def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> None:
     """All columns of ``docs`` as Parquet, a folder ``shard=<bits>`` with one file for each shard."""
     held = docs.select(F.struct(*docs.columns).alias("row"), hashed(F.col(key)).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))

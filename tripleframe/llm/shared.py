@@ -1,36 +1,13 @@
-"""Folders all executors share, tables written there, and the options the operators count on."""
+"""Tables of the shared folder and names, for all operators; ``tripleframe.shared`` writes them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleframe.session import tune
+from tripleframe.shared import new_path, stored
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tripleframe-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read on from there: work is not repeated, executors may be lost."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "stored", "table", "tokenizer_path", "unused"]
 
 
 def unused(name: str, df: DataFrame) -> str:
