@@ -94,3 +94,28 @@ def test_broken_lines_are_told_apart(spark, tmp_path):
     rows, broken = records.read_checked_records(spark, str(tmp_path), "doc_id long, x string")
     assert sorted((r["doc_id"], r["x"] or "") for r in rows.collect()) == [(1, "a"), (2, "")]
     assert sorted((r["file"], r["line"]) for r in broken.collect()) == [("a.jsonl", 'not json'), ("a.jsonl", '{"doc_id": "three"}')]
+
+
+def test_one_array_file_is_read_in_ranges(spark, tmp_path):
+    import json
+    import random
+
+    from tripleframe.sources import arrays, records
+
+    rng = random.Random(2)
+    signs = ['"', "\\", "[", "]", "{", "}", ",", "a", "é", "\n", " ", "\U0001f600"]
+    prompts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(200)] + [None, "", "\\" * 40, '"' * 30, "[" * 50]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "one.json").write_text(json.dumps(prompts, ensure_ascii=False, indent=1), encoding="utf-8")
+    (tmp_path / "p" / "two.json").write_text(json.dumps(prompts[:3]), encoding="utf-8")
+    (tmp_path / "p" / "none.json").write_text(" [ ] ")
+    for size in (97, 1 << 20):
+        read = records.read_prompt_arrays(spark, str(tmp_path / "p"), size)
+        got = {(r["run"], r["doc_id"]): r["prompt"] for r in read.collect()}
+        assert got == {("one", i): p for i, p in enumerate(prompts)} | {("two", i): p for i, p in enumerate(prompts[:3])}
+    assert records.read_prompt_arrays(spark, str(tmp_path / "p" / "one.json"), 2000).rdd.getNumPartitions() >= 4
+    runs = [{"index": i, "prompt": p, "extraction" if i % 2 else "generated_text": json.dumps([p, [1, {"a": "]"}]])} for i, p in enumerate(prompts)]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "run.x.json").write_text(json.dumps(runs))
+    got = {r["doc_id"]: (r["run"], r["prompt"], r["generated_text"]) for r in records.read_runs(spark, str(tmp_path / "r"), size=301).collect()}
+    assert got == {i: ("run.x", p, json.dumps([p, [1, {"a": "]"}]])) for i, p in enumerate(prompts)}

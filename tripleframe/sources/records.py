@@ -10,6 +10,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tripleframe.sources.arrays import RANGE, read_json_arrays
+
 _MENTION = "struct<uri:string,surfaceform:string,type:string,start:bigint,end:bigint>"
 
 # Annotated documents as they arrive.
@@ -55,25 +57,27 @@ def read_corpus(spark: SparkSession, path: str, form: str = "json") -> DataFrame
     return reader.format(form).load(path).withColumn("doc_id", F.col("docid"))
 
 
-def read_prompt_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one JSON array of prompts: ``(run, doc_id, prompt)`` with the position as id."""
-    whole = spark.read.text(path, wholetext=True).select(run_of_file().alias("run"), "value")
-    listed = whole.select("run", F.from_json("value", "array<string>").alias("prompts"))
-    return listed.select("run", F.posexplode("prompts").alias("pos", "prompt")).select(
-        "run", F.col("pos").cast("bigint").alias("doc_id"), "prompt"
-    )
+def _run_of(path: Column) -> Column:
+    """File name of a path without its ending."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.[^.]*$", "")
+
+
+def read_prompt_arrays(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Files that hold one JSON array of prompts: ``(run, doc_id, prompt)`` with the position as id; a file is read in ranges of ``size`` bytes."""
+    value = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")
+    return read_json_arrays(spark, path, size).select(_run_of(F.col("path")).alias("run"), F.col("pos").alias("doc_id"), F.get(value, F.lit(0)).alias("prompt"))
 
 
-def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, lines: bool = False, size: int = RANGE) -> DataFrame:
     """Generations of all runs of a folder: ``(run, doc_id, prompt, generated_text)``.
 
-    Files hold one JSON array each, or JSON Lines with ``lines``.  Either name of the text is accepted.
+    Files hold one JSON array each, read in ranges of ``size`` bytes, or JSON Lines with ``lines``.  Either name of the text is accepted.
     """
-    raw = spark.read.schema(GENERATIONS).option("multiLine", not lines).json(path)
-    return raw.select(
-        run_of_file().alias("run"), F.col("index").alias("doc_id"), "prompt",
-        F.coalesce("generated_text", "extraction").alias("generated_text"),
-    )
+    if lines:
+        raw = spark.read.schema(GENERATIONS).json(path).withColumn("run", run_of_file())
+    else:
+        raw = read_json_arrays(spark, path, size).select(_run_of(F.col("path")).alias("run"), F.from_json("value", GENERATIONS).alias("g")).select("run", "g.*")
+    return raw.select("run", F.col("index").alias("doc_id"), "prompt", F.coalesce("generated_text", "extraction").alias("generated_text"))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
