@@ -114,3 +114,18 @@ def test_order_of_ranks(spark):
     got = {r.i: r["rank"] for r in global_rank(df, "h", ["i"]).collect()}
     expected = {i: n + 1 for n, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
     assert got == expected
+
+
+def test_samples_are_exact_and_rank_one_bucket(spark):
+    import hashlib
+
+    from tripleframe.operators import sampling
+
+    rows = [(i, "x" * 50) for i in range(3000)] + [(7, "copy")] * 20
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    order = sorted((i for i, _ in rows), key=lambda i: hashlib.md5(f"13:{i}".encode()).hexdigest())
+    for n in (0, 1, 300, 3020, 5000):
+        assert sorted(r["doc_id"] for r in sampling.sample(df, n).collect()) == sorted(order[:n])
+    first, second = sampling.shuffle_split(df, 0.3)
+    assert (first.count(), second.count()) == (906, 2114)
+    assert sampling.sample(df.limit(0)).count() == 0

@@ -67,3 +67,51 @@ def test_python_literals_spell_unprintable_characters(spark):
     texts = ["a\xa0b", "z​w", "nul\x00", "\x7f\x85", "tab\tnew\nline", "é 中 \U0001f600", " \U000e0001", "it's", 'say "x" it\'s', " 　"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(list_literal(F.array("t"))).collect()] == [repr([t]) for t in texts]
+
+
+def test_stopped_generation_repeats_one_batch_at_most(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    log, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    log.mkdir()
+
+    class Stopped(BaseException):
+        pass
+
+    def make(limit):
+        folder = str(log)
+
+        def build():
+            import os
+            import uuid
+
+            def answer(texts):
+                if len(os.listdir(folder)) >= limit:
+                    raise Stopped("the machine is gone")
+                for text in texts:
+                    open(f"{folder}/{uuid.uuid4()}-{text}", "w").close()
+                if "bad" in texts:
+                    raise ValueError("bad prompt")
+                return [t.upper() for t in texts]
+
+            return answer
+
+        return build
+
+    rows = [("r", i, f"p{i % 90}") for i in range(100)] + [("r", 100, None)]
+    df = spark.createDataFrame(rows, "run string, doc_id int, prompt string")
+    options = dict(batch=5, retries=1, delay=0.0, tasks=2)
+    with pytest.raises(PySparkException):
+        gen.generate_durably(df, make(40), ledger, **options)
+    first = len(list(log.iterdir()))
+    assert 40 <= first <= 50
+    got = {r.doc_id: r.generated_text for r in gen.generate_durably(df, make(10**9), ledger, **options).collect()}
+    assert got == {i: p and p.upper() for _, i, p in rows}
+    calls = len(list(log.iterdir()))
+    assert 90 <= calls <= 90 + 2 * 5
+    assert gen.generate_durably(df, make(0), ledger, **options).where("generated_text IS NULL").count() == 1
+    assert len(list(log.iterdir())) == calls
+    more = spark.createDataFrame([("r", 1, "bad"), ("r", 2, "good")], "run string, doc_id int, prompt string")
+    got = {r.prompt: (r.generated_text, r.error) for r in gen.generate_durably(more, make(10**9), ledger, per_second=1000.0, **options).collect()}
+    assert got == {"bad": (None, "ValueError: bad prompt"), "good": ("GOOD", None)}

@@ -119,3 +119,34 @@ def test_one_array_file_is_read_in_ranges(spark, tmp_path):
     (tmp_path / "r" / "run.x.json").write_text(json.dumps(runs))
     got = {r["doc_id"]: (r["run"], r["prompt"], r["generated_text"]) for r in records.read_runs(spark, str(tmp_path / "r"), size=301).collect()}
     assert got == {i: ("run.x", p, json.dumps([p, [1, {"a": "]"}]])) for i, p in enumerate(prompts)}
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark):
+    from tripleframe.operators import kb, linking
+    from tripleframe.sources import kb as kb_files
+
+    label = spark.createDataFrame([(f"Q{i}", "item", f"n{i}", None, "d", i) for i in range(50)], kb_files.LABELS)
+    statement = spark.createDataFrame([(f"Q{i}", "P1", f"Q{i + 1}") for i in range(50)], kb_files.STATEMENTS)
+    constraint = spark.createDataFrame([("P1", "domain", "C", "c")], kb_files.CONSTRAINTS)
+    kb_files.write_kb_tables(kb_files.KnowledgeBase(label, statement, constraint), "bucketed_kb", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = kb_files.read_kb_tables(spark, "bucketed_kb")
+        asked = spark.createDataFrame([("Q1", "P1", "Q2"), ("Q1", "P1", "Q3")], "s_id string, p_id string, o_id string")
+        for df, n in ((kb.statement_exists(asked, held.statement), 2), (linking.describe_ids(asked.selectExpr("o_id AS id"), held.label), 2)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line)
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            above, level = [], depth(lines[scan])
+            for line in reversed(lines[:scan]):
+                if depth(line) < level:
+                    above.append(line)
+                    level = depth(line)
+            assert "Bucketed: true" in lines[scan] and not any("Exchange" in line for line in above), plan
+            assert df.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for table in ("label", "statement", "constraint"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_kb_{table}")
