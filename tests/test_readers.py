@@ -44,6 +44,8 @@ CASES = [
     ("It is [{'subject': 'a', 'predicate': \"b's\", 'object': 'c'}] then", "dict_list", "triples", [["a", "b's", "c"]]),
     ("It is [{'b', 'a', 'c'}] then", "dict_list", "triples", [["a", "b", "c"]]),
     ("It is [{'x': 1}] then", "dict_list", "unreadable", None),
+    ("It is [{'b', 'a', 'c'}, ('x', 'y', 'z',), {'f', 'd', 'd'},] then (a, b, c)", "brackets", "triples", [["'x'", "'y'", "'z',"], ["a", "b", "c"]]),
+    ("It is [{'b', 'a', 'c'}, ('x', 'y', 'z',), {'f', 'd', 'd'}] then", "dict_list", "triples", [["a", "b", "c"], ["x", "y", "z"], ["d", "f"]]),
     ('("a", "b", "c"), ("d", "e", "f")', "tuples", "triples", [["a", "b", "c"], ["d", "e", "f"]]),
     ('1. {"subject": "a", "predicate": "b", "object": "c"}\n2. {"subject": "d", "predicate": "e", "object": "f"}', "numbered_dicts",
      "triples", [["a", "b", "c"], ["d", "e", "f"]]),
@@ -62,6 +64,10 @@ STRICT = [
     ("Subject: a, Predicate: b, Object: c\nSubject: d, Predicate: e, Object: f", "subject_lines", "triples", [["a", "b", "c"]]),
     ("Subject: a\n\nPredicate: b\n\nObject: c\n\nSubject: d\n\nPredicate: e\n\nObject: f\n\nend", "subject_blocks", "triples", [["d", "e", "f"]]),
     ('[["a","b","c"]]\nprose', "nested_lists", "empty", []),
+    ("It is [{'b', 'a', 'c'}, ('x', 'y', 'z'), {'f', 'd', 'd'}] then", "dict_list", "triples", [["a", "b", "c"], ["d", "f"]]),
+    ("It is [{'b', 'a', 'c'}, {'subject': 'x', 'predicate': 'y', 'object': 'z'}] then", "dict_list", "triples", [["a", "b", "c"]]),
+    ("It is [{'b', u'a', 'c'}, ('x', 'y', 'z'), {'d'}] then", "dict_list", "triples", [["a", "b", "c"], ["d"]]),
+    ("It is [{'subject': 'x', 'predicate': 'y', 'object': 'z', 'more': {'a', 'b'}}] then", "dict_list", "triples", [["x", "y", "z"]]),
 ]
 
 
@@ -93,7 +99,7 @@ def test_numbers_never_match_but_count(spark):
     assert [list(r.parts) for r in malformed.collect()] == [["a", "b"]]
 
 
-# the same formats as ordinary patterns
+# The same answer formats as ordinary patterns.
 PLAIN = {
     "quoted_lists": (r"\['(.*?)', '(.*?)', '(.*?)'\]", 0, "[]', ab\n"),
     "subject_lines": (r"Subject: (.*?), Predicate: (.*?), Object: (.*?)(?:\n|\Z)", 0, None),

@@ -43,19 +43,22 @@ def whole_literal(text: str | None) -> str | None:
         return None
 
 
-def span_literal(text: str | None) -> str | None:
-    """A Python list literal as JSON text."""
+def span_literal(text: str | None) -> tuple[str | None, str | None]:
+    """A Python list literal as JSON text, and the same with nothing but its sets if it holds one."""
     if text is None:
-        return None
+        return None, None
     try:
-        return json.dumps(_plain(ast.literal_eval(text)))
+        value = ast.literal_eval(text)
+        sets = [item for item in value if isinstance(item, set)]
+        return json.dumps(_plain(value)), json.dumps(_plain(sets or value))
     except Exception:  # any malformed literal means "not this format"
-        return None
+        return None, None
 
 
-@F.pandas_udf(T.StructType([T.StructField("whole", T.StringType()), T.StructField("span", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in ("whole", "span", "sets")]))
 def _literal_json(whole: pd.Series, span: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"whole": whole.map(whole_literal), "span": span.map(span_literal)})
+    spans = [span_literal(text) for text in span]
+    return pd.DataFrame({"whole": whole.map(whole_literal), "span": [a for a, _ in spans], "sets": [b for _, b in spans]})
 
 
 # Declared non-deterministic so that the optimizer neither copies it nor moves filters below it: each

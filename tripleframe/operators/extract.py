@@ -91,7 +91,7 @@ def _decide(seen: Column, literal: Column, capitals: bool, strict_order: bool) -
         )
         return let(F.when(data.isNull(), F.coalesce(early, late)), lambda rows: numbered(data, rows))
 
-    span_value = F.coalesce(seen["span_json"], F.try_parse_json(literal["span"]))
+    span_value = F.coalesce(seen["span_json"], F.try_parse_json(literal["sets" if strict_order else "span"]))
     data = F.coalesce(
         _named("json", seen["json"], "value"),
         _named("literal", F.try_parse_json(literal["whole"]), "value"),
@@ -111,7 +111,8 @@ def read_texts(
 
     By default an empty ``[[...]]`` span lets later readers try, unterminated ``Subject:`` lines and blocks
     count, and every line of a numbered dash list is kept.  ``strict_order=True`` gives the historical
-    behaviour instead: the span stops the search, unterminated ones are lost, one block or line survives.
+    behaviour instead: the span stops the search, unterminated ones are lost, one block or line survives, and
+    a list that holds a set keeps nothing but its sets.  A set is read in the order of its values.
 
     Each of the two native steps is one nested expression, so that a filter or explode put on top by the
     optimizer copies it at most once.

@@ -58,6 +58,7 @@ FROM (SELECT run, doc_id, unnest(json_extract(j, '$[*]')) AS value,
     FROM (SELECT run, doc_id, {json_text} AS x FROM fx_generated) WHERE json_valid(x) AND {where}))"""
 
 
+# The answer formats of the readers as DuckDB writes them stand in the statements below.
 def _add_rows(name, reader, sql, doc):
     @R.add(name, sql, "fx_generated")
     def run(spark):
@@ -241,6 +242,39 @@ def canonical_triples(spark):
     return found.select("run", "doc_id", "pos", "s", "p", "o", "matchable")
 
 
+# Lists whose items are sets and tuples by turns, as no JSON can hold them; a set is read in the order of its values.
+_AS_SET = "(n % 3 <> 2 OR n = total)"
+_SETS = f"""SELECT run, doc_id, n, {_AS_SET} AS as_set, CASE WHEN {_AS_SET}
+  THEN array_to_string(list_sort(list_distinct([s, p, o])), '|') ELSE s || '|' || p || '|' || o END AS parts FROM ({_NUMBERED})"""
+
+
+def _with_sets(spark):
+    return spark.sql(
+        """SELECT run, doc_id, concat('Found [', array_join(transform(ts, (t, i) -> CASE WHEN (i + 1) % 3 <> 2 OR i + 1 = size(ts)
+  THEN concat("{'", t.s, "', '", t.p, "', '", t.o, "'}") ELSE concat("('", t.s, "', '", t.p, "', '", t.o, "')") END), ', '),
+  '] in the text') AS text FROM (SELECT run, doc_id, sort_array(collect_list(struct(pos, s, p, o))) AS ts FROM fx_pred GROUP BY run, doc_id)"""
+    )
+
+
+@R.add("extract_sets", f"SELECT run, doc_id, (n - 1)::INTEGER AS pos, 'dict_list' AS reader, parts FROM ({_SETS})", "fx_pred")
+def extract_sets(spark):
+    """Lists of sets and tuples of every run and document."""
+    found = extract.extract_triples(_with_sets(spark), "text")
+    return found.select("run", "doc_id", "pos", "reader", F.array_join("parts", "|").alias("parts"))
+
+
+@R.add(
+    "extract_sets_strict",
+    f"""SELECT run, doc_id, (row_number() OVER (PARTITION BY run, doc_id ORDER BY n) - 1)::INTEGER AS pos, 'dict_list' AS reader, parts
+FROM ({_SETS}) WHERE as_set""",
+    "fx_pred",
+)
+def extract_sets_strict(spark):
+    """The same with the historical extent: a list that holds a set keeps nothing but its sets."""
+    found = extract.extract_triples(_with_sets(spark), "text", strict_order=True)
+    return found.select("run", "doc_id", "pos", "reader", F.array_join("parts", "|").alias("parts"))
+
+
 # Dash-separated text with one part dropped now and then: what comes out with two parts is malformed.
 _UNEVEN = """SELECT run, doc_id, string_agg(n || '. ' || s || ' - ' || p || CASE WHEN n % 3 = 0 THEN '' ELSE ' - ' || o END, chr(10)
   ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY run, doc_id ORDER BY pos, s, p, o) AS n FROM fx_pred) GROUP BY run, doc_id"""
