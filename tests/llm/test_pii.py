@@ -168,3 +168,55 @@ def test_a_token_right_behind_is_not_taken_in(spark):
     for r in got:
         tail = r["text"][len(r["v"]) :]
         assert r["new"] == alone[r["v"]] + (" " + alone[ibans[0]] if tail[1:] == ibans[0] else tail), r["text"]
+
+
+def replaced(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r["text"] for r in pii.pseudonymized(df, KEY).orderBy("doc_id").collect()]
+
+
+def test_an_invalid_account_hides_nothing(spark):
+    number, account = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    heads = ["", "Ref RE24 ", "BE68 ", "DE24 ", "AB12 CDEF GHIJ "]
+    got = replaced(spark, [h + number for h in heads] + [f"{account} {number}", account, f"{number} {account}", f"{account}, {account}"])
+    assert got[0] != number and got[: len(heads)] == [h + got[0] for h in heads]
+    one = got[len(heads) + 1]
+    assert one != account and got[len(heads) :] == [f"{one} {got[0]}", one, f"{got[0]} {one}", f"{one}, {one}"]
+
+
+def test_numbers_of_any_length_end_before_the_next_one(spark):
+    phones = ["+49 30 901820", "+49 151 12345678", "+4915112345678", "+43 1 5880110", "+49 30 90182-12"]
+    tails = ["", " 12 apples", " 2024", " 5", ", 12 apples", "."]
+    got = replaced(spark, [p + t for p in phones for t in tails])
+    for i, phone in enumerate(phones):
+        rows = got[i * len(tails) : (i + 1) * len(tails)]
+        if phone.endswith("-12"):  # groups of five digits may go on with three or more
+            rows, kept = [r for r, t in zip(rows, tails) if t != " 2024"], [t for t in tails if t != " 2024"]
+        else:
+            kept = tails
+        assert rows[0] != phone and rows == [rows[0] + t for t in kept], phone
+
+
+def test_the_trunk_zero_is_no_part_of_a_number(spark):
+    with_zero, without = ["+44 (0)20 7946 0958", "+49 (0)30 901820", "+33 (0)1 23 45 67 89"], ["+44 20 7946 0958", "+49 30 901820", "+33 1 23 45 67 89"]
+    got = replaced(spark, with_zero + without)
+    for a, b, plain in zip(got[:3], got[3:], without):
+        assert b != plain and a.replace("(0)", "") == b and "(0)" in a
+
+
+def test_secrets_by_label_and_by_head(spark):
+    clean = ["the secret: everything is fine", "token: state-of-the-art", "password : unknown to me", "Password: Everything", "a task-oriented sk-n"]
+    head = "ghp_" + "aB3" * 12
+    held = ["password: hunter2!", "password=correcthorse", "secret: 'abcdEfgh'", f"see {head} now", f"token: {head}", "AIza" + "x1" * 17 + "y"]
+    got = replaced(spark, clean + held)
+    assert got[: len(clean)] == clean
+    rest = got[len(clean) :]
+    assert all(a != b for a, b in zip(held, rest))
+    assert re.fullmatch(r"password: [a-z]{6}\d!", rest[0]) and rest[3][4:44] == rest[4][7:] and rest[3].startswith("see ghp_")
+
+
+def test_dates_without_leading_zeros(spark):
+    got = replaced(spark, ["5/3/1999", "05/03/1999", "1999-05-03", "3/14/1999", "13/13/1999", "1/5/3/1999"])
+    day = datetime.date.fromisoformat(got[2])
+    assert day != datetime.date(1999, 5, 3) and got[0] == f"{day.month}/{day.day}/{day.year}" and got[1] == day.strftime("%m/%d/%Y")
+    assert got[3] != "3/14/1999" and got[4:] == ["13/13/1999", "1/5/3/1999"]

@@ -9,15 +9,23 @@ kind       valid                                               permuted
 =========  ==================================================  ===========================================
 email      name@host.domain                                    letters and digits of the name
 iban       check digits (remainder 1 by 97)                    account part; check digits made anew
-secret     access keys; password, token, secret, key values    letters and digits of the value
+secret     tokens with known heads; labelled values (below)    letters and digits behind head and label
 ip         four numbers up to 255                              all 32 bits
-date       yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, 1900 to 2099    the day among 73,051
+date       yyyy-mm-dd, dd.mm.yyyy, m/d/yyyy, 1900 to 2099      the day among 73,051
 phone      +1 with area and exchange from 200                  area, exchange and line
 phone      + and 7 to 15 digits, or the +1 shape otherwise     digits after the country code
 ssn        area 001-899 but 666, group and serial not 0        area, group and serial
 card       13 to 19 digits, Luhn check digit                   all but the first; check digit made anew
 =========  ==================================================  ===========================================
 
+Accounts are looked for first, all other kinds in what is left, so an account that fails its check digits hides
+nothing.  A labelled value (``password: x``) counts with a digit and 6 signs, with an upper-case sign after a lower-case
+one and 8 signs, or with 8 signs right behind ``=``; other words stay.  A phone number of a country whose numbers vary
+in length ends before a blank that follows a group of six digits or more, and, from eight digits on, before a blank and
+a group of one or two; ``(0)`` behind the country code is no part of the number.  Limits: names of addresses that
+differ in case are different values; in a run of more than four groups of four digits a card is looked for at every
+fourth group only; IPv6 addresses stay.
+
 A permutation is eight additive Feistel rounds over two halves: one half moves by a SHA-256 of key, kind,
 round and the other half.  Letters move among letters of their case, digits among digits.
 
@@ -52,10 +60,17 @@ def _iban_shape(length: int, countries: str) -> str:
 # the length of the country ends a match; other lengths and countries go as far as they can, but not into the next account
 _NEXT = rf"(?:{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[0-9]{{2}} ?[A-Z0-9]{{4}}"
 _ANY_IBAN = rf"[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{4}}| (?!{_NEXT})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b"
-IBAN = rf"\b(?:{'|'.join(_iban_shape(n, c) for n, c in IBAN_LENGTHS.items())}|{_ANY_IBAN})"
-SECRET = r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8,}"
+IBAN = rf"\b(?:{'|'.join(_iban_shape(n, c) for n, c in IBAN_LENGTHS.items())}|{_ANY_IBAN})(?!@)"
+# fixed values: heads of access tokens
+HEADS = r"AKIA|gh[opsur]_|github_pat_|sk-|xox[abprs]-|AIza"
+_LABEL = r"\b(?i:password|passwd|pwd|secret|token|api_?key)"
+_SIGNS = "[A-Za-z0-9_/+-]"
+SECRET = (
+    r"\bAKIA[0-9A-Z]{16}\b|\bgh[opsur]_[A-Za-z0-9]{36}\b|\bgithub_pat_[A-Za-z0-9_]{22,}|\bsk-[A-Za-z0-9]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}"
+    rf"|\bAIza[A-Za-z0-9_-]{{35}}|{_LABEL}(?:\s?[=:]\s?[\"']?(?:(?=[A-Za-z_/+-]*[0-9]){_SIGNS}{{6,}}|(?={_SIGNS}*[a-z]{_SIGNS}*[A-Z]){_SIGNS}{{8,}})|=[\"']?{_SIGNS}{{8,}})"
+)
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
+DATE = r"(?<![0-9])(?<![0-9]/)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9])"
 # fixed values: digits after the country code, where a country's numbers all have as many
 PHONE_DIGITS = {
     8: "45 47 65 216 356 372 502 503 504 505 506 507 852 853 965 968 973 974",
@@ -63,15 +78,19 @@ PHONE_DIGITS = {
     10: "1 7 20 30 44 52 57 63 81 82 90 91 92 98 234 880",
     11: "55 86",
 }
-_BY_COUNTRY = "|".join(rf"(?:{codes.replace(' ', '|')})[ .-]?(?:[0-9][ .-]?){{{n - 1}}}[0-9]" for n, codes in PHONE_DIGITS.items())
-# the number of digits of the country ends a match; other counts and countries go as far as they can
+_BY_COUNTRY = "|".join(rf"(?:{codes.replace(' ', '|')})[ .-]?(?:\(0\) ?)?(?:[0-9][ .-]?){{{n - 1}}}[0-9]" for n, codes in PHONE_DIGITS.items())
+# within a number of unknown length: any sign between groups, but no blank behind a long group or before a short last one
+_BETWEEN = r"(?:[.-]|(?<![ .-][0-9]{6,15}) )?"
+_BETWEEN_LATE = r"(?:[.-]|(?<![ .-][0-9]{6,15})(?<!\+[0-9]{9,15}) (?![0-9]{1,2}(?![0-9])))?"
+_ANY_COUNTRY = rf"(?:[0-9]{{1,3}} ?\(0\) ?)?(?:[0-9]{_BETWEEN}){{6,7}}[0-9](?:{_BETWEEN_LATE}[0-9]){{0,7}}"
+# the number of digits of the country ends a match
 PHONE = (
     r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-    rf"|\+(?:{_BY_COUNTRY})(?![0-9])|\+(?:[0-9][ .-]?){{6,14}}[0-9](?![0-9])"
+    rf"|\+(?:{_BY_COUNTRY})(?![0-9])|\+{_ANY_COUNTRY}(?![0-9])"
 )
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
-PATTERN = "|".join((EMAIL, IBAN, SECRET, IP, DATE, SSN, CARD, PHONE))
+PATTERN = "|".join((EMAIL, SECRET, IP, DATE, SSN, CARD, PHONE))
 
 
 def _digest(key: str, kind: str, i: Column, other: Column) -> Column:
@@ -180,12 +199,14 @@ def _remainder(signs: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
+    """The pseudonym of an account, NULL where the check digits are wrong."""
+
     def replaced(plain: Column) -> Column:
         country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
         check = lambda new: F.lpad((98 - let(F.concat(new, country, F.lit("00")), _remainder)).cast("string"), 2, "0")
         signs = let(permuted_text(account, key, "iban"), lambda new: F.concat(country, check(new), new))
         valid = let(F.concat(account, F.substring(plain, 1, 4)), _remainder) == 1
-        return F.when(valid, _refilled(value, signs, blank=" ")).otherwise(value)
+        return F.when(valid, _refilled(value, signs, blank=" "))
 
     return let(F.regexp_replace(value, " ", ""), replaced)
 
@@ -195,7 +216,7 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, r"^(AKIA|[A-Za-z_]+\s?[=:]\s?[\"']?)", 1)
+    head = F.regexp_extract(value, rf"^((?:{_LABEL}\s?[=:]\s?[\"']?)?(?:{HEADS})?)", 1)
     return F.concat(head, permuted_text(F.substring(value, F.length(head) + 1, F.length(value)), key, "secret"))
 
 
@@ -213,16 +234,14 @@ FIRST_DAY, DAYS = "1900-01-01", (319, 229)  # 73,051 days, up to 2100-01-02
 
 
 def _date(value: Column, key: str) -> Column:
-    number = lambda a, n: F.substring(value, a, n).cast("int")
-    iso, dotted = value.contains("-"), value.contains(".")
-    year = F.when(iso, number(1, 4)).otherwise(F.substring(value, 7, 4).cast("int"))
-    month = F.when(iso, number(6, 2)).when(dotted, number(4, 2)).otherwise(F.substring(value, 1, 2).cast("int"))
-    day = F.when(iso, number(9, 2)).when(dotted, number(1, 2)).otherwise(F.substring(value, 4, 2).cast("int"))
+    part = lambda k: F.get(F.split(value, "[-./]"), F.lit(k)).cast("int")
+    iso, dotted, padded = value.contains("-"), value.contains("."), F.length(value) == 10
+    year, month, day = F.when(iso, part(0)).otherwise(part(2)), F.when(iso | dotted, part(1)).otherwise(part(0)), F.when(iso, part(2)).when(dotted, part(0)).otherwise(part(1))
     date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
     def spelled(new: Column) -> Column:
         text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(dotted, F.date_format(new, "dd.MM.yyyy"))
-        return text.otherwise(F.date_format(new, "MM/dd/yyyy"))
+        return text.otherwise(F.when(padded, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "M/d/yyyy")))
 
     def replaced(offset: Column) -> Column:
         new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(offset, DAYS, key, "date").cast("int"))
@@ -248,9 +267,11 @@ def _phone(value: Column, key: str) -> Column:
         head = F.when(american & (n == 11), F.lit(1)).when(american, F.lit(0)).otherwise(F.least(F.lit(2), n - 6))
         other = F.concat(F.substring(digits, F.lit(1), head), permuted_text(F.substring(digits, head + 1, n), key, "phone"))
         new = F.when(valid, let(permuted_number(number, (80_000, 80_000), key, "phone"), spelled)).otherwise(other)
-        return F.when(n.between(7, 15), _refilled(value, new)).otherwise(value)
+        return F.when(n.between(7, 15), F.replace(_refilled(shape, new), F.lit("()"), F.lit("(0)"))).otherwise(value)
 
-    return let(_digits(value), replaced)
+    # the 0 in brackets is dialled within the country only
+    shape = F.replace(value, F.lit("(0)"), F.lit("()"))
+    return let(_digits(shape), replaced)
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -265,7 +286,7 @@ def _ssn(value: Column, key: str) -> Column:
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), text).otherwise(value)
 
 
-_KINDS = ((EMAIL, _email), (IBAN, _iban), (SECRET, _secret), (IP, _ip), (DATE, _date), (SSN, _ssn), (CARD, _card), (PHONE, _phone))
+_KINDS = ((EMAIL, _email), (SECRET, _secret), (IP, _ip), (DATE, _date), (SSN, _ssn), (CARD, _card), (PHONE, _phone))
 
 
 def _pseudonym(value: Column, key: str) -> Column:
@@ -275,16 +296,43 @@ def _pseudonym(value: Column, key: str) -> Column:
     return out
 
 
+def _joined(gaps: Column, values: Column) -> Column:
+    return F.array_join(F.zip_with(gaps, F.array_append(values, ""), lambda gap, v: F.concat(gap, v)), "")
+
+
+def _without_accounts(text: Column, key: str) -> Column:
+    """Struct of the text with a mark for every valid account, the mark, and the accounts with their pseudonyms; NULL without any.
+
+    The mark is made from the digest of the text itself and has no digits, so nothing is found in it.
+    """
+
+    def hidden(found: Column, mark: Column) -> Column:
+        rest = _joined(F.split(text, IBAN, -1), F.transform(found, lambda v: F.when(v["new"].isNull(), v["old"]).otherwise(mark)))
+        return F.struct(rest.alias("text"), mark.alias("mark"), F.filter(found, lambda v: v["new"].isNotNull()).alias("accounts"))
+
+    mark = F.concat(F.lit("\u0001"), F.translate(F.sha2(text, 256), "0123456789", "ghijklmnop"), F.lit("\u0001"))
+    accounts = F.transform(F.regexp_extract_all(text, F.lit(IBAN), 0), lambda v: F.struct(v.alias("old"), _iban(v, key).alias("new")))
+    held = let(accounts, lambda found: F.when(F.exists(found, lambda v: v["new"].isNotNull()), let(mark, lambda m: hidden(found, m))))
+    return F.when(text.rlike("[A-Z]{2}[0-9]{2}") & text.rlike(IBAN), held)
+
+
 def pseudonymized(docs: DataFrame, key: str, text: str = "text", into: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with all values of ``text`` replaced, in the column ``into``; ``count`` gets the number of replaced values."""
-    column = F.col(text)
-    found = F.regexp_extract_all(column, F.lit(PATTERN), 0)
-    new = F.transform(found, lambda v: _pseudonym(v, key))
-    touched = column.rlike("[0-9@=:]") & column.rlike(PATTERN)
-    mark = unused("new", docs)
-    held = docs.withColumn(mark, F.when(touched, new))
-    joined = F.array_join(F.zip_with(F.split(column, PATTERN, -1), F.array_append(F.col(mark), ""), lambda gap, v: F.concat(gap, v)), "")
+    column, hidden, rest, new = F.col(text), unused("hidden", docs), unused("rest", docs), unused("new", docs)
+    left = F.col(rest)
+    found = F.regexp_extract_all(left, F.lit(PATTERN), 0)
+    touched = left.rlike("[0-9@=:_-]") & left.rlike(PATTERN)
+    held = (
+        docs.withColumn(hidden, _without_accounts(column, key))
+        .withColumn(rest, F.coalesce(F.col(f"{hidden}.text"), column))
+        .withColumn(new, F.when(touched, F.transform(found, lambda v: _pseudonym(v, key))))
+    )
+    accounts = F.col(f"{hidden}.accounts")
     if count:
-        pairs = F.arrays_zip(found.alias("a"), F.col(mark).alias("b"))
-        held = held.withColumn(count, F.when(F.col(mark).isNotNull(), F.size(F.filter(pairs, lambda p: p["a"] != p["b"]))).otherwise(0))
-    return held.withColumn(into, F.when(F.col(mark).isNotNull(), joined).otherwise(column)).drop(mark)
+        pairs = F.arrays_zip(found.alias("a"), F.col(new).alias("b"))
+        changed = F.when(F.col(new).isNotNull(), F.size(F.filter(pairs, lambda p: p["a"] != p["b"]))).otherwise(0)
+        renamed = F.when(accounts.isNotNull(), F.size(F.filter(accounts, lambda v: v["old"] != v["new"]))).otherwise(0)
+        held = held.withColumn(count, changed + renamed)
+    held = held.withColumn(rest, F.when(F.col(new).isNotNull(), _joined(F.split(left, PATTERN, -1), F.col(new))).otherwise(left))
+    back = _joined(F.split(left, F.col(f"{hidden}.mark"), -1), F.transform(accounts, lambda v: v["new"]))
+    return held.withColumn(into, F.when(accounts.isNotNull(), back).otherwise(left)).drop(hidden, rest, new)
