@@ -332,6 +332,22 @@ def type_match(spark):
     return kb.match_types(pairs, types, spark.table("fx_kb_constraint"), "domain")
 
 
+@R.add(
+    "type_match_range",
+    f"""WITH {_FULL_TYPES} SELECT p.id, p.property, min(t.hop) AS level, min_by(t.class_id, row(t.hop, t.class_id)) AS class_id,
+  min_by(k.class_label, row(t.hop, t.class_id, k.class_label)) AS class_label
+FROM (SELECT DISTINCT concat('P', l_partkey) AS id, 'L' || (1 + l_linenumber % 3) AS property FROM lineitem) p
+JOIN types t ON t.id = p.id JOIN fx_kb_constraint k ON k.property = p.property AND k.ctype = 'range' AND k.class_id = t.class_id
+GROUP BY p.id, p.property""",
+    "fx_kb_statement fx_kb_constraint",
+)
+def type_match_range(spark):
+    """Lowest level at which a part fits the range of a property."""
+    pairs = spark.sql("SELECT concat('P', l_partkey) AS id, concat('L', 1 + l_linenumber % 3) AS property FROM lineitem")
+    types = kb.all_types(pairs.select("id").distinct(), spark.table("fx_kb_statement"))
+    return kb.match_types(pairs, types, spark.table("fx_kb_constraint"), "range")
+
+
 @R.add(
     "describe_ids",
     """SELECT i.id, coalesce(k.label, 'No label available') AS label, coalesce(k.description, 'No description available') AS description
