@@ -85,12 +85,56 @@ def test_awkward_rows(spark, q):
     assert d.regions(docs.limit(0), benchmark).count() == 0
 
 
-def test_benchmark_in_several_blocks(spark):
+def test_large_benchmark_by_joins(spark):
+    """The joined way gives the regions of the index, also for copies, gaps of white space, repeated signs and a frequent passage."""
     rng = random.Random(2)
-    items = [(i, text(rng, 20)) for i in range(40)]
+    common = text(rng, 14)
+    items = [(i, text(rng, rng.randint(2, 60)) + (" " + common if i % 2 else "")) for i in range(40)]
+    items += [(50, items[3][1]), (50, text(rng, 30)), (None, "-" * 300), (60, None), (61, ""), (62, "abc")]
+    rows = [(i, text(rng, 20)) for i in range(10)] + [(10, None), (11, ""), (12, "-" * 4000), (13, common)]
+    for i in range(20, 50):
+        passage = changed(rng, rng.choice(items[:40])[1], rng.randint(0, 12)).replace(" ", rng.choice([" ", "\n  "]))
+        rows.append((i, text(rng, 15) + "  " + passage + " " + text(rng, 9) + " " + passage.upper()))
+    rows += [(100 + i, rows[25][1]) for i in range(5)] + [(None, rows[30][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("segment", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("_text_key", F.lit("y"))
+    whole = sorted(map(str, d.regions(docs, benchmark).collect()))
+    assert len(whole) > 50 and sorted(map(str, d.regions(docs, benchmark, most=100).collect())) == whole
+    kept = d.clean(docs, benchmark, most=100)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, d.clean(docs, benchmark).collect()))
+    assert d.regions(docs.limit(0), benchmark, most=100).count() == 0
+
+
+def test_joined_text_in_several_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, text(rng, 20)) for i in range(30)]
+    docs = spark.createDataFrame([(1, " and then ".join(t for _, t in items)), (2, items[4][1])], "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = [x for block in d.blocks(benchmark, most=500) for x in block]
-    assert sorted(got) == items
+    monkeypatch.setattr(d, "SEGMENTS_AT_ONCE", 7)
+    want = sorted(map(str, d.regions(docs, benchmark).collect()))
+    assert sorted(map(str, d.regions(docs, benchmark, most=100).collect())) == want
+
+
+def test_most_frequent_grams_are_taken_off_the_need(spark):
+    rng = random.Random(3)
+    common = text(rng, 12)
+    items = [(i, common + " " + text(rng, 14)) for i in range(30)]
+    segments = d._segment_table(spark.createDataFrame(items, "item_id long, text string"), d.Q, d.BUDGET).dropDuplicates(["segment"])
+    rows = d._seeds(segments, d.Q).groupBy("segment").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("need").alias("low")).collect()
+    sizes = {r["segment"]: (len(r["codes"]) // 4 - d.Q + 1, r["budget"]) for r in segments.collect()}
+    assert rows and all(r["need"] == r["low"] >= 1 for r in rows)
+    for r in rows:
+        size, budget = sizes[r["segment"]]
+        assert size - r["n"] == size - budget * d.Q - r["need"] <= (size - budget * d.Q) // 2
+
+
+def test_regions_do_not_depend_on_neighbours():
+    rng = random.Random(6)
+    items = [(i, text(rng, rng.randint(4, 40))) for i in range(12)]
+    index = d.build(items)
+    texts = [text(rng, rng.randint(0, 9)) + " " + changed(rng, rng.choice(items)[1], rng.randint(0, 14)) for _ in range(60)]
+    assert d.find_all(index, texts) == [d.find_all(index, [t])[0] for t in texts]
 
 
 def test_alignment_is_the_plain_table():
