@@ -323,12 +323,38 @@ def fenced_components(spark):
     return extract.extract_fenced_json(spark.table("fx_generated"), "text")
 
 
+def _cascade_sql() -> str:
+    """The pattern readers in their order, each as the number of its items; JSON values and Python literals aren't prose."""
+
+    def hits(pattern: str, source: str = "text") -> str:
+        quoted = pattern.replace("'", "''")
+        return f"len(regexp_extract_all({source}, '{quoted}', 1))"
+
+    # The answer formats, as in the statements above.
+    counts = {
+        "subject_lines": hits(r"Subject: (.*?), Predicate: (.*?), Object: (.*?)(?:\n|\z)"),
+        "subject_blocks": hits(r"(?s)Subject: (.*?)\n\nPredicate: (.*?)\n\nObject: (.*?)(?:\n\n|\z)"),
+        "quoted_lists": hits(r"\['(.*?)', '(.*?)', '(.*?)'\]"),
+        "nested_lists": hits(r"\['(.*?)',\s*'(.*?)',\s*'(.*?)'\]", r"regexp_extract(text, '(?s)\[\[.*?\]\]')"),
+        "tuples": hits(r'\("([^"]+)", "([^"]+)", "([^"]+)"\)'),
+        "numbered_lists": hits(r"\d+\.\s+\[(.*?)\]"),
+        "numbered_dashes": r"""len(list_filter(flatten(list_transform(regexp_extract_all(text, '\d+\.\s*([^\n]+)', 1),
+  lambda x: string_split(x, '.'))), lambda x: contains(x, ' - ')))""",
+        "brackets": hits(r"\(\s*(.*?)\s*,\s*(.*?)\s*,\s*(.*?)\s*\)"),
+        "dash_lines": hits(r"\d+\.\s+(.*?)\n"),
+    }
+    numbers = ", ".join(f"{sql} AS {name}" for name, sql in counts.items())
+    reader = " ".join(f"WHEN {name} > 0 THEN '{name}'" for name in counts)
+    items = " ".join(f"WHEN {name} > 0 THEN {name}" for name in counts)
+    return f"""WITH found AS (SELECT source AS run, {numbers} FROM (SELECT source, coalesce({T}, '') AS text FROM documents))
+SELECT run, reader, CASE WHEN items = 0 THEN 'empty' ELSE 'triples' END AS status, count(*) AS documents, sum(items)::BIGINT AS items
+FROM (SELECT run, CASE {reader} ELSE 'none' END AS reader, CASE {items} ELSE 0 END AS items FROM found) GROUP BY ALL"""
+
+
+@R.add("read_documents", _cascade_sql())
 def read_documents(spark):
     """The cascade over the whole test documents: what plain prose gives."""
     texts = spark.table("documents").select(F.col("source").alias("run"), "doc_id", "text")
     return extract.read_texts(texts, "text").groupBy("run", "reader", "status").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.size("items")).cast("bigint").alias("items")
     )
-
-
-R.add("read_documents")(read_documents)
