@@ -220,3 +220,12 @@ def test_dates_without_leading_zeros(spark):
     day = datetime.date.fromisoformat(got[2])
     assert day != datetime.date(1999, 5, 3) and got[0] == f"{day.month}/{day.day}/{day.year}" and got[1] == day.strftime("%m/%d/%Y")
     assert got[3] != "3/14/1999" and got[4:] == ["13/13/1999", "1/5/3/1999"]
+
+
+def test_key_of_the_session(spark):
+    assert pii.key_of(spark, "other") == "other"
+    spark.conf.set(pii.KEY_CONF, "its own")
+    try:
+        assert pii.key_of(spark, "other") == "its own"
+    finally:
+        spark.conf.unset(pii.KEY_CONF)

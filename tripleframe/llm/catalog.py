@@ -40,7 +40,8 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for their personal values."""
-    found = pii.pseudonymized(table(spark, sf_dir, "documents"), corpus_pipeline.PII_KEY, count="n_values")
+    key = pii.key_of(spark, corpus_pipeline.PII_KEY)
+    found = pii.pseudonymized(table(spark, sf_dir, "documents"), key, count="n_values")
     return found.select("doc_id", "text", "n_values")
 
 

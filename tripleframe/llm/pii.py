@@ -36,7 +36,7 @@ result columns are named by the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripleframe.functions.text import let
 from tripleframe.llm.shared import unused
@@ -93,6 +93,14 @@ CARD = r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]
 PATTERN = "|".join((EMAIL, SECRET, IP, DATE, SSN, CARD, PHONE))
 
 
+KEY_CONF = "spark.tripleframe.pii.secret"  # Spark hides the values of settings so named in its UI and logs
+
+
+def key_of(spark: SparkSession, default: str) -> str:
+    """The key set for the session, else the default."""
+    return spark.conf.get(KEY_CONF, default)
+
+
 def _digest(key: str, kind: str, i: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other.cast("string")), 256)
 
