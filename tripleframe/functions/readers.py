@@ -33,6 +33,9 @@ NUMBERED_CLOSED_LINE = r"\d+\.\s+(.*?)\n"
 BRACKETS = r"\(\s*(.*?)\s*,\s*(.*?)\s*,\s*(.*?)\s*\)"
 # the same on text without a newline, where the first two commas and the first bracket after them decide
 BRACKETS_ONE_LINE = r"\(\s*+([^,]*?)\s*+,\s*+([^,]*?)\s*+,\s*+([^)]*?)\s*+\)"
+# how JSON can begin: whatever begins otherwise is spared the parser, which raises an exception for each text it rejects
+JSON_START = r'^(?:\[[\[ \t\r\n]*(?:["\]\-0-9tfn]|\{[ \t\r\n]*["}])|\{[ \t\r\n]*["}]|"|(?:-?[0-9][0-9.eE+\-]*|true|false|null)\s*$)'
+OBJECTS_START = r'^\[[ \t\r\n]*\{[ \t\r\n]*["}]'
 # a newline no bracketed triple can contain: nothing but words on both sides of its white space
 WALL = r"(?<=[^(,\s])[^\S\n]*\n\s*(?=[^,)\s])"
 
@@ -62,7 +65,7 @@ def json_value(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    may_be_json = text.rlike(r'^[\[{"\-0-9tfn]') & text.rlike(r'[\]}"0-9el]\s*$')
+    may_be_json = text.rlike(JSON_START) & text.rlike(r'[\]}"0-9el]\s*$')
     both = F.when(may_be_json, F.when(held.isNotNull(), listed))
     return F.try_variant_get(both, "$[0]", "variant")
 
@@ -111,7 +114,7 @@ def dict_span(text: Column) -> Column:
 
 def dict_span_json(span: Column) -> Column:
     """VARIANT of a span that reads the same as JSON and as a Python literal, else NULL."""
-    same = ~F.contains(span, F.lit("\\")) & ~span.rlike(r"\b(null|true|false)\b")
+    same = span.rlike(OBJECTS_START) & ~F.contains(span, F.lit("\\")) & ~span.rlike(r"\b(null|true|false)\b")
     return F.when(same, json_value(span))
 
 

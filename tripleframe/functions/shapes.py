@@ -24,26 +24,28 @@ def _item(values: Column) -> Column:
 
 def _list_items(values: Column) -> Column:
     """Items of a list whose elements are all lists, else NULL."""
-    rows = F.transform(values, lambda v: F.try_variant_get(v, "$", "array<variant>"))
-    are_lists = F.forall(values, lambda v: F.schema_of_variant(v).startswith("ARRAY<"))
-    return F.when(are_lists, F.transform(rows, _item))
+    rows = F.transform(values, lambda v: F.try_variant_get(v, "$", "array<variant>"))  # NULL for anything but a list
+    return let(rows, lambda rs: F.when(F.forall(rs, lambda r: r.isNotNull()), F.transform(rs, _item)))
 
 
-def _dict_items(values: Column, keys: tuple[str, ...]) -> Column:
-    """Items of a list whose elements are all objects with these keys, else NULL."""
+def _objects(values: Column) -> Column:
+    """The elements as maps, NULL for those that are no objects; read once for all shapes."""
+    return F.transform(values, lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
 
-    def fits(v: Column) -> Column:
-        held = F.try_variant_get(v, "$", "map<string,variant>")
-        present = F.map_contains_key(held, keys[0])
+
+def _dict_items(held: Column, keys: tuple[str, ...]) -> Column:
+    """Items of a list whose elements, given by ``_objects``, are all objects with these keys, else NULL."""
+
+    def fits(m: Column) -> Column:
+        present = F.map_contains_key(m, keys[0])
         for key in keys[1:]:
-            present = present & F.map_contains_key(held, key)
-        return F.coalesce(F.schema_of_variant(v).startswith("OBJECT<") & present, F.lit(False))
+            present = present & F.map_contains_key(m, key)
+        return F.coalesce(present, F.lit(False))
 
-    def values_of(v: Column) -> Column:
-        held = F.try_variant_get(v, "$", "map<string,variant>")
-        return _item(F.array(*[F.try_element_at(held, F.lit(key)) for key in keys]))
+    def values_of(m: Column) -> Column:
+        return let(F.array(*[F.try_element_at(m, F.lit(key)) for key in keys]), _item)
 
-    return F.when(F.forall(values, fits), F.transform(values, values_of))
+    return F.when(F.forall(held, fits), F.transform(held, values_of))
 
 
 def variant_items(value: Column, capitals: bool = True) -> Column:
@@ -51,24 +53,21 @@ def variant_items(value: Column, capitals: bool = True) -> Column:
 
     ``capitals=False`` leaves out the shape with capitalised keys, as the knowledge-base check does.
     """
-    shapes = [lambda v: _list_items(v), lambda v: _dict_items(v, TRIPLE_KEYS)]
-    if capitals:
-        shapes.append(lambda v: _dict_items(v, CAPITAL_TRIPLE_KEYS))
-    shapes.append(lambda v: _dict_items(v, RELATION_TRIPLE_KEYS))
+    keys = [TRIPLE_KEYS, *([CAPITAL_TRIPLE_KEYS] if capitals else []), RELATION_TRIPLE_KEYS]
 
-    def in_list(whole: Column) -> Column:
-        return let(F.try_variant_get(whole, "$", "array<variant>"), lambda v: F.coalesce(*[shape(v) for shape in shapes]))
+    def in_list(values: Column) -> Column:
+        objects = let(_objects(values), lambda held: F.coalesce(*[_dict_items(held, k) for k in keys]))
+        return F.coalesce(_list_items(values), objects)
 
     def under_key(whole: Column, key: str) -> Column:
-        return let(F.try_variant_get(whole, f"$.{key}", "array<variant>"), lambda v: _dict_items(v, TRIPLE_KEYS))
+        listed = F.try_variant_get(whole, f"$.{key}", "array<variant>")
+        return let(listed, lambda v: F.when(v.isNotNull(), let(_objects(v), lambda held: _dict_items(held, TRIPLE_KEYS))))
 
-    def choose(whole: Column) -> Column:
-        kind = F.schema_of_variant(whole)
-        return F.when(kind.startswith("ARRAY<"), in_list(whole)).when(
-            kind.startswith("OBJECT<"), F.coalesce(*[under_key(whole, key) for key in LIST_KEYS])
-        )
+    def choose(whole: Column, values: Column) -> Column:
+        # a value that is no list has no list form, one that is no object has no field
+        return F.when(values.isNotNull(), in_list(values)).otherwise(F.coalesce(*[under_key(whole, key) for key in LIST_KEYS]))
 
-    return let(value, choose)
+    return let(value, lambda whole: let(F.try_variant_get(whole, "$", "array<variant>"), lambda values: choose(whole, values)))
 
 
 def string_items(rows: Column) -> Column:

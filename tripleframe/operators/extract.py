@@ -26,7 +26,7 @@ def _first_rows(*options: tuple[str, Column]) -> Column:
 
 
 def _before_literals(text: Column, strict_order: bool) -> Column:
-    """Everything that needs no Python: JSON, the first pattern readers, the span of a list of objects."""
+    """Everything that needs no Python, of a stripped text: JSON, the first pattern readers, the span of a list of objects."""
 
     def early(t: Column) -> Column:
         return _first_rows(
@@ -49,7 +49,7 @@ def _before_literals(text: Column, strict_order: bool) -> Column:
     def with_json(t: Column, json: Column) -> Column:
         return let(F.when(json.isNull(), early(t)), lambda rows: with_early(t, json, rows))
 
-    return let(strip(text), lambda t: let(R.json_value(t), lambda json: with_json(t, json)))
+    return let(R.json_value(text), lambda json: with_json(text, json))
 
 
 def _decide(seen: Column, literal: Column, capitals: bool, strict_order: bool) -> Column:
@@ -121,7 +121,9 @@ def read_texts(
     whole = F.when(seen["json"].isNull() & may_be_literal(text), text)
     span = F.when(seen["span_json"].isNull(), seen["span"])
     return (
-        df.withColumn("_seen", _before_literals(F.col(text_col), strict_order))
+        # a column of its own, used more than once: it stays compiled with what makes the text
+        df.withColumn("_stripped", strip(F.col(text_col)))
+        .withColumn("_seen", _before_literals(F.col("_stripped"), strict_order))
         .withColumn("_literal", literal_json(whole, span))
         .withColumn("_read", _decide(seen, F.col("_literal"), capitals, strict_order))
         .select(*df.columns, "_read.reader", "_read.status", "_read.items")
