@@ -94,10 +94,16 @@ def class_closure(classes: DataFrame, kb_statement: DataFrame, full_chain: bool
     return closure.select("class0", "hop", "class_id")
 
 
+def _classes_by_id(ids: DataFrame, kb_statement: DataFrame, firsts: Sequence[str]) -> DataFrame:
+    """``(id, classes)``: the sorted first classes of every id asked for that has some, written once."""
+    chosen = kb_statement.where(F.col("p").isin(*firsts) & F.col("o").isNotNull()).select(F.col("s").alias("id"), F.col("o").alias("class0"))
+    asked = chosen.join(ids.select("id").distinct(), "id", "left_semi")
+    return stored(asked.groupBy("id").agg(F.sort_array(F.collect_set("class0")).alias("classes")), "first-classes")
+
+
 def _first_classes(ids: DataFrame, kb_statement: DataFrame, firsts: Sequence[str]) -> DataFrame:
     """Distinct ``(id, class0)`` of the ids asked for, written once."""
-    chosen = kb_statement.where(F.col("p").isin(*firsts)).select(F.col("s").alias("id"), F.col("o").alias("class0"))
-    return stored(chosen.join(ids.select("id").distinct(), "id", "left_semi").distinct(), "first-classes")
+    return _classes_by_id(ids, kb_statement, firsts).select("id", F.explode("classes").alias("class0"))
 
 
 def type_closure(
@@ -108,9 +114,24 @@ def type_closure(
     By default an id counts only along chains with all three subclass edges; ``full_chain=False`` takes
     shorter ones too.  The class graph is followed from the classes of the ids, once per class.
     """
-    start = _first_classes(ids, kb_statement, [first] if isinstance(first, str) else list(first))
-    closure = class_closure(start.select("class0"), kb_statement, full_chain)
-    return start.join(closure, "class0").where(F.col("class_id").isNotNull()).select("id", "hop", "class_id").distinct()
+    by_id = _classes_by_id(ids, kb_statement, [first] if isinstance(first, str) else list(first))
+    return _along(by_id, class_closure(_listed_classes(by_id), kb_statement, full_chain))
+
+
+def _listed_classes(by_id: DataFrame) -> DataFrame:
+    """Distinct ``class0`` of ``by_id(id, classes)``."""
+    return by_id.select("classes").distinct().select(F.explode("classes").alias("class0")).distinct()
+
+
+def _along(by_id: DataFrame, closure: DataFrame) -> DataFrame:
+    """Distinct ``(id, hop, class_id)`` of ``by_id(id, classes)``.
+
+    Ids mostly share their classes, so a class reached twice is told once per set of classes: no row of an id needs
+    to be compared with another.
+    """
+    sets = by_id.select("classes").distinct().select("classes", F.explode("classes").alias("class0"))
+    reached = sets.join(closure, "class0").where(F.col("class_id").isNotNull()).select("classes", "hop", "class_id").distinct()
+    return by_id.join(reached, "classes").select("id", "hop", "class_id")
 
 
 def merge_types(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -130,8 +151,10 @@ def match_types(pairs: DataFrame, types: DataFrame, kb_constraint: DataFrame, ct
     """
     allowed = with_class_labels(kb_constraint).where(F.col("ctype") == ctype).groupBy("property", "class_id").agg(F.min("class_label").alias("class_label"))
     asked = pairs.select("id", "property").distinct().join(allowed.select("property").distinct(), "property", "left_semi")
+    # a type that no constraint names fits nothing: it goes before it meets the pairs
+    fitting = types.join(allowed.select("class_id").distinct(), "class_id", "left_semi")
     return (
-        asked.join(types, "id")
+        asked.join(fitting, "id")
         .join(allowed, ["property", "class_id"])
         .groupBy("id", "property")
         .agg(F.min(F.struct("hop", "class_id", "class_label")).alias("m"))

@@ -269,12 +269,12 @@ def statement_exists(spark):
   len(coalesce(c.r, [])) > 0 AS has_range, len(coalesce(c.d, [])) > 0 AND len(coalesce(c.r, [])) > 0 AS has_both
 FROM (SELECT id FROM fx_kb_label WHERE kind = 'property') p LEFT JOIN (SELECT property,
   list(class_id ORDER BY class_id) FILTER (WHERE ctype = 'domain') AS d, list(class_label ORDER BY class_id) FILTER (WHERE ctype = 'domain') AS l, list(DISTINCT class_id) FILTER (WHERE ctype = 'range') AS r
-  FROM fx_kb_constraint GROUP BY property) c ON c.property = p.id""",
-    "fx_kb_label fx_kb_constraint",
+  FROM fx_kb_all_constraints GROUP BY property) c ON c.property = p.id""",
+    "fx_kb_label fx_kb_all_constraints",
 )
 def property_constraints(spark):
     """Domain classes with their labels and constraint flags of every property."""
-    known = kb.property_constraints(spark.table("fx_kb_constraint"))
+    known = kb.property_constraints(spark.table("fx_kb_all_constraints"))
     properties = spark.table("fx_kb_label").where("kind = 'property'").select(F.col("id").alias("property"))
     domain = F.explode_outer(F.arrays_zip("domain_classes", "domain_labels")).alias("d")
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("has_domain", "has_range", "has_both")]
