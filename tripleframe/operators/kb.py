@@ -136,7 +136,8 @@ def _along(by_id: DataFrame, closure: DataFrame) -> DataFrame:
 
 def merge_types(first: DataFrame, second: DataFrame) -> DataFrame:
     """Union of two closures."""
-    return first.unionByName(second).distinct()
+    # dealt by id first: rows found in one place only gain nothing from a table of them in the task that made them
+    return first.unionByName(second).repartition("id").distinct()
 
 
 def all_types(ids: DataFrame, kb_statement: DataFrame, full_chain: bool = True) -> DataFrame:
