@@ -48,3 +48,41 @@ def test_candidates_are_joined_after_the_texts(spark):
     lines = plan(made).split("\n")
     first = lambda kind: next(i for i, line in enumerate(lines) if f"Join {kind}" in line)
     assert first("LeftOuter") < first("Inner")
+
+
+def knowledge(spark):
+    label = spark.createDataFrame(
+        [("a", "item", "A", 1), ("b", "item", "B", 1), ("p", "property", "P", 1)], "id string, kind string, label string, popularity int"
+    )
+    facts = spark.createDataFrame([("a", "p", "b"), ("a", "p", "b"), ("x", "p", "y")], "s string, p string, o string")
+    constraints = spark.createDataFrame(
+        [("p", "domain", "e", "E"), ("p", "domain", "e", "D"), ("p", "range", "c1", "C")], "property string, ctype string, class_id string, class_label string"
+    )
+    return label, statements(spark).unionByName(facts), constraints
+
+
+def test_checks_fold_no_rows_and_read_their_input_once(spark):
+    rows = [("r", "A", "P", "B"), ("r", "A", "P", "B"), ("q", "A", "P", "B"), ("q", "B", "P", "A"), ("q", None, "P", "A"), ("q", "A", None, "zz")]
+    triples = spark.createDataFrame(rows, "run string, s string, p string, o string")
+    counted = kb.check_counted(triples, *knowledge(spark))
+    got = {(r["run"], r["s"], r["p"], r["o"]): r for r in counted.collect()}
+    assert len(got) == 5 and {k: r["copies"] for k, r in got.items() if r["copies"] > 1} == {("r", "A", "P", "B"): 2}
+    first = got["r", "A", "P", "B"]
+    assert first["statement"] and first["level"] == 2 and (first["domain_class"], first["domain_label"], first["range_class"]) == ("e", "D", "c1")
+    assert got["q", "B", "P", "A"]["statement"] is False and got["q", None, "P", "A"]["subject_missing"] and got["q", "A", None, "zz"]["level"] is None
+    # neither the count of copies nor a fold of the ends of a triple is left in the line of joins
+    assert "Aggregate [run" not in plan(counted) and "Aggregate [s#" not in plan(counted) and "Generate" not in plan(counted)
+    whole, direct = (kb.check_triples(triples, *knowledge(spark), copies=copies) for copies in (True, False))
+    assert whole.columns == direct.columns and direct.count() == 6
+    assert sorted(map(str, whole.collect())) == sorted(map(str, direct.collect()))
+
+
+def test_statements_nobody_asks_for_end_where_they_are_read(spark):
+    asked = spark.createDataFrame([("S1", "L1", "P1"), ("S1", "L1", "P2")], "s_id string, p_id string, o_id string")
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "l_suppkey long, l_partkey long").distinct()
+    facts = pairs.select(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.lit("L1").alias("p"), F.concat(F.lit("P"), "l_partkey").alias("o"))
+    held = kb._stated(asked, facts)
+    assert [tuple(r) for r in held.collect()] == [("S1", "L1", "P1")]
+    lines = plan(held).split("\n")
+    # no distinct of statements stands below the semi join
+    assert next(i for i, x in enumerate(lines) if "LeftSemi" in x) > max(i for i, x in enumerate(lines) if "Aggregate [" in x)

@@ -101,11 +101,6 @@ def _classes_by_id(ids: DataFrame, kb_statement: DataFrame, firsts: Sequence[str
     return stored(asked.groupBy("id").agg(F.sort_array(F.collect_set("class0")).alias("classes")), "first-classes")
 
 
-def _first_classes(ids: DataFrame, kb_statement: DataFrame, firsts: Sequence[str]) -> DataFrame:
-    """Distinct ``(id, class0)`` of the ids asked for, written once."""
-    return _classes_by_id(ids, kb_statement, firsts).select("id", F.explode("classes").alias("class0"))
-
-
 def type_closure(
     ids: DataFrame, kb_statement: DataFrame, first: str | Sequence[str] = INSTANCE_OF, full_chain: bool = True
 ) -> DataFrame:
@@ -163,6 +158,11 @@ def match_types(pairs: DataFrame, types: DataFrame, kb_constraint: DataFrame, ct
     )
 
 
+def _allowed(kb_constraint: DataFrame) -> DataFrame:
+    """Distinct ``(property, ctype, class_id)`` with the smallest class label."""
+    return with_class_labels(kb_constraint).groupBy("property", "ctype", "class_id").agg(F.min("class_label").alias("class_label"))
+
+
 def class_fits(
     classes: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True, properties: DataFrame | None = None
 ) -> DataFrame:
@@ -170,7 +170,7 @@ def class_fits(
 
     Follows the class graph from ``classes(class0)``; with ``properties(property)`` the constraints of these only.
     """
-    allowed = with_class_labels(kb_constraint).groupBy("property", "ctype", "class_id").agg(F.min("class_label").alias("class_label"))
+    allowed = _allowed(kb_constraint)
     if properties is not None:
         allowed = allowed.join(properties, "property", "left_semi")
     return (
@@ -181,59 +181,81 @@ def class_fits(
     )
 
 
+def _stated(asked: DataFrame, kb_statement: DataFrame) -> DataFrame:
+    """Those of the distinct ``asked(s_id, p_id, o_id)`` that the knowledge base states.
+
+    ``asked`` is written first, so its size is known: if it is small, statements nobody asks for end where they are read.
+    """
+    held = kb_statement.select(F.col("s").alias("s_id"), F.col("p").alias("p_id"), F.col("o").alias("o_id"))
+    return held.join(stored(asked, "asked"), ["s_id", "p_id", "o_id"], "left_semi").distinct()
+
+
+def _set_fits(linked: DataFrame, fits: DataFrame) -> DataFrame:
+    """``(classes, ctype, property, fit)``: lowest fit of every set of classes that an end of a linked triple has with its property."""
+    end = F.explode(F.array(*[
+        F.struct(F.lit(ctype).alias("ctype"), F.col(classes).alias("classes")) for ctype, classes in (("domain", "s_classes"), ("range", "o_classes"))
+    ]))
+    asked = linked.select(F.col("p_id").alias("property"), end.alias("end")).select("property", "end.*").where(
+        F.col("property").isNotNull() & F.col("classes").isNotNull()
+    ).distinct()
+    return (
+        asked.withColumn("class0", F.explode("classes"))
+        .join(fits, ["class0", "ctype", "property"])
+        .groupBy("classes", "ctype", "property")
+        .agg(F.min("fit").alias("fit"))
+    )
+
+
 def check_distinct(
     triples: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True
 ) -> DataFrame:
-    """Checks of distinct ``(s, p, o)`` texts; see ``check_triples`` for the columns.
+    """Checks of rows ``(…, s, p, o)`` whose texts hardly repeat, every row with all its columns; see ``check_triples`` for the checks.
 
-    The plan is one line of joins: three for the links, one each for constraint flags and statements, and
-    one pass over both ends of every triple for the types.
+    Links, flags and first classes go to the distinct labels, so that three joins bring all of them to a triple.  Types are
+    matched per set of classes and property, statements looked up per distinct ids; these three joins end the line.
+    No row is multiplied or folded.
     """
+    given = triples.columns
     triples = stored(triples, "triples")
     index = name_index(kb_label)
     entities = stored(link_labels(distinct_labels(triples, "s", "o"), kb_label, "item", False, index).select("label", "id"), "entities")
-    predicates = stored(link_predicates(distinct_labels(triples, "p"), kb_label, False, index), "predicates")
-    held = kb_statement.select(F.col("s").alias("s_id"), F.col("p").alias("p_id"), F.col("o").alias("o_id")).distinct()
-    linked = (
-        triples.join(entities.withColumnsRenamed({"label": "s", "id": "s_id"}), "s", "left")
-        .join(entities.withColumnsRenamed({"label": "o", "id": "o_id"}), "o", "left")
-        .join(
-            predicates.select(F.col("label").alias("p"), F.col("direct_id").alias("p_direct_id"), F.col("id").alias("p_id")),
-            "p", "left",
-        )
-        .withColumn("p_key", spread_nulls(F.col("p_id"), "s", "p", "o"))
-        .withColumn("s_key", spread_nulls(F.col("s_id"), "s", "p", "o"))
+    allowed = stored(_allowed(kb_constraint), "constraints")
+    predicates = link_predicates(distinct_labels(triples, "p"), kb_label, False, index).select(
+        F.col("label").alias("p"), F.col("direct_id").alias("p_direct_id"), F.col("id").alias("p_id")
     )
-    flagged_property = constraint_flags(kb_constraint).withColumnRenamed("property", "p_key")
-    stated = held.select(F.col("s_id").alias("s_key"), F.col("p_id").alias("p_key"), "o_id", F.lit(True).alias("held"))
-    linked = linked.join(flagged_property, "p_key", "left").join(stated, ["s_key", "p_key", "o_id"], "left")
-
-    # both ends of a triple with the classes of their ids, matched and folded back to one row
-    first_classes = _first_classes(entities, kb_statement, (INSTANCE_OF, SUBCLASS_OF)).withColumnRenamed("id", "end_key")
-    ends = linked.withColumn(
-        "end", F.explode(F.array(*[
-            F.struct(F.lit(ctype).alias("ctype"), F.col(end).alias("end_id"))
-            for ctype, end in (("domain", "s_id"), ("range", "o_id"))
-        ]))
-    ).withColumns({"ctype": F.col("end.ctype"), "end_key": spread_nulls(F.col("end.end_id"), "s", "p", "o")}).drop("end")
-    asked = predicates.select(F.col("id").alias("property")).where(F.col("property").isNotNull()).distinct()
-    fits = class_fits(first_classes.select("class0"), kb_statement, kb_constraint, full_chain, asked).withColumnsRenamed({"property": "p_key", "class0": "class_key"})
-    carried = ["s_id", "p_direct_id", "p_id", "o_id", "has_domain", "has_range", "held"]
-    joined = (
-        ends.join(first_classes, "end_key", "left")
-        .withColumn("class_key", spread_nulls(F.col("class0"), "s", "p", "o"))
-        .join(fits, ["class_key", "ctype", "p_key"], "left")
-        .groupBy("s", "p", "o", *carried)
-        .agg(
-            F.min(F.when(F.col("ctype") == "domain", F.col("fit"))).alias("domain"),
-            F.min(F.when(F.col("ctype") == "range", F.col("fit"))).alias("range"),
-        )
+    predicates = stored(predicates.join(constraint_flags(allowed).withColumnRenamed("property", "p_id"), "p_id", "left"), "predicates")
+    by_id = _classes_by_id(entities, kb_statement, (INSTANCE_OF, SUBCLASS_OF))
+    ends = entities.join(by_id, "id", "left")
+    linked = stored(
+        triples.join(ends.withColumnsRenamed({"label": "s", "id": "s_id", "classes": "s_classes"}), "s", "left")
+        .join(ends.withColumnsRenamed({"label": "o", "id": "o_id", "classes": "o_classes"}), "o", "left")
+        .join(predicates, "p", "left"),
+        "linked",
     )
     p_known, s_known, o_known = (F.col(c).isNotNull() for c in ("p_id", "s_id", "o_id"))
     complete = s_known & p_known & o_known
+    stated = _stated(linked.where(complete).select("s_id", "p_id", "o_id").distinct(), kb_statement)
+
+    asked = predicates.select(F.col("p_id").alias("property")).distinct()
+    fits = stored(_set_fits(linked, class_fits(_listed_classes(by_id), kb_statement, allowed, full_chain, asked)), "fits")
+
+    def fit(ctype: str, end: str) -> DataFrame:
+        return fits.where(F.col("ctype") == ctype).select(F.col("classes").alias(f"{end}_set"), F.col("property").alias("p_key"), F.col("fit").alias(ctype))
+
+    joined = (
+        linked.withColumns(
+            {
+                "p_key": spread_nulls(F.col("p_id"), "s", "p", "o"), "s_key": spread_nulls(F.col("s_id"), "s", "p", "o"),
+                **{f"{end}_set": F.coalesce(f"{end}_classes", F.array(spread_nulls(F.lit(None).cast("string"), "s", "p", "o"))) for end in ("s", "o")},
+            }
+        )
+        .join(fit("domain", "s"), ["s_set", "p_key"], "left")
+        .join(fit("range", "o"), ["o_set", "p_key"], "left")
+        .join(stated.select(F.col("s_id").alias("s_key"), F.col("p_id").alias("p_key"), "o_id", F.lit(True).alias("held")), ["s_key", "p_key", "o_id"], "left")
+    )
     has_domain, has_range = (F.coalesce(c, F.lit(False)) for c in ("has_domain", "has_range"))
     facts = joined.select(
-        "s", "p", "o", "s_id", "p_direct_id", "p_id", "o_id", complete.alias("all_linked"),
+        *given, "s_id", "p_direct_id", "p_id", "o_id", complete.alias("all_linked"),
         has_domain.alias("has_domain"), has_range.alias("has_range"),
         F.when(p_known, has_domain & has_range).alias("has_both"),
         F.when(p_known & s_known, F.col("domain").isNotNull()).alias("domain_match"),
@@ -256,7 +278,7 @@ def check_distinct(
         }
     )
     return flagged.withColumn("statement_and_match", F.coalesce(F.col("type_match") & F.col("statement"), no)).select(
-        "s", "p", "o", *CHECK_COLUMNS
+        *given, *CHECK_COLUMNS
     )
 
 
@@ -270,7 +292,7 @@ CHECK_COLUMNS = [
 
 def check_triples(
     triples: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame,
-    full_chain: bool = True,
+    full_chain: bool = True, copies: bool = True,
 ) -> DataFrame:
     """Every triple ``(…, s, p, o)`` with its links and checks.
 
@@ -278,8 +300,11 @@ def check_triples(
     ``has_domain/has_range/has_both`` tell which constraints the property has; ``domain_match`` and
     ``range_match`` with level (0 to 3), class and class label whether the types fit; ``type_match`` whether all fits,
     at ``level``; ``statement`` whether the knowledge base states the triple.  A NULL part links to nothing; the
-    other parts of such a triple are checked all the same.
+    other parts of such a triple are checked all the same.  Texts are checked once and joined back to their copies;
+    ``copies=False`` leaves that out for triples that hardly repeat, with the same result.
     """
+    if not copies:
+        return check_distinct(triples, kb_label, kb_statement, kb_constraint, full_chain)
     checked = check_distinct(
         triples.select("s", "p", "o").distinct(), kb_label, kb_statement, kb_constraint, full_chain
     )
@@ -296,9 +321,7 @@ def check_counted(
     triples: DataFrame, kb_label: DataFrame, kb_statement: DataFrame, kb_constraint: DataFrame, full_chain: bool = True
 ) -> DataFrame:
     """Distinct triples ``(run, s, p, o)`` with ``copies`` and the checks: what the counters need of any number of copies."""
-    counted = counted_triples(triples)
-    checked = check_distinct(counted.select("s", "p", "o").distinct(), kb_label, kb_statement, kb_constraint, full_chain)
-    return _with_checks(counted, checked)
+    return check_distinct(counted_triples(triples), kb_label, kb_statement, kb_constraint, full_chain)
 
 
 def counted_triples(triples: DataFrame) -> DataFrame:
