@@ -209,7 +209,7 @@ def latest_by_triple(spark):
     """The last record of every distinct triple of a run."""
     # the checks depend on the triple text only, so they join the last occurrence after the grouping
     last = kb.latest_by_triple(spark.table("fx_pred"))
-    checked = kb.check_triples(last, *_tables(spark))
+    checked = kb.check_triples(last, *_tables(spark), copies=False)
     return checked.select("run", "s", "p", "o", "doc_id", "pos", "s_id", "p_id", "o_id", "all_linked", "level")
 
 
