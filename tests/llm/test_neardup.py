@@ -167,3 +167,44 @@ def test_names_of_helper_columns_may_be_taken(spark):
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string, _text_hash long, _no_id string")
     got = nd.deduplicated(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [rows[0], rows[2]]
+
+
+def counted(monkeypatch):
+    """Rows of every table that is written, by its name."""
+    counts, write = {}, nd.stored
+
+    def count(df, name):
+        out = write(df, name)
+        counts.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(nd, "stored", count)
+    return counts
+
+
+def test_repeated_rows_have_one_set(spark, monkeypatch):
+    rows = corpus(1)
+    once = counted(monkeypatch)
+    nd.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).count()
+    monkeypatch.undo()
+    counts = counted(monkeypatch)
+    got = nd.groups(spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(5), 2).collect()
+    assert len(got) == 3 * len(rows) and {r["doc_id"]: r["component_id"] for r in got} == plain_groups(rows, 2)
+    assert counts["sets"] == once["sets"] and counts["likely"] == once["likely"]
+
+
+def test_only_linkable_classes_travel_with_their_sets(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SIGNED_CELL", 16)
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    base = fresh(200)
+    near = [np.concatenate([base[:190], fresh(5)]) for _ in range(20)]  # 0.9 alike
+    half = [np.concatenate([base[:80], fresh(120)]) for _ in range(60)]  # less than a quarter alike
+    sets = [base, *near, *half]
+    marks = nd.super_minhash(sets).astype(np.uint8)
+    ends = spark.createDataFrame([(i, len(s), marks[i].tobytes()) for i, s in enumerate(sets)], "rep long, n_shingles long, marks binary")
+    # ten near ones and all others are satellites of the group of the first
+    rows = [(0, i, 0 if i < 11 else i, i >= 11) for i in range(len(sets))]
+    both = spark.createDataFrame(rows, "group long, rep long, root long, outside boolean")
+    left = {r["rep"] for r in nd._linkable(both, ends, 80, nd.ESTIMATE).collect()}
+    assert left == set(range(21))
