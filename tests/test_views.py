@@ -36,3 +36,31 @@ def test_statements_are_the_same_rows_from_pairs_of_numbers(spark):
     texts, pairs = own.sql(COMMON["fx_kb_statement"]), own.sql(SPARK_ONLY["fx_kb_statement"])
     assert sorted(map(str, texts.collect())) == sorted(map(str, pairs.collect()))
     assert "Aggregate [l_suppkey" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_corpus_brings_line_items_together_once(spark):
+    from tripleframe.plans.views import SPARK_CORPUS
+
+    own = spark.newSession()
+    for name, columns, rows in (
+        ("supplier", "s_suppkey long, s_name string", [(1, "S one"), (2, None)]),
+        ("part", "p_partkey long, p_name string", [(40, "rod"), (50, "bolt")]),
+        ("lineitem", "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long",
+         [(9, 2, 1, 40), (9, 1, 2, 50), (9, 2, 1, 40), (9, None, 1, 50), (9, 1, 3, 40), (9, 1, 1, None), (None, 1, 1, 40), (8, 1, 3, 40)]),
+    ):
+        own.createDataFrame(rows, columns).createOrReplaceTempView(name)
+    made = own.sql(SPARK_CORPUS)
+    got = {r.doc_id: r for r in made.collect()}
+    assert set(got) == {9, None}
+    row = got[9]
+    assert (row.title, row.uri, row.split) == ("Order 9", "O9", "train")
+    assert row.text == "Order 9 names S one; bolt; bolt; S one; rod; S one; rod."
+    one, two, rod, bolt = ("S1", "S one", "ORG"), ("S2", None, "ORG"), ("P40", "rod", "MISC"), ("P50", "bolt", "MISC")
+    assert [tuple(e) for e in row.entities] == [one, bolt, two, bolt, one, rod, one, rod]
+    assert [(tuple(r.subject), r.predicate, tuple(r.object)) for r in row.relations] == [
+        (one, None, bolt), (two, 51 % 32, bolt), (one, 42 % 32, rod), (one, 42 % 32, rod)
+    ]
+    assert [tuple(e) for e in got[None].entities] == [one, rod] and got[None].relations == []
+    # one table of line items, one grouping
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Window" not in plan
