@@ -1,5 +1,7 @@
 """Template filling, few-shot assembly, generation with retries."""
 
+from pyspark.sql import functions as F
+
 from tripleframe.operators import generate as gen
 from tripleframe.operators import prompts
 
@@ -115,3 +117,22 @@ def test_stopped_generation_repeats_one_batch_at_most(spark, tmp_path):
     more = spark.createDataFrame([("r", 1, "bad"), ("r", 2, "good")], "run string, doc_id int, prompt string")
     got = {r.prompt: (r.generated_text, r.error) for r in gen.generate_durably(more, make(10**9), ledger, per_second=1000.0, **options).collect()}
     assert got == {"bad": (None, "ValueError: bad prompt"), "good": ("GOOD", None)}
+
+
+def test_examples_named_by_id_give_the_prompts_of_joined_ones(spark, monkeypatch):
+    queries = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, None)], "query_id int, Text string")
+    chosen = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (2, 1, "c"), (2, 2, "zz"), (4, 1, "a"), (4, 2, "a")], "query_id int, rank int, id string")
+    shown = spark.createDataFrame([("a", "A"), ("b", "B2"), ("b", "B1"), ("c", None), ("d", "D")], "id string, Text string")
+    template = {"prefix": "P", "formatter": "demo {Text}", "suffix": "S {Text} {Size}"}
+    widen = lambda df: df.withColumn("Size", F.length("Text"))
+    joined = prompts.few_shot_prompts(widen(queries), chosen.join(shown, "id"), template)
+    want = sorted(map(str, joined.collect()))
+    few = prompts.few_shot_prompts(queries, chosen, template, shown=shown, widen=widen)
+    monkeypatch.setattr(prompts, "SHOWN_BYTES", 0)
+    many = prompts.few_shot_prompts(queries, chosen, template, shown=shown, widen=widen)
+    for got in (few, many):
+        assert sorted(map(str, got.select(*joined.columns).collect())) == want
+    assert {r.query_id: r.prompt for r in few.collect()}[1] == "P\ndemo B1\ndemo B2\ndemo A\nS one 3"
+    # texts of examples are not collected per query
+    optimized = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in optimized and "collect_list" not in optimized
