@@ -61,3 +61,15 @@ def test_edges(spark):
     assert once[1] == 1
     assert score.run_scores(score.doc_scores(pred, gold, docs).where("false")).count() == 0
     assert [r.doc_id for r in score.missed_triples(pred.where("doc_id = 2"), gold, docs).collect()] == [1]
+
+
+def test_gold_triples_are_told_apart_once(spark):
+    import re
+
+    pred = spark.createDataFrame([("r", 1, "A", "p", "b"), ("r", 1, "x", "p", None)], "run string, doc_id int, s string, p string, o string")
+    gold = spark.createDataFrame([(1, "a", "P", "B"), (1, "a", "P", "B"), (1, "n", None, "o"), (2, "a", "p", "b")], "doc_id int, s string, p string, o string")
+    docs = spark.createDataFrame([("r", 1), ("r", 2), ("r", 3)], "run string, doc_id int")
+    scores = score.doc_scores(pred, gold, docs)
+    assert {r.doc_id: (r.tp, r.fp, r.fn) for r in scores.collect()} == {1: (1, 1, 1), 2: (0, 0, 1), 3: (0, 0, 0)}
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[doc_id#\d+, s#\d+", plan)) == 1
